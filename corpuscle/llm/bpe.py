@@ -34,7 +34,7 @@ _M64 = (1 << 64) - 1
 #: Above any rank: the pair does not merge.
 _NONE = 1 << 31
 #: The characters with the Unicode property White_Space.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Text is cut here first; no match of a pre-token pattern of this family crosses these cuts.
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Entries that a worker remembers for units and for pieces, each; forgotten all at once.
