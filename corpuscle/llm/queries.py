@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuscle.llm.bpe import op10_byte_bpe
 from corpuscle.llm.line_dedup import op1_line_dedup
-from corpuscle.llm import mixing
+from corpuscle.llm import license_scan, mixing
+from corpuscle.llm.robust_outliers import op7_robust_outliers
 from corpuscle.llm.simhash_dedup import op4_simhash_dedup
 from corpuscle.llm.token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op7_robust_outliers": op7_robust_outliers,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
