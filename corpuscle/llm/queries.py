@@ -12,10 +12,12 @@ from corpuscle.llm import license_scan, mixing
 from corpuscle.llm.robust_outliers import op7_robust_outliers
 from corpuscle.llm.simhash_dedup import op4_simhash_dedup
 from corpuscle.llm.token_counts import op9_token_counts
+from corpuscle.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op7_robust_outliers": op7_robust_outliers,
     "op8_mixing": mixing.op8_mixing,
