@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuscle.llm.bpe import op10_byte_bpe
 from corpuscle.llm.line_dedup import op1_line_dedup
-from corpuscle.llm import license_scan, mixing
+from corpuscle.llm import exact_topk, license_scan, mixing
 from corpuscle.llm.robust_outliers import op7_robust_outliers
 from corpuscle.llm.simhash_dedup import op4_simhash_dedup
 from corpuscle.llm.token_counts import op9_token_counts
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_exact_topk": exact_topk.op5_exact_topk,
     "op7_robust_outliers": op7_robust_outliers,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_counts": op9_token_counts,
@@ -27,5 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license_scan.ORACLE,
+    "op5_exact_topk": exact_topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
