@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscle.llm.bpe import op10_byte_bpe
+from corpuscle.llm.cotrain import op6_cotrain
 from corpuscle.llm.line_dedup import op1_line_dedup
 from corpuscle.llm import exact_topk, license_scan, mixing
 from corpuscle.llm.robust_outliers import op7_robust_outliers
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_exact_topk": exact_topk.op5_exact_topk,
+    "op6_cotrain": op6_cotrain,
     "op7_robust_outliers": op7_robust_outliers,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_counts": op9_token_counts,
