@@ -125,7 +125,7 @@ def mixed(df: DataFrame, scratch: Scratch | None = None, **how) -> DataFrame:
     """The rows of df that the mix takes, each once for every lap in which any of its words is
     taken; boundary documents stay whole. Rows without words go."""
     scratch = scratch or Scratch(df.sparkSession, "mix")
-    copies = mix(df, scratch, **how).groupBy("rid").agg(F.ceil(F.avg(F.ceil(F.col("taken") / F.col("size")))).cast("int").alias("_copies"))
+    copies = mix(df, scratch, **how).groupBy("rid").agg(F.ceil(F.avg(F.ceil(F.try_divide("taken", "size")))).cast("int").alias("_copies"))
     copies = scratch.write(copies.filter("_copies > 0").withColumnRenamed("rid", "_rid"), "copies")
     if copies.count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)
