@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples, over an exact TF-IDF cosine.
 
-Terms are words whose presence goes with the label among the learnable labelled documents
-(chi-squared of at least CHI2, positive association). IDF is counted over all documents. Examples
+Terms are words whose presence goes with the label among the learnable labelled documents: the
+log-likelihood gain of a word's own rate of label 1 over the base rate must outweigh the number of
+words it was picked from, tenfold. IDF is counted over all documents. Examples
 are a bounded, documented sample: the SAMPLE labelled documents that come first in hash order. They
 stand in an inverted index whose posting lists are cut into blocks of BLOCK examples with the
 largest weight of each block, so a search visits blocks by descending bound and stops when no
@@ -28,10 +29,10 @@ from pyspark.sql import types as T
 
 from corpuscle.llm.bpe import _mapped
 from corpuscle.llm.license_scan import words as word_array
-from corpuscle.runtime import prepare
+from corpuscle.runtime import Scratch, prepare
 
 #: Labelled documents taken as examples, at most; terms, at most; examples that a term needs.
-SAMPLE, TERMS, LEAST, CHI2 = 20_000, 4096, 5, 40.0
+SAMPLE, TERMS, LEAST = 20_000, 4096, 3
 #: Examples of a block of the index, neighbours that vote, weight of the base rate in a vote.
 BLOCK, K, PRIOR = 256, 32, 1.0
 THRESHOLD = 0.3
@@ -133,7 +134,7 @@ class Index:
         return float(min(1.0, max(0.0, 0.95 * step + 0.05 * raw))), e[:3].tolist()
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, learnable: Column | None = None) -> tuple[Index, list]:
+def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "toxic", sample: int = SAMPLE, learnable: Column | None = None) -> tuple[Index, list]:
     """An index fitted on docs (doc_id, text) and labels (doc_id, label), and the examples' doc_ids.
 
     What reaches the driver is bounded by sample and TERMS, whatever the size of docs.
@@ -149,10 +150,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     if not n or not pos or pos == n:
         return Index({}, [], []), []
     base = pos / n
-    with_t = held.groupBy("t").agg(F.count("*").alias("c"), F.sum("_y").alias("p")).filter((F.col("c") >= LEAST) & (F.col("p") > base * F.col("c")))
-    gap = F.col("p") - F.col("c") * base
-    chi = gap * gap / (F.col("c") * base * (1 - base) * (1 - F.col("c") / n) + 1e-9)
-    terms = [r["t"].encode() for r in with_t.withColumn("x", chi).filter(F.col("x") >= CHI2).orderBy(F.desc("x"), "t").limit(TERMS).collect()]
+    with_t = held.groupBy("t").agg(F.count("*").alias("c"), F.sum("_y").alias("p")).filter((F.col("c") >= LEAST) & (F.col("p") > 0))
+    rate = F.col("p") / F.col("c")
+    other = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0)
+    gain = F.when(rate > base, F.col("c") * (rate * F.log(rate / base) + other)).otherwise(0.0)
+    picked = scratch.write(with_t.select("t", gain.alias("gain")), "terms")
+    enough = math.log(10 * max(1, picked.count()))
+    terms = [r["t"].encode() for r in picked.filter(F.col("gain") >= enough).orderBy(F.desc("gain"), "t").limit(TERMS).collect()]
     vocabulary = frozenset(terms)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +217,9 @@ def scored(df: DataFrame, index: Index, ids: list, text: str = "text", threshold
     return _mapped(df, added, make)
 
 
-def drop_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(df: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """df without the rows predicted toxic; the examples are those of df that labels mark."""
-    index, ids = learn(df, labels)
+    index, ids = learn(df, labels, scratch or Scratch(df.sparkSession, "toxicity"))
     own = [F.col(c).alias(f"_{k}") for k, c in enumerate(df.columns)]  # so no column clashes
     out = scored(df.select(*own, F.col("text").alias("_text")), index, ids, "_text").filter("predicted = 0")
     return out.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(df.columns)])
@@ -223,6 +227,6 @@ def drop_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    index, ids = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    index, ids = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "op3"))
     out = scored(docs, index, ids)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
