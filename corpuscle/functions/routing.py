@@ -15,7 +15,7 @@ KEYWORD_POINTS, PAIR_POINTS, MIN_SCORE = 2.0, 3.0, 2.0
 #: The two directions whose meeting raises a priority, and by how much.
 CROSSOVER = ["rl_world_model", "fea_surrogate"]
 BUMP = {"Low": "Medium", "Medium": "High"}
-REASON = "RL × FEA/surrogate crossover (ADR-0021)"
+REASON = "RL × FEA/surrogate crossover"
 
 
 def whole_word(term: str) -> str:
