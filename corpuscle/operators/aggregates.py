@@ -28,13 +28,13 @@ def distribution(papers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return yearly, monthly, rows.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def tag_counts(papers: DataFrame, include_all: bool = False) -> DataFrame:
+def tag_counts(papers: DataFrame, include_all: bool = False, aliases: dict[str, list[str]] | None = None, dropped: list[str] | None = None) -> DataFrame:
     """Counts by (year, direction, canonical tag), of primary-scorer rows of High or Medium."""
     rows = papers.filter(F.col("scorer_version") == PRIMARY_SCORER)
     if not include_all:
         rows = rows.filter(F.col("priority").isin("High", "Medium"))
     tags = rows.select(year_and_month(F.col("bucket_date"))["year"].alias("year"), "direction", F.explode("tags").alias("raw"))
-    return tags.withColumn("tag", canonical_tag(F.col("raw"))).filter("tag is not null and year is not null").groupBy("year", "direction", "tag").agg(F.count("*").alias("n"))
+    return tags.withColumn("tag", canonical_tag(F.col("raw"), aliases, dropped)).filter("tag is not null and year is not null").groupBy("year", "direction", "tag").agg(F.count("*").alias("n"))
 
 
 def emerging(counts: DataFrame, least: int = EMERGING_COUNT, ratio: int = EMERGING_RATIO) -> DataFrame:

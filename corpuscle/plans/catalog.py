@@ -1,6 +1,591 @@
-"""Registry of the library's own queries and their SQL."""
+"""The library's own queries on the driver's tables, each with its SQL.
+
+The tables hold no papers, so each query applies an operator to a stand-in, named in its comment:
+order dates stand for publication dates, market segments for directions, order priorities for
+priorities, order statuses for scorer versions, words of part names for tags.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscle.functions import dates, identity, quality, rights, routing
+from corpuscle.functions import text as texts
+from corpuscle.operators import aggregates, dedup, joins, search, windows
+from corpuscle.runtime import shared_dir, table
+from corpuscle.sources import readers
+from corpuscle.streaming import state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- identity and scalars -------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://(www\.|m\.)?', ''), '#.*$', ''), '\?.*$', ''), '(index)?\.html?$', ''), '/+$', '') AS page_key FROM pages""")
+def canonical_url_key(spark, d):
+    """F01, F03, F06 on page URLs."""
+    return table(spark, d, "pages").select("page_id", identity.page_key(F.col("url")).alias("page_key"))
+
+
+@query(r"""
+WITH k AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' HTTPS://doi.org/10.1000/A' || o_custkey WHEN 1 THEN 'doi:10.48550/arXiv.' || o_custkey || 'v2' WHEN 2 THEN '' END AS doi,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'https://arxiv.org/abs/' || o_custkey || 'v3' END AS arxiv_id, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey::VARCHAR END AS pmid FROM orders),
+n AS (SELECT *, regexp_replace(lower(trim(coalesce(doi, ''))), '^(https?://dx\.doi\.org/|https?://doi\.org/|doi:)', '') AS d,
+  regexp_replace(regexp_replace(lower(coalesce(arxiv_id, '')), '^https?://arxiv\.org/abs/', ''), 'v[0-9]+$', '') AS a FROM k)
+SELECT o_orderkey, CASE WHEN d LIKE '10.48550/arxiv.%' THEN 'arxiv:' || regexp_replace(substr(d, 16), 'v[0-9]+$', '') WHEN d <> '' THEN 'doi:' || d WHEN a <> '' THEN 'arxiv:' || a WHEN pmid IS NOT NULL THEN 'pmid:' || pmid ELSE '' END AS canonical_key FROM n""")
+def canonical_keys(spark, d):
+    """Identifiers made from order and customer keys."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    doi = F.when(o % 4 == 0, F.concat(F.lit(" HTTPS://doi.org/10.1000/A"), c)).when(o % 4 == 1, F.concat(F.lit("doi:10.48550/arXiv."), c, F.lit("v2"))).when(o % 4 == 2, "")
+    arxiv = F.when(o % 3 == 0, F.concat(F.lit("https://arxiv.org/abs/"), c, F.lit("v3")))
+    return table(spark, d, "orders").select("o_orderkey", identity.canonical_key(doi, arxiv, F.when(o % 5 == 0, c), F.lit("")).alias("canonical_key"))
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderdate::DATE AS dd FROM orders)
+SELECT o_orderkey, CASE WHEN d LIKE '%-01-01' THEN 'year' WHEN d LIKE '%-01' THEN 'month' ELSE 'day' END AS prec,
+  printf('%d-W%02d', isoyear(dd), weekofyear(dd)) AS week, strftime(date_trunc('week', dd), '%Y-%m-%d') AS monday, strftime(date_trunc('week', dd) + INTERVAL 6 DAY, '%Y-%m-%d') AS sunday, year(dd)::INTEGER AS year, substr(d, 1, 7) AS year_month FROM t""")
+def date_facts(spark, d):
+    """order dates as publication dates."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    bounds, ym = dates.week_bounds(F.col("o_orderdate")), dates.year_and_month(day)
+    return table(spark, d, "orders").select("o_orderkey", dates.date_precision(day).alias("prec"), dates.iso_week(F.col("o_orderdate")).alias("week"), bounds["monday"].cast("string").alias("monday"), bounds["sunday"].cast("string").alias("sunday"), ym["year"].alias("year"), ym["year_month"].alias("year_month"))
+
+
+@query("""
+WITH b AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders),
+m AS (SELECT unnest(generate_series(date_trunc('month', a), date_trunc('month', z), INTERVAL 1 MONTH))::DATE AS m, a, z FROM b)
+SELECT strftime(m, '%Y-%m') AS month, strftime(greatest(m, a), '%Y-%m-%d') AS from_date, strftime(least(last_day(m), z), '%Y-%m-%d') AS to_date FROM m""")
+def month_windows(spark, d):
+    """Months of the whole range of order dates, with partial ends."""
+    span = table(spark, d, "orders").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("z"))
+    return span.select(F.explode(dates.month_windows(F.col("a"), F.col("z"))).alias("w")).select("w.month", F.col("w.from_date").cast("string").alias("from_date"), F.col("w.to_date").cast("string").alias("to_date"))
+
+
+@query(r"""
+SELECT c_custkey, regexp_replace(c_name, '[^A-Za-z0-9_-]', '-', 'g') AS anchor, 'noid:' || substr(sha1(strftime(DATE '2024-01-01', '%Y-%m-%d') || '|' || c_custkey || '|' || c_mktsegment || '|' || c_name), 1, 16) AS fallback,
+  'sha256:' || substr(sha256(c_name), 1, 16) AS content, CASE WHEN length(c_name) > 10 THEN substr(c_name, 1, 10) || '…' ELSE c_name END AS short FROM customer""")
+def name_facts(spark, d):
+    """customers as titles."""
+    key = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", identity.anchor(F.col("c_name")).alias("anchor"), identity.fallback_identity(F.lit("2024-01-01"), key, F.col("c_mktsegment"), F.col("c_name")).alias("fallback"), texts.content_hash(F.col("c_name")).alias("content"), texts.truncate(F.col("c_name"), 10).alias("short"))
+
+
+# --- deduplication and merging --------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def dedup_first_seen(spark, d):
+    """The first event of each user and type."""
+    return dedup.first_wins(table(spark, d, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
+def dedup_latest_wins(spark, d):
+    """Each customer's latest order; a tie keeps the earlier key."""
+    return dedup.latest_wins(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""
+WITH r AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'arxiv' WHEN 'assistant' THEN 'openalex' ELSE 'pubmed' END AS source,
+  CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS abstract, CASE WHEN turn % 4 = 1 THEN 'x' ELSE '' END AS doi FROM conversations),
+l AS (SELECT conv_id, list(struct_pack(turn := turn, source := source, abstract := abstract, doi := doi) ORDER BY turn, source, abstract, doi) AS rows FROM r GROUP BY conv_id),
+f AS (SELECT conv_id, rows[1].turn AS turn, list_reduce(rows, lambda a, x: CASE WHEN (a.abstract = '' AND x.abstract <> '') OR (a.source = 'arxiv' AND x.source IN ('openalex', 'pubmed') AND x.doi <> '') THEN x ELSE a END) AS w FROM l)
+SELECT conv_id, turn, w.turn AS winner, w.source AS source FROM f""")
+def merge_preference_fold(spark, d):
+    """Turns of a conversation as copies of one paper."""
+    role = F.when(F.col("role") == "user", "arxiv").when(F.col("role") == "assistant", "openalex").otherwise("pubmed")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", role.alias("source"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("abstract"), F.when(F.col("turn") % 4 == 1, "x").otherwise("").alias("doi"), F.col("turn").alias("winner"))
+    return dedup.preference_fold(rows, "conv_id", "turn", ["source", "abstract", "doi", "winner"], dedup.paper_preference).select("conv_id", "turn", "winner", "source")
+
+
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 400000)")
+def anti_join_seen(spark, d):
+    """Customers that no large order has seen."""
+    seen = table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("key"))
+    return dedup.anti_join_seen(table(spark, d, "customer"), seen, ["c_custkey"]).select("c_custkey", "c_name")
+
+
+@query("""
+WITH m AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT user_id, event_id, event_type FROM m WHERE n = 1 AND event_type <> 'error'""")
+def marks_merge(spark, d):
+    """Users as papers, events as marks, errors as clears."""
+    return dedup.latest_mark(table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id", "event_type", "error").select("user_id", "event_id", "event_type")
+
+
+@query("""
+WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 12 AND ts < TIMESTAMP '2024-01-16'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 12 AND ts >= TIMESTAMP '2024-01-16')
+SELECT user_id, 'new' AS change FROM b WHERE user_id NOT IN (SELECT user_id FROM a) UNION ALL SELECT user_id, 'cleared' FROM a WHERE user_id NOT IN (SELECT user_id FROM b)""")
+def digest_diff(spark, d):
+    """Larger buyers of the second half of the month against the first."""
+    rows, cut = table(spark, d, "events").filter("event_type = 'purchase' and value > 12"), F.lit("2024-01-16").cast("timestamp_ntz")
+    new, cleared = joins.digest_diff(rows.filter(F.col("ts") >= cut).select("user_id").distinct(), rows.filter(F.col("ts") < cut).select("user_id").distinct(), "user_id")
+    return new.withColumn("change", F.lit("new")).unionByName(cleared.withColumn("change", F.lit("cleared")))
+
+
+@query("""
+WITH u AS (SELECT 0 AS k, c_custkey AS id, 'n' || c_nationkey AS name FROM customer UNION ALL SELECT 1, s_suppkey, 'n' || s_nationkey FROM supplier)
+SELECT k, id, name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM u) WHERE n = 1""")
+def source_union(spark, d):
+    """Customers, then suppliers, the first of each id."""
+    parts = [table(spark, d, t).select(F.lit(k).alias("k"), F.col(f"{p}key").alias("id"), F.concat(F.lit("n"), f"{t[0]}_nationkey").alias("name")) for k, (t, p) in enumerate((("customer", "c_cust"), ("supplier", "s_supp")))]
+    return dedup.first_wins(parts[0].unionByName(parts[1]), "id", [F.col("k")])
+
+
+@query("""
+WITH k AS (SELECT DISTINCT p_name AS key FROM part), old AS (SELECT key, row_number() OVER (ORDER BY key DESC) AS seq FROM k WHERE key < 'm'),
+new AS (SELECT key, (SELECT max(seq) FROM old) + row_number() OVER (ORDER BY key) AS seq FROM k WHERE key >= 'm'),
+u AS (SELECT * FROM old UNION ALL SELECT * FROM new) SELECT key, seq::BIGINT AS seq FROM u ORDER BY seq DESC LIMIT 60""")
+def bounded_state(spark, d):
+    """Part names as keys: those below m have been seen before."""
+    keys = table(spark, d, "part").select(F.col("p_name").alias("key")).distinct()
+    old = keys.filter("key < 'm'").withColumn("seq", F.row_number().over(windows.W.orderBy(F.desc("key"))))
+    return dedup.bounded_state(old, keys, 60)
+
+
+# --- routing --------------------------------------------------------------------------------------
+
+DIRECTIONS = {
+    "prose": {"display_name": "Prose", "strong_keywords": ["was", "und"], "must_pair_with": [["from", "this"], ["les", "dans"]]},
+    "notices": {"display_name": "Notices", "strong_keywords": ["license", "rights"], "must_pair_with": [["general", "public"]]},
+    "spanish": {"display_name": "Spanish", "strong_keywords": ["para", "los"], "must_pair_with": [["que", "del"]]},
+}
+EXCLUDED = ["idiot", "moron"]
+KEPT = ["the", "les"]
+
+
+def _has(term: str) -> str:
+    return f"regexp_matches(b, '{routing.whole_word(term)}')"
+
+
+def _points(cfg: dict) -> str:
+    parts = [f"CASE WHEN {_has(k)} THEN 2 ELSE 0 END" for k in cfg["strong_keywords"]]
+    parts += [f"CASE WHEN {' AND '.join(map(_has, p))} THEN 3 ELSE 0 END" for p in cfg["must_pair_with"]]
+    return " + ".join(parts)
+
+
+_OUT = f"({' OR '.join(map(_has, EXCLUDED))}) AND NOT ({' OR '.join(map(_has, routing.ANCHORS))})"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, lower(concat('', ' ', coalesce(text, ''))) AS b FROM documents),
+s AS (SELECT doc_id, {_OUT} AS out, {', '.join(f'{_points(c)} AS {k}' for k, c in DIRECTIONS.items())} FROM t)
+SELECT doc_id, CASE WHEN out OR greatest({', '.join(DIRECTIONS)}) < 2 THEN '' {' '.join(f"WHEN {k} = greatest({', '.join(DIRECTIONS)}) THEN '{k}'" for k in DIRECTIONS)} END AS direction,
+  CASE WHEN out THEN 0 ELSE {' + '.join(f'({k} >= 2)::INTEGER' for k in DIRECTIONS)} END AS n_directions, out AS excluded FROM s""")
+def route_documents(spark, d):
+    """Document texts as abstracts, a small configuration."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("abstract"))
+    out = routing.route(docs, DIRECTIONS, EXCLUDED)
+    return out.select("doc_id", F.coalesce("direction", F.lit("")).alias("direction"), F.size("directions").alias("n_directions"), F.col("routing_reason").isNotNull().alias("excluded"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS b FROM documents)
+SELECT doc_id, ({' OR '.join(map(_has, EXCLUDED))}) AND NOT ({' OR '.join(map(_has, KEPT))}) AS excluded FROM t""")
+def hard_exclusion(spark, d):
+    """excluded words without an anchor."""
+    return table(spark, d, "documents").select("doc_id", routing.is_excluded(F.lower(F.coalesce("text", F.lit(""))), EXCLUDED, KEPT).alias("excluded"))
+
+
+@query("""
+WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' ELSE 'Exclude' END AS pri, doc_id % 2 = 0 AND doc_id % 3 = 0 AS both_in FROM documents)
+SELECT doc_id, CASE WHEN both_in AND pri = 'Low' THEN 'Medium' WHEN both_in AND pri = 'Medium' THEN 'High' ELSE pri END AS priority, CASE WHEN both_in AND pri IN ('Low', 'Medium') THEN pri END AS priority_pre_boost, both_in AND pri IN ('Low', 'Medium') AS priority_boosted FROM p""")
+def crossover_boost(spark, d):
+    """Directions and priorities by doc_id."""
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, ["High", "Medium", "Low", "Exclude"])), (i % 4 + 1).cast("int")).alias("priority"), F.array_compact(F.array(F.when(i % 2 == 0, "rl_world_model"), F.when(i % 3 == 0, "fea_surrogate"))).alias("directions"))
+    return routing.crossover_boost(routing.crossover_boost(rows)).select("doc_id", "priority", "priority_pre_boost", "priority_boosted")
+
+
+# --- aggregates -----------------------------------------------------------------------------------
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", day.alias("bucket_date"), F.col("c_mktsegment").alias("direction"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("scorer_version"), "o_totalprice", "c_nationkey")
+
+
+_ORDERS = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS bucket_date, c_mktsegment AS direction, o_orderpriority AS priority, o_orderstatus AS scorer_version, o_totalprice, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+@query(f"SELECT substr(bucket_date, 1, 4)::INTEGER AS year, direction, priority, scorer_version, count(*) AS n FROM ({_ORDERS}) GROUP BY ALL")
+def distribution_yearly(spark, d):
+    """A01."""
+    return aggregates.distribution(_orders(spark, d))[0]
+
+
+@query(f"SELECT substr(bucket_date, 1, 7) AS year_month, count(*) AS n FROM ({_ORDERS}) GROUP BY ALL")
+def distribution_monthly(spark, d):
+    """A01."""
+    return aggregates.distribution(_orders(spark, d))[1]
+
+
+@query(f"SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'date' WHEN o_orderkey % 5 = 0 THEN 'direction' ELSE 'priority' END AS reason, count(*) AS n FROM ({_ORDERS}) WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 GROUP BY ALL")
+def distribution_invalid(spark, d):
+    """Rows made invalid by key, counted by their first reason."""
+    bad = {"bucket_date": 7, "direction": 5, "priority": 3}
+    rows = _orders(spark, d).withColumns({c: F.when(F.col("o_orderkey") % m != 0, F.col(c)) for c, m in bad.items()})
+    return aggregates.distribution(rows)[2]
+
+
+ALIASES = {"large": ["large", "big", "gizmo"], "gear": ["gear", "rod"]}
+DROPPED = ["old"]
+_TAGS = """
+WITH t AS (SELECT year(l_shipdate)::INTEGER AS year, l_linestatus AS direction, unnest(string_split(p_name, ' ')) AS raw FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' AND l_quantity >= 10),
+c AS (SELECT year, direction, CASE raw WHEN 'gizmo' THEN 'large' WHEN 'rod' THEN 'gear' ELSE raw END AS tag, count(*) AS n FROM t WHERE raw <> 'old' GROUP BY ALL)
+"""
+
+
+def _tags(spark: SparkSession, d: str) -> DataFrame:
+    lines, parts = table(spark, d, "lineitem"), table(spark, d, "part")
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("bucket_date"), F.col("l_linestatus").alias("direction"), F.split("p_name", " ").alias("tags"),
+        F.when(F.col("l_returnflag") != "R", "v3").otherwise("v1").alias("scorer_version"), F.when(F.col("l_quantity") >= 25, "High").when(F.col("l_quantity") >= 10, "Medium").otherwise("Low").alias("priority"),
+    )
+    return aggregates.tag_counts(rows, aliases=ALIASES, dropped=DROPPED)
+
+
+@query(_TAGS + "SELECT * FROM c")
+def tag_frequency(spark, d):
+    """A02, F16."""
+    return _tags(spark, d)
+
+
+@query(_TAGS + "SELECT a.year, a.direction, a.tag, a.n, coalesce(b.n, 0) AS prev, a.n - coalesce(b.n, 0) AS delta FROM c a LEFT JOIN c b ON b.year = a.year - 1 AND b.direction = a.direction AND b.tag = a.tag WHERE a.n >= 5 AND a.n >= 2 * coalesce(b.n, 0)")
+def emerging_terms(spark, d):
+    """A03, J10."""
+    return aggregates.emerging(_tags(spark, d))
+
+
+@query("""
+WITH t AS (SELECT year(o_orderdate)::INTEGER AS year, CASE o_orderkey % 5 WHEN 0 THEN 'Finite Element Method' WHEN 1 THEN 'Fourier neural operator' WHEN 2 THEN 'PINN' ELSE 'other' END AS tag FROM orders)
+SELECT year, count(*) FILTER (WHERE tag LIKE 'Finite%') AS fem, count(*) FILTER (WHERE tag LIKE 'Fourier%' OR tag = 'PINN') AS pinn FROM t GROUP BY year""")
+def family_showdown(spark, d):
+    """Tags by order key."""
+    k = F.col("o_orderkey") % 5
+    tag = F.when(k == 0, "Finite Element Method").when(k == 1, "Fourier neural operator").when(k == 2, "PINN").otherwise("other")
+    return aggregates.family_showdown(table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), tag.alias("tag"), F.lit(1).alias("n")).groupBy("year", "tag").agg(F.sum("n").alias("n")))
+
+
+@query(f"""
+WITH o AS (SELECT substr(bucket_date, 1, 4)::INTEGER AS year, direction, priority FROM ({_ORDERS})),
+g AS (SELECT year, direction, count(*) FILTER (WHERE priority IN ('1-URGENT', '2-HIGH')) AS hm, count(*) AS total FROM o GROUP BY ALL)
+SELECT y.year, x.direction, hm::BIGINT AS hm, total::BIGINT AS total, round(hm::DOUBLE / total, 6) AS ratio FROM (SELECT DISTINCT year FROM o) y CROSS JOIN (SELECT DISTINCT direction FROM o) x LEFT JOIN g ON g.year = y.year AND g.direction = x.direction""")
+def priority_ratio(spark, d):
+    """Urgent and high orders as High and Medium."""
+    rows = _orders(spark, d).withColumn("priority", F.when(F.col("priority") == "1-URGENT", "High").when(F.col("priority") == "2-HIGH", "Medium").otherwise("Low"))
+    return aggregates.priority_ratio(aggregates.distribution(rows)[0])
+
+
+@query(f"""
+SELECT substr(bucket_date, 1, 4)::INTEGER AS year, count(*) FILTER (WHERE direction = 'BUILDING') AS BUILDING, count(*) FILTER (WHERE direction = 'MACHINERY') AS MACHINERY, count(*) FILTER (WHERE direction NOT IN ('BUILDING', 'MACHINERY')) AS OTHER
+FROM ({_ORDERS}) WHERE scorer_version = 'F' GROUP BY 1""")
+def stacked_directions(spark, d):
+    """Two known segments, others as OTHER; finished orders as the primary scorer's."""
+    rows = _orders(spark, d).withColumn("scorer_version", F.when(F.col("scorer_version") == "F", "v3").otherwise("v1"))
+    return aggregates.stacked(aggregates.distribution(rows)[0], ["BUILDING", "MACHINERY"])
+
+
+@query(f"""
+WITH o AS (SELECT priority, substr(bucket_date, 1, 4) AS year, CASE WHEN direction = 'BUILDING' THEN '' ELSE direction END AS direction, CASE WHEN scorer_version = 'P' THEN '' ELSE scorer_version END AS relevance FROM ({_ORDERS}))
+SELECT priority, year, direction, relevance, count(*) AS n FROM o GROUP BY GROUPING SETS ((priority, year), (priority, year, direction), (priority, year, relevance), (priority, year, direction, relevance))
+HAVING (grouping(direction) = 1 OR direction <> '') AND (grouping(relevance) = 1 OR relevance <> '')""")
+def facet_cube(spark, d):
+    """By priority and year; direction and relevance as facets, some blank."""
+    blank = lambda c, v: F.when(F.col(c) == v, "").otherwise(F.col(c))
+    rows = _orders(spark, d).select("priority", F.substring("bucket_date", 1, 4).alias("year"), blank("direction", "BUILDING").alias("direction"), blank("scorer_version", "P").alias("relevance"))
+    return aggregates.facet_cube(rows, ["priority", "year"], ["direction", "relevance"])
+
+
+@query(f"SELECT substr(bucket_date, 1, 7) AS month, sum(n)::BIGINT AS n FROM (SELECT bucket_date, count(*) AS n FROM ({_ORDERS}) GROUP BY 1) GROUP BY 1")
+def month_rollup(spark, d):
+    """A13."""
+    return aggregates.month_rollup(_orders(spark, d).groupBy(F.col("bucket_date").alias("date")).agg(F.count("*").alias("n")))
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY ROLLUP (date, event_type)")
+def weekly_totals(spark, d):
+    """Events by day and type, with totals."""
+    rows = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("date"), "event_type")
+    return aggregates.weekly_totals(rows, "event_type")
+
+
+@query("""
+WITH p AS (SELECT c_mktsegment AS segment, CASE c_custkey % 5 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' WHEN 2 THEN 'Unscored' END AS priority FROM customer),
+g AS (SELECT segment, priority, count(*) AS n FROM p WHERE priority IS NOT NULL GROUP BY ALL),
+z AS (SELECT segment, priority FROM (SELECT DISTINCT segment FROM p) CROSS JOIN (VALUES ('High'), ('Medium'), ('Low'), ('Exclude')) v(priority))
+SELECT coalesce(z.segment, g.segment) AS segment, coalesce(z.priority, g.priority) AS priority, coalesce(n, 0) AS n FROM z FULL JOIN g ON z.segment = g.segment AND z.priority = g.priority""")
+def priority_counts(spark, d):
+    """Zero-filled counts by priority; Unscored only where it occurs."""
+    k = F.col("c_custkey") % 5
+    rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.when(k == 0, "High").when(k == 1, "Low").when(k == 2, "Unscored").alias("priority"))
+    return aggregates.priority_counts(rows, "segment")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS stored FROM orders), c AS (SELECT l_orderkey, count(*) AS recounted FROM lineitem GROUP BY 1)
+SELECT coalesce(o_orderkey, l_orderkey) AS key, stored, coalesce(recounted, 0) AS recounted FROM o FULL JOIN c ON o_orderkey = l_orderkey WHERE stored IS DISTINCT FROM coalesce(recounted, 0)""")
+def derived_count_audit(spark, d):
+    """A made-up count of lines on each order against a recount."""
+    stored = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 9).alias("n"))
+    return aggregates.count_audit(stored, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key")), "key", "n")
+
+
+@query("SELECT o_orderstatus AS source, count(*) AS fetched, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS routed, round(count(*) FILTER (WHERE o_orderpriority = '1-URGENT')::DOUBLE / count(*), 6) AS retention FROM orders GROUP BY 1")
+def source_retention(spark, d):
+    """Statuses as sources, urgent orders as routed."""
+    return aggregates.retention(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "source"), "source", F.col("o_orderpriority") == "1-URGENT")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, substr(sha256(array_to_string(list_sort(list(sha256(o_orderkey::VARCHAR))), chr(10))), 1, 16) AS revision FROM orders GROUP BY 1")
+def day_revisions(spark, d):
+    """A revision of each day's orders."""
+    rows = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderkey").cast("string").alias("body"))
+    return aggregates.revision(rows, "day", "body")
+
+
+# --- windows, order, samples ----------------------------------------------------------------------
+
+
+@query(f"SELECT o_orderkey, bucket_date, position::INTEGER AS position, ceil(position / 20.0)::INTEGER AS page FROM (SELECT *, row_number() OVER (PARTITION BY bucket_date ORDER BY priority, o_orderkey) AS position FROM ({_ORDERS}))")
+def day_pages(spark, d):
+    """W01, S20."""
+    return windows.pages(_orders(spark, d), ["bucket_date"], [F.col("priority"), F.col("o_orderkey")]).select("o_orderkey", "bucket_date", "position", "page")
+
+
+@query(f"SELECT bucket_date, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY bucket_date ORDER BY priority, o_orderkey) AS n FROM ({_ORDERS}) WHERE priority IN ('1-URGENT', '2-HIGH')) WHERE n = 1")
+def day_top_paper(spark, d):
+    """Urgent and high orders as High and Medium."""
+    rows = _orders(spark, d).withColumn("priority", F.when(F.col("priority") == "1-URGENT", "High").when(F.col("priority") == "2-HIGH", "Medium").otherwise("Low"))
+    return windows.day_top_paper(rows, "bucket_date", "priority", "o_orderkey").select("bucket_date", "o_orderkey")
+
+
+@query("SELECT d AS date, lag(d) OVER (ORDER BY d) AS prev_date, lead(d) OVER (ORDER BY d) AS next_date FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)")
+def prev_next_date(spark, d):
+    """W04."""
+    return windows.neighbours(table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")), "date")
+
+
+@query("""
+WITH c AS (SELECT p_brand, unnest(string_split(p_name, ' ')) AS tag, 1 AS one FROM part), g AS (SELECT p_brand, tag, count(*) AS n FROM c GROUP BY ALL)
+SELECT p_brand, tag, n, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, tag) AS rank FROM g) WHERE rank <= 5""")
+def top_tags_per_group(spark, d):
+    """Words of part names by brand."""
+    counts = table(spark, d, "part").select("p_brand", F.explode(F.split("p_name", " ")).alias("tag")).groupBy("p_brand", "tag").agg(F.count("*").alias("n"))
+    return windows.first_of(counts, ["p_brand"], [F.desc("n"), F.col("tag")], 5)
+
+
+@query("""
+WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), a AS (SELECT *, least(2, size) AS base, size - least(2, size) AS room FROM s),
+b AS (SELECT *, greatest(0, 150 - sum(base) OVER ()) AS "left", sum(CASE WHEN room > 0 THEN size ELSE 0 END) OVER () AS whole FROM a),
+c AS (SELECT *, least(CASE WHEN room > 0 THEN ("left" * size) // whole ELSE 0 END, room) AS fl FROM b),
+e AS (SELECT *, "left" - sum(fl) OVER () AS rest, room > fl AS o, (CASE WHEN room > 0 THEN "left" * size ELSE 0 END) - fl * whole AS rem FROM c),
+f AS (SELECT *, row_number() OVER (ORDER BY o DESC, rem DESC, source) AS nth FROM e)
+SELECT source, size, (base + fl + (o AND nth <= rest)::INTEGER)::BIGINT AS k FROM f""")
+def stratified_allocation(spark, d):
+    """150 documents over sources."""
+    return windows.allocation(table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("size")), "source", 150)
+
+
+@query("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('2026-01-01|' || source || '|' || doc_id), doc_id) AS n, count(*) OVER (PARTITION BY source) AS v FROM documents) WHERE n <= CASE WHEN v <= 200 THEN 5 ELSE 2 END")
+def deterministic_sample(spark, d):
+    """Sources as journals."""
+    return windows.journal_sample(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", "2026-01-01").select("source", "doc_id")
+
+
+@query(f"""
+WITH w AS (SELECT *, printf('%d-W%02d', isoyear(bucket_date::DATE), weekofyear(bucket_date::DATE)) AS week FROM ({_ORDERS}) WHERE priority IN ('1-URGENT', '2-HIGH'))
+SELECT week, direction, o_orderkey, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY week, direction ORDER BY priority, o_totalprice DESC, o_orderkey) AS rank FROM w) WHERE rank <= 3""")
+def weekly_top_picks(spark, d):
+    """By ISO week and segment; prices as citations."""
+    rows = _orders(spark, d).filter(F.col("priority").isin("1-URGENT", "2-HIGH")).withColumn("week", dates.iso_week(F.col("bucket_date").cast("date")))
+    return windows.first_of(rows, ["week", "direction"], [F.col("priority"), F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("week", "direction", "o_orderkey", "rank")
+
+
+@query(f"""
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, direction ORDER BY bucket_date DESC, o_orderkey) AS n FROM ({_ORDERS}) WHERE priority IN ('1-URGENT', '2-HIGH'))
+SELECT o_orderkey, bucket_date, direction, row_number() OVER (ORDER BY bucket_date DESC, priority, direction, o_orderkey)::INTEGER AS rank FROM l WHERE n = 1""")
+def export_candidates(spark, d):
+    """The latest order of each nation and segment, of two priorities, ranked."""
+    rows = _orders(spark, d).withColumn("key", F.concat_ws(":", "c_nationkey", "direction"))
+    rows = rows.withColumn("priority", F.when(F.col("priority") == "1-URGENT", "High").when(F.col("priority") == "2-HIGH", "Medium").otherwise("Low"))
+    last = dedup.latest_wins(rows.filter(routing.min_priority(F.col("priority"), "Medium")), "key", "bucket_date", "o_orderkey")
+    rank = F.row_number().over(windows.W.orderBy(*windows.export_order("bucket_date", "priority", "direction", "o_orderkey")))
+    return last.select("o_orderkey", "bucket_date", "direction", rank.alias("rank"))
+
+
+# --- joins and search -----------------------------------------------------------------------------
+
+
+@query("""
+WITH x AS (SELECT item_id, lower(substr(text, 1, 12)) AS k, CASE item_id % 3 WHEN 0 THEN 'must_read' WHEN 1 THEN 'useful' ELSE 'peripheral' END AS tier FROM benchmark),
+c AS (SELECT lower(substr(text, 1, 12)) AS k, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+j AS (SELECT x.*, c.doc_id, CASE c.doc_id % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' WHEN 3 THEN 'Exclude' END AS p FROM x LEFT JOIN c USING (k))
+SELECT item_id, doc_id, CASE WHEN doc_id IS NULL THEN 'missing_' || tier WHEN tier = 'must_read' THEN CASE WHEN p IN ('High', 'Medium') THEN 'correct_must_read' ELSE 'under_scored' END
+  WHEN tier = 'useful' THEN CASE WHEN p IN ('Medium', 'Low') THEN 'correct_useful' WHEN p = 'Exclude' THEN 'under_scored' ELSE 'over_scored' END
+  ELSE CASE WHEN p IN ('Low', 'Exclude') THEN 'correct_peripheral' ELSE 'over_scored' END END AS verdict FROM j""")
+def reference_list_verdicts(spark, d):
+    """Benchmark items as listed papers, documents with equal beginnings as the corpus."""
+    k = F.lower(F.substring("text", 1, 12)).alias("k")
+    tier = F.element_at(F.array(*map(F.lit, ["must_read", "useful", "peripheral"])), (F.col("item_id") % 3 + 1).cast("int"))
+    listed = table(spark, d, "benchmark").select("item_id", k, tier.alias("tier"))
+    found = joins.list_matches(listed, table(spark, d, "documents").select(k, "doc_id"), "k", ["doc_id"])
+    i = F.col("doc_id") % 4
+    p = F.when(i == 0, "High").when(i == 1, "Medium").when(i == 2, "Low").when(i == 3, "Exclude")
+    verdict = F.when(F.col("present"), quality.present_verdict(F.col("tier"), p)).otherwise(quality.missing_verdict(F.col("tier")))
+    return found.select("item_id", "doc_id", verdict.alias("verdict"))
+
+
+@query("""
+WITH m AS (SELECT doc_id, source, lang FROM documents WHERE contains(lower(coalesce(text, '')), 'license') AND lang = 'en')
+SELECT doc_id, rank::INTEGER AS rank, (SELECT count(*) FROM m) AS total FROM (SELECT *, row_number() OVER (ORDER BY source DESC, doc_id) AS rank FROM m) WHERE rank <= 50""")
+def search_filter(spark, d):
+    """Whole texts as blobs, sources as dates."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("date"), F.col("lang").alias("direction"), F.lit("High").alias("priority"), F.lit("").alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("blob"))
+    rows, total = search.search(docs, " License ", direction="en")
+    rank = F.row_number().over(windows.W.orderBy(F.desc("date"), "key"))
+    return rows.select(F.col("key").alias("doc_id"), rank.alias("rank")).join(F.broadcast(total))
+
+
+@query(r"""
+WITH k AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a' || c_nationkey ELSE '' END AS arxiv, 'd' || (c_custkey // 2) AS doi FROM customer),
+g AS (SELECT doi, min(nullif(arxiv, '')) AS a, max(nullif(arxiv, '')) AS b FROM k GROUP BY 1)
+SELECT c_custkey, k.doi, coalesce(nullif(arxiv, ''), CASE WHEN a = b THEN a END, '') AS arxiv FROM k JOIN g ON g.doi = k.doi""")
+def borrowed_ids(spark, d):
+    """Pairs of customers share a DOI; an id is borrowed where the group has exactly one."""
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("d"), F.floor(F.col("c_custkey") / 2).cast("string")).alias("doi"), F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("a"), "c_nationkey")).otherwise("").alias("arxiv"))
+    return joins.borrow_unique(rows, "doi", "arxiv")
+
+
+@query("""
+WITH a AS (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey % 2 = 0), b AS (SELECT n_nationkey AS k, lower(n_name) AS v FROM nation WHERE n_nationkey % 3 = 0)
+SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM a FULL JOIN b ON a.k = b.k""")
+def precedence_union(spark, d):
+    """A nation's row from the first of two files that has it."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    return joins.precedence_union([n.filter("k % 2 = 0"), n.filter("k % 3 = 0").withColumn("v", F.lower("v"))], "k")
+
+
+@query("SELECT c_custkey, coalesce(n_name, '?') AS nation, coalesce(r_name, '?') AS region FROM customer LEFT JOIN (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+def dimension_lookup(spark, d):
+    """Nations as configured directions, with a default."""
+    dim = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter("n_nationkey < 20").select("n_nationkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+    return joins.lookup(table(spark, d, "customer").select("c_custkey", "c_nationkey"), dim, "c_nationkey", "n_nationkey", {"nation": "?", "region": "?"}).select("c_custkey", "nation", "region")
+
+
+# --- audits, gates, cost --------------------------------------------------------------------------
+
+
+@query("""
+SELECT d.doc_id, round(100.0 * ((trim(coalesce(text, '')) <> '')::INTEGER + (coalesce(lang, '') <> '')::INTEGER + (quality IS NOT NULL)::INTEGER + (toxic IS NOT NULL)::INTEGER) / 4, 1) AS completeness,
+  CASE WHEN quality IS NULL THEN 'unknown' WHEN quality = 1 AND contains(lower(text), 'idiot') THEN 'clear_mismatch' WHEN quality = 0 AND contains(lower(text), 'license') AND NOT contains(lower(text), 'idiot') THEN 'clear_mismatch' WHEN quality = 1 AND FALSE THEN 'mild_mismatch' ELSE 'consistent' END AS consistency
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE NOT (coalesce(contains(lower(text), 'idiot'), FALSE) AND coalesce(contains(lower(text), 'license'), FALSE))""")
+def quality_audit(spark, d):
+    """labels as scores; texts with cues of both kinds are left out."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    low = F.lower(F.coalesce("text", F.lit("")))
+    rows = rows.filter(~(low.contains("idiot") & low.contains("license")))
+    fields = [quality.filled(F.col("text")), quality.filled(F.col("lang")), F.col("quality").isNotNull(), F.col("toxic").isNotNull()]
+    priority = F.when(F.col("quality") == 1, "High").when(F.col("quality") == 0, "Low").otherwise("")
+    return rows.select("doc_id", quality.completeness(fields).alias("completeness"), quality.consistency(priority, F.col("text"), F.lit(""), ["idiot"], ["license"]).alias("consistency"))
+
+
+@query("SELECT lang AS value, 'lang' AS \"column\", count(*) AS n, NULL::DOUBLE AS mean FROM documents GROUP BY 1 UNION ALL SELECT source, 'source', count(*), NULL FROM documents GROUP BY 1 UNION ALL SELECT NULL, 'n_chars', count(*), round(avg(n_chars), 6) FROM documents")
+def audit_rollup(spark, d):
+    """A mean and two histograms in one pass."""
+    return aggregates.audit_rollup(table(spark, d, "documents"), ["n_chars"], ["lang", "source"])
+
+
+@query("""
+WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'view') AS routed, count(*) FILTER (WHERE event_type = 'purchase') AS hm, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'signup' AND user_id < 5) AS s FROM events GROUP BY 1),
+f AS (SELECT *, list_filter([CASE WHEN fetched < 50 THEN 'low_fetch_count' END, CASE WHEN routed = 0 THEN 'zero_routed' END, CASE WHEN hm = 0 AND routed > 0 THEN 'zero_high_medium' END, CASE WHEN failed > 0 THEN 'scorer_failed' END, CASE WHEN s = 0 THEN 'signup_returned_zero' END], lambda x: x IS NOT NULL) AS flags FROM e)
+SELECT day, array_to_string(flags, ',') AS flags, CASE WHEN failed > 0 AND failed >= greatest(hm, 1) THEN 'scorer_failed' ELSE '' END AS reasons FROM f""")
+def health_gate(spark, d):
+    """events by day as runs; errors as failed scores."""
+    n = lambda t, more=F.lit(True): F.count_if((F.col("event_type") == t) & more)
+    days = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("fetched"), n("view").alias("routed"), n("purchase").alias("hm"), n("error").alias("failed"), n("signup", F.col("user_id") < 5).alias("s"))
+    flags = quality.quality_flags(F.col("fetched"), F.col("routed"), F.col("hm"), F.col("failed"), {"signup": F.col("s")})
+    return days.withColumn("f", flags).select("day", F.array_join("f", ",").alias("flags"), F.array_join(quality.health_reasons(F.lit("success"), F.col("f"), F.col("failed"), F.col("hm")), ",").alias("reasons"))
+
+
+@query("""
+SELECT event_id, coalesce(date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-07-15 00:00:00') >= CASE event_type WHEN 'view' THEN 180 WHEN 'click' THEN 180 WHEN 'error' THEN 1 WHEN 'signup' THEN 30 END * 86400, TRUE) AS stale FROM events""")
+def ttl_refresh(spark, d):
+    """Event types as statuses of visual records."""
+    t = F.col("event_type")
+    status = F.when(t == "view", "available").when(t == "click", "blocked").when(t == "error", "error").when(t == "signup", "not_found")
+    return table(spark, d, "events").select("event_id", dates.should_refresh(status, F.date_trunc("second", "ts"), F.lit("2024-07-15").cast("timestamp")).alias("stale"))
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, CASE WHEN dayofweek(ts) BETWEEN 1 AND 5 AND (hour(ts) BETWEEN 1 AND 3 OR hour(ts) BETWEEN 6 AND 9) THEN 'peak' ELSE 'off_peak' END AS win, user_id * 100 AS prompt, CASE WHEN event_id % 2 = 0 THEN user_id * 40 END AS hit, user_id * 10 AS completion FROM events)
+SELECT win AS "window", count(*) AS calls, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, round(sum(CASE WHEN hit IS NULL THEN prompt ELSE prompt - hit END * 3 + coalesce(hit, 0) + completion * 9)::DOUBLE / 1000000, 4) AS cost FROM e GROUP BY 1""")
+def cost_by_window(spark, d):
+    """Calls with made-up token counts by price window."""
+    u, even = F.col("user_id"), F.col("event_id") % 2 == 0
+    rows = table(spark, d, "events").select(dates.price_window(F.col("ts")).alias("window"), (u * 100).alias("prompt"), F.when(even, u * 40).alias("hit"), F.when(even, u * 60).alias("miss"), (u * 10).alias("completion"))
+    rates = (1.0, 3.0, 9.0)
+    sums = rows.groupBy("window").agg(F.count("*").alias("calls"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"), F.sum(F.coalesce("hit", F.lit(0))).alias("_h"), F.sum(F.coalesce("miss", "prompt")).alias("_m"))
+    return sums.select("window", "calls", "prompt", "completion", F.round((F.col("_h") * rates[0] + F.col("_m") * rates[1] + F.col("completion") * rates[2]) / 1_000_000, 4).alias("cost"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents), l AS (SELECT doc_id, s, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM t)
+SELECT doc_id, length(s) >= 6000 AND len(ls) > 0 AND len(list_filter(ls, lambda x: substr(x, 1, 1) IN ('•', '→', '■', '○', '►'))) * 4 <= len(ls)
+  AND (contains(lower(s), 'introduction')::INT + contains(lower(s), 'method')::INT + contains(lower(s), 'result')::INT + contains(lower(s), 'conclusion')::INT + contains(lower(s), 'discussion')::INT + contains(lower(s), 'experiment')::INT + contains(lower(s), 'we propose')::INT + contains(lower(s), 'we present')::INT + contains(lower(s), 'et al.')::INT) >= 5 AS article, len(ls) AS n_lines FROM l""")
+def article_likeness(spark, d):
+    """F48."""
+    s = F.coalesce("text", F.lit(""))
+    lines = F.size(F.filter(F.split(s, "\n"), lambda x: F.btrim(x) != "")).cast("long")
+    return table(spark, d, "documents").select("doc_id", texts.looks_like_article(F.col("text")).alias("article"), lines.alias("n_lines"))
+
+
+@query(r"""
+WITH l AS (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'https://creativecommons.org/licenses/by/4.0/' WHEN 1 THEN 'CC BY-NC-ND 4.0' WHEN 2 THEN 'cc0' WHEN 3 THEN 'CC_BY_SA' WHEN 4 THEN '' WHEN 5 THEN 'Elsevier user license' WHEN 6 THEN 'https://creativecommons.org/licenses/by-sa/3.0/' ELSE 'CC-BY-ND-v3.0' END AS raw FROM customer)
+SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'CC BY' WHEN 1 THEN 'CC BY-NC-ND' WHEN 2 THEN 'CC0' WHEN 3 THEN 'CC BY-SA' WHEN 4 THEN '' WHEN 5 THEN 'Elsevier user license' WHEN 6 THEN 'CC BY-SA' ELSE 'CC BY-ND' END AS label,
+  CASE c_custkey % 8 WHEN 0 THEN 'CC BY' WHEN 6 THEN 'CC BY-SA' ELSE '' END AS from_url, c_custkey % 8 IN (1, 7) AS restricted FROM l""")
+def license_labels(spark, d):
+    """licence names by customer key."""
+    raws = ["https://creativecommons.org/licenses/by/4.0/", "CC BY-NC-ND 4.0", "cc0", "CC_BY_SA", "", "Elsevier user license", "https://creativecommons.org/licenses/by-sa/3.0/", "CC-BY-ND-v3.0"]
+    raw = F.element_at(F.array(*map(F.lit, raws)), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", rights.license_label(raw).alias("label"), rights.license_url(raw).alias("from_url"), rights.is_restricted(raw).alias("restricted"))
+
+
+@query("SELECT item_id, array_to_string(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> ''), ' ') AS text FROM benchmark")
+def inverted_index_text(spark, d):
+    """An inverted index made from each item, and its text again."""
+    words = F.filter(F.split(F.regexp_replace("text", "\n", " "), " "), lambda x: x != "")
+    spots = table(spark, d, "benchmark").select("item_id", F.posexplode(words).alias("p", "w")).groupBy("item_id", "w").agg(F.collect_list("p").alias("ps"))
+    index = spots.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("i"))
+    return index.select("item_id", readers.inverted_index_text(F.col("i")).alias("text"))
+
+
+# --- streaming ------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def stream_first_seen(spark, d):
+    """Events as a file stream, drained."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    root = f"{shared_dir(spark)}/first-seen-{uuid.uuid4().hex[:12]}"
+    return state.first_seen_stream(stream, ["user_id", "event_type"], ["ts", "event_id"], f"{root}/state", f"{root}/checkpoint").select("user_id", "event_type", "event_id")
