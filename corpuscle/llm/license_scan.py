@@ -19,6 +19,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.runtime import shielded
+
 MATCH = 0.8
 #: Fixed values: (label, words, key phrases); the first three are the base phrases.
 TEMPLATES = [
@@ -97,7 +99,9 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """df's other columns with n_words, n_base, first_word, last_word, base_labels, labels, score."""
     weight = idf(df, text)
     index = rare_index(weight)
-    names = [c for c in df.columns if c not in (text, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]
+    made = (text, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    rows, back = shielded(df, text)
+    back = [b for b, c in zip(back, df.columns, strict=True) if c not in made]
     pair = lambda t, p: F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"))
     postings = F.create_map(*chain.from_iterable((F.lit(w), F.array(*[pair(*x) for x in ps])) for w, ps in index.items()))
     each = {t: [(p, w, k) for u, p, w, k in template_rows() if u == t] for t in range(len(TEMPLATES))}
@@ -106,7 +110,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     total = F.array(*[F.lit(sum(weight[w] for _, w, _ in each[t])) for t in each])
     labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
 
-    out = df.select(*names, words(F.col(text)).alias("_w"))
+    out = rows.withColumn("_w", words(F.col(text)))
     rare = F.array(*map(F.lit, index))
     hits = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(*index), i)), lambda i: i.isNotNull())
     out = out.withColumn("_hits", F.when(F.arrays_overlap("_w", rare), hits).otherwise(F.array().cast("array<int>")))
@@ -126,7 +130,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     starts = F.transform("_base", lambda x: x["o"])
     best = F.coalesce(F.array_max(F.transform("_found", lambda x: x["s"])), F.lit(0.0))
     return out.select(
-        *names,
+        *back,
         F.size("_w").cast("long").alias("n_words"),
         F.size("_base").cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"),

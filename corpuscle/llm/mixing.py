@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuscle.runtime import Scratch
+from corpuscle.runtime import Scratch, shielded
 
 GOLDEN = 0.6180339887498949
 #: Slots for each source on average, and the most tokens of a block.
@@ -129,8 +129,9 @@ def mixed(df: DataFrame, scratch: Scratch | None = None, **how) -> DataFrame:
     copies = scratch.write(copies.filter("_copies > 0").withColumnRenamed("rid", "_rid"), "copies")
     if copies.count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)
-    out = df.withColumn("_rid", F.xxhash64("doc_id", "text")).join(copies, "_rid")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(df.columns)
+    rows, back = shielded(df, "doc_id", "text")
+    out = rows.withColumn("_rid", F.xxhash64("doc_id", "text")).join(copies, "_rid")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*back)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.runtime import Scratch
+from corpuscle.runtime import Scratch, shielded
 
 #: Share of a group that a concentration step keeps, steps, and rows a group must have.
 HALF, STEPS, LEAST = 0.75, 3, 200
@@ -144,9 +144,10 @@ def mcd(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFra
 
 def judged(df: DataFrame, scratch: Scratch, text: str = "text", cut: float = CUT) -> DataFrame:
     """df's other columns with the counts, base_failed, distance (squared) and kept."""
-    names = [c for c in df.columns if c != text and c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")]
-    keep = list(dict.fromkeys([*names]))
-    rows = counts(df.select(*keep, text), text, keep)
+    made = (text, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+    own, back = shielded(df, "lang", "source", text)
+    back = [b for b, c in zip(back, df.columns, strict=True) if c not in made]
+    rows = counts(own.drop(*[f"__own{k}" for k, c in enumerate(df.columns) if c in made]), text)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     group = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source")]
     rows = rows.withColumns({"base_failed": failed, "_lang": group[0], "_source": group[1]})
@@ -165,7 +166,7 @@ def judged(df: DataFrame, scratch: Scratch, text: str = "text", cut: float = CUT
     est = scratch.write(groups.select("_lang", "_source", F.coalesce("a", "b", "c").alias("e")).select("_lang", "_source", "e.*"), "estimates")
     out = rows.join(est, ["_lang", "_source"]).withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
-    return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    return out.select(*back, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
 
 
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

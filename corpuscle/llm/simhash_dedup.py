@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import hamming
 from corpuscle.llm.components import components
-from corpuscle.runtime import Scratch, prepare
+from corpuscle.runtime import Scratch, prepare, shielded
 
 #: Words of a shingle and the seed of its hash.
 SHINGLE, SEED = 4, 42
@@ -152,13 +152,14 @@ def keep_one(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(df.sparkSession, "simhash")
     found = scratch.write(near_duplicates(df, scratch=scratch).filter("doc_id is not null"), "found")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    out = df.join(ids.filter(~F.col("stays")).select("doc_id"), "doc_id", "left_anti").select(df.columns)
+    rows, back = shielded(df, "doc_id", "text")
+    out = rows.join(ids.filter(~F.col("stays")).select("doc_id"), "doc_id", "left_anti")
     again = scratch.write(ids.filter(F.col("stays") & (F.col("n") > 1)).select("doc_id"), "again")
     if again.isEmpty():
-        return out
-    one = W.partitionBy("doc_id").orderBy("text", *[c for c in df.columns if c not in ("doc_id", "text")])
+        return out.select(*back)
+    one = W.partitionBy("doc_id").orderBy("text", *[c for c in rows.columns if c.startswith("__own")])
     kept = out.join(again, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(one)).filter("_rank = 1")
-    return out.join(again, "doc_id", "left_anti").select(df.columns).union(kept.select(df.columns))
+    return out.join(again, "doc_id", "left_anti").select(*back).union(kept.select(*back))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

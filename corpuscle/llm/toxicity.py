@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from corpuscle.llm.bpe import _mapped
 from corpuscle.llm.license_scan import words as word_array
-from corpuscle.runtime import Scratch, prepare
+from corpuscle.runtime import Scratch, prepare, shielded
 
 #: Labelled documents taken as examples, at most; terms, at most; examples that a term needs.
 SAMPLE, TERMS, LEAST = 20_000, 4096, 3
@@ -220,9 +220,8 @@ def scored(df: DataFrame, index: Index, ids: list, text: str = "text", threshold
 def drop_toxic(df: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """df without the rows predicted toxic; the examples are those of df that labels mark."""
     index, ids = learn(df, labels, scratch or Scratch(df.sparkSession, "toxicity"))
-    own = [F.col(c).alias(f"_{k}") for k, c in enumerate(df.columns)]  # so no column clashes
-    out = scored(df.select(*own, F.col("text").alias("_text")), index, ids, "_text").filter("predicted = 0")
-    return out.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(df.columns)])
+    rows, back = shielded(df, "text")
+    return scored(rows, index, ids).filter("predicted = 0").select(*back)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
