@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -57,5 +58,13 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def shielded(df: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """(df under names that clash with nothing, besides the used columns under their own; the
+    columns that restore df as it was)."""
+    own = [df[f"`{c}`"] for c in df.columns]
+    out = df.select(*[c.alias(f"__own{k}") for k, c in enumerate(own)], *[df[c].alias(c) for c in used])
+    return out, [F.col(f"__own{k}").alias(c) for k, c in enumerate(df.columns)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
