@@ -153,7 +153,7 @@ def corpus_cutoff(papers: DataFrame) -> DataFrame:
 
 def pivot_counts(df: DataFrame, by: str, column: str, values: list[str]) -> DataFrame:
     """A column of counts for each value."""
-    return df.groupBy(by).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(by).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def revision(pages: DataFrame, by: str, content: str) -> DataFrame:

@@ -15,7 +15,7 @@ RULES = [
     ("graph-library", "scope", "error", "graph analysis", "import", r"^(networkx|igraph|graph_tool)(\.|$)"),
     ("vector-library", "scope", "error", "embeddings and vector search", "import", r"^(faiss|sentence_transformers|gensim|annoy|hnswlib)(\.|$)"),
     ("fuzzy-match", "scope", "error", "fuzzy identity", "import", r"^(rapidfuzz|fuzzywuzzy|Levenshtein|jellyfish|difflib)(\.|$)"),
-    ("citation-name", "scope", "warning", "citation analysis", "name", r"citation_(graph|network)|co_?citation|pagerank"),
+    ("citation-name", "scope", "warning", "citation analysis", "name", r"citation_(graph|network)|co_?citation|page_?rank"),
     ("embedding-name", "scope", "warning", "embeddings", "name", r"(^|_)(embedding|embed)s?(_|$)"),
     ("dynamic-code", "safety", "error", "code from text", "call", r"^(eval|exec)$"),
 ]
@@ -67,4 +67,4 @@ def audit(files: DataFrame) -> DataFrame:
 
 def rollup(found: DataFrame) -> DataFrame:
     """Violations by category and severity."""
-    return found.groupBy("category").pivot("severity", ["error", "warning"]).agg(F.count("*")).na.fill(0)
+    return found.groupBy("category").pivot("severity", ["error", "warning"]).agg(F.count(F.lit(1))).na.fill(0)

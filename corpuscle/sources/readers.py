@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -152,44 +153,34 @@ def cursor_pages(get: Callable[[dict], dict], params: dict, size: int = 200, mos
     return rows, bool(cursor)
 
 
-class PagedSource(DataSource):
-    """A web source as Spark reads it: one partition for each query of the option
-    `queries` (JSON list), read by the callable that `register_fetcher` has named."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
-
-    def schema(self) -> str:
-        return "query string, position int, body string"
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _PagedReader(self.options)
-
-
 class _PagedReader(DataSourceReader):
-    def __init__(self, options):
-        import json
-
-        self.queries, self.fetch = json.loads(options.get("queries", "[]")), FETCHERS[options["fetcher"]]
+    def __init__(self, queries: list[str], fetch: Callable[[str], list[dict]]):
+        self.queries, self.fetch = queries, fetch
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(q) for q in self.queries]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import json
-
         for k, row in enumerate(self.fetch(partition.value)):
             yield partition.value, k, json.dumps(row, sort_keys=True)
 
 
-FETCHERS: dict[str, Callable[[str], list[dict]]] = {}
+def register_fetcher(spark: SparkSession, name: str, fetch: Callable[[str], list[dict]]) -> None:
+    """A web source as Spark reads it, under a format name: one partition for
+    each query of the option `queries` (a JSON list). Tests hand in a fetcher without a network."""
 
+    class Paged(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
 
-def register_fetcher(spark: SparkSession, name: str, fetch: Callable[[str], list[dict]]) -> None:
-    """A fetcher by name; tests hand in one without a network."""
-    FETCHERS[name] = fetch
-    spark.dataSource.register(PagedSource)
+        def schema(self) -> str:
+            return "query string, position int, body string"
+
+        def reader(self, schema: T.StructType) -> DataSourceReader:
+            return _PagedReader(json.loads(self.options.get("queries", "[]")), fetch)
+
+    spark.dataSource.register(Paged)
 
 
 def resolve_batches(df: DataFrame, key: str, resolve: Callable[[list[str]], dict[str, str]], size: int = 50) -> DataFrame:
