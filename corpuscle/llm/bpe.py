@@ -37,6 +37,10 @@ _NONE = 1 << 31
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Text is cut here first; no match of a pre-token pattern of this family crosses these cuts.
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: A space between two other characters: text can be cut before it.
+CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
+#: Characters (or bytes) of a text that are worked on at once, which bounds a long text's memory.
+SLICE = 1 << 20
 #: Entries that a worker remembers for units and for pieces, each; forgotten all at once.
 REMEMBERED = 400_000
 
@@ -149,12 +153,31 @@ class Codec:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.units.__getitem__, UNIT.findall(text or "")))
+        text = text or ""
+        if len(text) <= SLICE:
+            return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
+        out, start = [], 0
+        while start < len(text):
+            cut = CUT.search(text, start + SLICE)
+            stop = cut.start() if cut else len(text)
+            out.append(b"".join(map(self.units.__getitem__, UNIT.findall(text[start:stop]))))
+            start = stop
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, array("I", ids)))
 
 
+def slices(raw: bytes) -> Iterator[bytes]:
+    """A UTF-8 text in parts that end before a space."""
+    start = 0
+    while start < len(raw):
+        stop = raw.find(b" ", start + SLICE)
+        stop = stop if stop >= 0 else len(raw)
+        yield raw[start:stop] if start or stop < len(raw) else raw
+        start = stop
+
+
 class _Memo(dict):
     def __init__(self, make):
         self.make = make

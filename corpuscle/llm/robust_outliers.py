@@ -126,6 +126,7 @@ def mcd(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFra
     """Location m0.., whitening l00.. of each key, from rows with the statistics."""
     p = len(STATS)
     middle = rows.groupBy(*key).agg(*[F.percentile_approx(x, 0.5, ACCURACY).alias(f"m{k}") for k, x in enumerate(STATS)])
+    middle = scratch.write(middle, f"{name}-middle")
     off = _with(rows, middle, key)
     mad = off.groupBy(*key, *[f"m{k}" for k in range(p)]).agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{k}")), 0.5, ACCURACY).alias(f"a{k}") for k, x in enumerate(STATS)])
     start = mad.withColumns({f"c{i}{j}": F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FLOOR[i])) ** 2 if i == j else F.lit(0.0) for i in range(p) for j in range(i, p)})
@@ -134,9 +135,11 @@ def mcd(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFra
     for step in range(1, STEPS + 2):
         near = _with(rows, est, key).withColumn("d", _distance())
         if step <= STEPS:
-            limit, level = near.groupBy(*key).agg(F.percentile_approx("d", HALF, ACCURACY).alias("limit")), F.col("limit")
+            limit, level = F.percentile_approx("d", HALF, ACCURACY), F.col("limit")
         else:  # consistent scale, then everything within the quantile counts
-            limit, level = near.groupBy(*key).agg((F.percentile_approx("d", 0.5, ACCURACY) / MEDIAN).alias("limit")), REWEIGHT * F.greatest(F.col("limit"), F.lit(1.0))
+            limit, level = F.percentile_approx("d", 0.5, ACCURACY) / MEDIAN, REWEIGHT * F.greatest(F.col("limit"), F.lit(1.0))
+        # written: of a known size, a row a group, so rows need not be dealt out by group to meet it
+        limit = scratch.write(near.groupBy(*key).agg(limit.alias("limit")), f"{name}-{step}-limit")
         inside = _with(near.select(*key, *STATS, "d"), limit, key).filter(F.col("d") <= level)
         est = scratch.write(_factor(_moments(inside, key)).select(keep), f"{name}-{step}")
     return est

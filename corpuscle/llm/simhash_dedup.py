@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscle.llm import hamming
+from corpuscle.llm.bpe import slices
 from corpuscle.llm.components import components
 from corpuscle.runtime import Scratch, prepare, shielded
 
@@ -37,30 +38,29 @@ SHINGLE, SEED = 4, 42
 PIVOTS = np.random.default_rng(64).integers(0, 1 << 63, 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _AT = np.arange(8) * 256
-#: Shingles counted at once, which bounds the memory of a very long text.
-CHUNK = 1 << 17
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """Bit set: it is set in over half the hashes of the text's shingles, repeats included."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
-    if not n:
-        return 0
-    digest = xxhash.xxh64_digest
-    if n <= width:
-        return int.from_bytes(digest(b" ".join(words), SEED), "big")
-    joined = b" ".join(words)
-    length = np.fromiter(map(len, words), np.int64, n)
-    ends = np.cumsum(length + 1) - 1
-    starts, ends = (ends - length)[: n - width + 1], ends[width - 1 :]
-    counts = np.zeros((8, 256), np.int64)
-    for k in range(0, len(starts), CHUNK):
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + CHUNK].tolist(), ends[k : k + CHUNK].tolist())])
+    digest, counts, total, kept = xxhash.xxh64_digest, np.zeros((8, 256), np.int64), 0, []
+    for part in slices((text or "").encode().lower()):
+        words = kept + part.split()  # shingles run on from one part into the next
+        n = len(words) - width + 1
+        kept = words[-(width - 1) :] if width > 1 else []
+        if n < 1:
+            continue
+        joined = b" ".join(words)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(length + 1) - 1
+        starts, ends = (ends - length)[:n], ends[width - 1 :]
+        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())])
         at = np.frombuffer(hashes, np.uint8).reshape(-1, 8) + _AT
         counts += np.bincount(at.ravel(), minlength=2048).reshape(8, 256)
+        total += n
+    if not total:
+        return int.from_bytes(digest(b" ".join(kept), SEED), "big") if kept else 0
     set_in = (counts @ _BITS).ravel()
-    return int.from_bytes(np.packbits(2 * set_in > n - width + 1).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * set_in > total).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

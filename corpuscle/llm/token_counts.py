@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from corpuscle.llm.bpe import _NONE, _mapped, _Memo
+from corpuscle.llm.bpe import _NONE, _mapped, _Memo, slices
 from corpuscle.runtime import prepare
 
 
@@ -143,7 +143,7 @@ class Counter:
 
     def count(self, raw: bytes) -> int:
         """Tokens of a whole UTF-8 text."""
-        return sum(map(self.chunks.__getitem__, raw.split()))
+        return sum(sum(map(self.chunks.__getitem__, part.split())) for part in slices(raw))
 
 
 _COUNTERS: dict[str, Counter] = {}

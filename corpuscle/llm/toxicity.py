@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.bpe import _mapped
+from corpuscle.llm.bpe import _mapped, slices
 from corpuscle.llm.license_scan import words as word_array
 from corpuscle.runtime import Scratch, prepare, shielded
 
@@ -45,9 +46,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def tokens(raw: bytes) -> list[bytes]:
+def tokens(raw: bytes) -> Iterator[bytes]:
     """Words of a UTF-8 text, A-Z lower-cased: all but other ASCII than letters and digits."""
-    return raw.translate(_FOLD).split()
+    return chain.from_iterable(part.translate(_FOLD).split() for part in slices(raw))
 
 
 class Index:

@@ -512,3 +512,21 @@ def test_pipeline_equals_its_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     rows = out.select("n_tokens", "ids", "ids_sha256").collect()
     assert rows and all(len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 for r in rows)
+
+
+def test_long_texts_are_worked_on_in_parts(monkeypatch):
+    rng = random.Random(15)
+    text = "".join(rng.choice(["Word", "é中", " ", "  ", "\n", "!", "x" * 30, " a b c d"]) for _ in range(4000))
+    whole = bpe.codec(BYTES, P.PATTERN).encode(text), token_counts.counter(WORDS).count(text.encode()), simhash_dedup.fingerprint(text), list(toxicity.tokens(text.encode()))
+    lines = [x.tolist() for x in line_dedup.line_hashes(text.encode())]
+    monkeypatch.setattr(bpe, "SLICE", 50)
+    assert (bpe.codec(BYTES, P.PATTERN).encode(text), token_counts.counter(WORDS).count(text.encode()), simhash_dedup.fingerprint(text), list(toxicity.tokens(text.encode()))) == whole
+    monkeypatch.setattr(line_dedup, "PART", 64)
+    got = [[], [], []]
+    for docs, offsets, body in line_dedup._parts([None, text.encode(), b""]):
+        line, lid, fp = line_dedup.line_hashes(body)
+        part = np.searchsorted(offsets, line, side="right") - 1
+        assert (docs[part, 0] == 1).all()
+        for out, x in zip(got, (line - offsets[part] + docs[part, 1], lid, fp)):
+            out += x.tolist()
+    assert got == lines
