@@ -2,13 +2,13 @@
 
 Terms are words whose presence goes with the label among the learnable labelled documents: the
 log-likelihood gain of a word's own rate of label 1 over the base rate must outweigh the number of
-words it was picked from, tenfold. IDF is counted over all documents. Examples
-are a bounded, documented sample: the SAMPLE labelled documents that come first in hash order. They
-stand in an inverted index whose posting lists are cut into blocks of BLOCK examples with the
-largest weight of each block, so a search visits blocks by descending bound and stops when no
-block can reach the K-th score; its result is exact, ties going to the earlier example. Votes are
-weighted by closeness, smoothed by the base rate, and calibrated by isotonic regression on the
-examples' own leave-one-out votes.
+words it was picked from, tenfold. IDF is counted over all documents. Examples are a bounded,
+documented sample: the SAMPLE labelled documents that come first in hash order, of near copies
+among them one. They stand in an inverted index whose posting lists are cut into blocks of BLOCK
+examples with the largest weight of each block, so a search visits blocks by descending bound and
+stops when no block can reach the K-th score; its result is exact, ties going to the earlier
+example. Votes are weighted by closeness, smoothed by the base rate, and calibrated by isotonic
+regression on the examples' own leave-one-out votes.
 
 Defined results: null and empty texts, and texts without a term, get the calibrated rate of the
 examples without a term; null labels teach nothing; if labels of a doc_id disagree, toxic wins;
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle.llm.bpe import _mapped, slices
+from corpuscle.llm.hamming import forest, linked
 from corpuscle.llm.license_scan import words as word_array
+from corpuscle.llm.simhash_dedup import fingerprints
 from corpuscle.runtime import Scratch, prepare, shielded
 
 #: Labelled documents taken as examples, at most; terms, at most; examples that a term needs.
@@ -37,6 +39,8 @@ SAMPLE, TERMS, LEAST = 20_000, 4096, 3
 #: Examples of a block of the index, neighbours that vote, weight of the base rate in a vote.
 BLOCK, K, PRIOR = 256, 32, 1.0
 THRESHOLD = 0.3
+#: Differing bits of a SimHash up to which two examples count as copies of one text.
+COPIES = 10
 #: Searches that a worker remembers.
 REMEMBERED = 100_000
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -146,6 +150,10 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
     known = known.groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("_y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
+    rows = scratch.write(rows.groupBy("doc_id", "_y").agg(F.min("text").alias("text")), "sample")
+    kept = _distinct_texts([(r["doc_id"], r["fp"]) for r in fingerprints(rows).collect()])
+    kept = docs.sparkSession.createDataFrame([(i,) for i in kept], rows.select("doc_id").schema)
+    rows = rows.join(F.broadcast(kept), "doc_id")
     held = rows.select("_y", F.explode(F.array_distinct(word_array(F.col("text")))).alias("t"))
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not n or not pos or pos == n:
@@ -186,6 +194,17 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
     return index, [r["doc_id"] for r in found]
 
 
+def _distinct_texts(found: list[tuple]) -> list:
+    """doc_ids of the bounded sample, one of each group of near copies: copies would make the chance
+    words of one text look like signs of its label."""
+    found = sorted(found, key=lambda r: (hash_order(r[0]), r[0]))
+    x = np.array([fp for _, fp in found], np.int64).view(np.uint64)
+    near = np.flatnonzero(linked(x, COPIES)) if len(x) else np.zeros(0, np.int64)
+    edges = forest(x[near], lambda i, others: np.bitwise_count(x[near][others] ^ x[near][i]) <= COPIES)
+    gone = {int(near[j]) for _, j in edges}  # the root of each tree is its first in hash order
+    return [i for k, (i, _) in enumerate(found) if k not in gone]
+
+
 def hash_order(doc_id) -> int:
     """Spreads examples over blocks, whatever the order of their ids."""
     import xxhash
