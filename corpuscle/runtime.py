@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -40,11 +42,14 @@ class Scratch:
     """Written intermediate tables of one query, in the shared folder.
 
     A written table cuts lineage and outlives executors. drop() removes tables that no later
-    step reads.
+    step reads; what is left goes when the driver ends.
     """
 
+    live: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.live.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -58,6 +63,13 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@atexit.register
+def _drop_scratch() -> None:
+    for one in Scratch.live:
+        with contextlib.suppress(Exception):  # the session may have ended first
+            one.drop()
+
+
 def shielded(df: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
     """(df under names that clash with nothing, besides the used columns under their own; the
     columns that restore df as it was)."""
