@@ -13,6 +13,7 @@ kept exactly, and a group of n near copies gives n - 1 rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -21,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.runtime import Scratch
+
 RADIUS = 4
 #: Rows of a bucket above which it is cut into parts, and the mean rows a bucket may have.
 SPLIT, MEAN = 8192, 1024
+#: Large buckets up to which their list is broadcast: a megabyte or two.
+BROADCAST_ROWS = 50_000
 
 
 def plan(n: int, radius: int = RADIUS) -> list[int]:
@@ -41,12 +46,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def buckets(df: DataFrame, n: int, fp: str = "fp", radius: int = RADIUS) -> DataFrame:
+def buckets(df: DataFrame, n: int, scratch: Scratch, fp: str = "fp", radius: int = RADIUS) -> DataFrame:
     """df's rows once for each table (and part), with a column bucket; rows that must meet share one."""
     keys = F.array(*[F.xxhash64(F.lit(k), F.col(fp).bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(plan(n, radius))])
     rows = df.withColumn("bucket", F.explode(keys))
     hot = rows.groupBy("bucket").count().filter(F.col("count") > SPLIT).select("bucket", F.ceil(F.col("count") / SPLIT).alias("parts"))
-    rows = rows.join(hot, "bucket", "left")
+    hot = scratch.write(hot, f"hot-{uuid.uuid4().hex[:8]}")
+    large = hot.count()
+    if not large:
+        return rows
+    rows = rows.join(F.broadcast(hot) if large <= BROADCAST_ROWS else hot, "bucket", "left")
     mine = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("parts"))
     meets: Callable[[Column], Column] = lambda j: F.xxhash64("bucket", F.least(mine, j), F.greatest(mine, j))
     parts = F.when(F.col("parts").isNull(), F.array("bucket")).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), meets))

@@ -125,7 +125,7 @@ def _maybe(x: np.ndarray, radius: int) -> np.ndarray:
 def classes(fps: DataFrame, scratch: Scratch, radius: int = hamming.RADIUS) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint: the smallest doc_id reachable by links."""
     own = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    rows = hamming.buckets(own.select("fp"), own.count(), radius=radius)
+    rows = hamming.buckets(own.select("fp"), own.count(), scratch, radius=radius)
     fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     edges = scratch.write(hamming.by_bucket(rows, ["fp"], lambda fp: pivot_forest(fp, radius), "a long, b long"), "edges")
     prepare(fps.sparkSession)

@@ -178,7 +178,7 @@ def test_split_buckets_lose_no_link(spark, monkeypatch):
     rng = random.Random(5)
     x = sorted({0b1011 ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(60)})
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in x], "fp long")
-    edges = hamming.by_bucket(hamming.buckets(df, len(x)), ["fp"], simhash_dedup.pivot_forest, "a long, b long")
+    edges = hamming.by_bucket(hamming.buckets(df, len(x), Scratch(spark, "t")), ["fp"], simhash_dedup.pivot_forest, "a long, b long")
     found = {r.node: r.component for r in components.components(edges, Scratch(spark, "t")).collect()}
     want = groups_of(x, lambda i, j: (x[i] ^ x[j]).bit_count() <= 4)
     sign = lambda v: v - (1 << 64) if v >> 63 else v
