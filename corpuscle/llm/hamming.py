@@ -49,17 +49,21 @@ def _signed(x: int) -> int:
 def buckets(df: DataFrame, n: int, scratch: Scratch, fp: str = "fp", radius: int = RADIUS) -> DataFrame:
     """df's rows once for each table (and part), with a column bucket; rows that must meet share one."""
     keys = F.array(*[F.xxhash64(F.lit(k), F.col(fp).bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(plan(n, radius))])
-    rows = df.withColumn("bucket", F.explode(keys))
+    return spread(df.withColumn("bucket", F.explode(keys)), df.columns, scratch)
+
+
+def spread(rows: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
+    """rows with the buckets above SPLIT rows cut into parts, so that each two parts share a bucket."""
     hot = rows.groupBy("bucket").count().filter(F.col("count") > SPLIT).select("bucket", F.ceil(F.col("count") / SPLIT).alias("parts"))
     hot = scratch.write(hot, f"hot-{uuid.uuid4().hex[:8]}")
     large = hot.count()
     if not large:
         return rows
     rows = rows.join(F.broadcast(hot) if large <= BROADCAST_ROWS else hot, "bucket", "left")
-    mine = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("parts"))
+    mine = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.col("parts"))
     meets: Callable[[Column], Column] = lambda j: F.xxhash64("bucket", F.least(mine, j), F.greatest(mine, j))
     parts = F.when(F.col("parts").isNull(), F.array("bucket")).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), meets))
-    return rows.select(*df.columns, F.explode(parts).alias("bucket"))
+    return rows.select(*columns, F.explode(parts).alias("bucket"))
 
 
 def linked(x: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -96,14 +100,18 @@ def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.nda
     return [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64) for _ in names]
 
 
-def by_bucket(rows: DataFrame, names: list[str], each: Callable[..., list[tuple[np.ndarray, ...]]], schema: str) -> DataFrame:
+def by_bucket(rows: DataFrame, names: list[str], each: Callable[..., list[tuple[np.ndarray, ...]]], schema: str, some: Callable[..., np.ndarray] | None = None) -> DataFrame:
     """Runs each(*columns) on the rows of every bucket with more than one; columns are in the order
-    of names. A task holds its partition's columns: slim fixed-width rows."""
+    of names. some(bucket, *columns) tells beforehand, for all buckets at once, which rows count.
+    A task holds its partition's columns: slim fixed-width rows."""
 
     def run(batches):
         bucket, *cols = _columns(batches, ["bucket", *names])
         order = np.argsort(bucket, kind="stable")
         bucket, cols = bucket[order], [c[order] for c in cols]
+        if some is not None:
+            left = some(bucket, *cols)
+            bucket, cols = bucket[left], [c[left] for c in cols]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         starts, ends = np.r_[0, cuts], np.r_[cuts, len(bucket)]
         out = []

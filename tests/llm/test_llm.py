@@ -250,6 +250,39 @@ def test_failed_links_are_made_up_for(spark, monkeypatch):
     assert out == {0: [], 1: [0], 2: []}
 
 
+def test_wide_lines_are_found_by_edit_similarity_alone(spark):
+    """Against all pairs of edit similarity >= 0.8, whatever their bits: changed words, lost letters."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    texts = []
+    for n in [2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 40, 60] * 5:
+        w = [rng.choice(vocabulary) for _ in range(n)]
+        texts.append(" ".join(w))
+        for _ in range(2):
+            v = list(w)
+            k = rng.randrange(n)
+            v[k] = rng.choice(["changed", v[k][:-1] or "x", v[k] + "s"])
+            texts.append(" ".join(v))
+    names = sorted(set(texts))
+    fp = {t: int(line_dedup.line_hashes(t.encode())[2][0]) for t in names}
+    pairs = [(a, b) for a in names for b in names if a < b and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9]
+    linked = set(pairs)
+    whole = dict(zip(names, groups_of(names, lambda i, j: (names[j], names[i]) in linked)))
+    df, share = docs_of(spark, names), {}
+    for wide in (False, True):
+        found = line_dedup.lines(df, wide)
+        places, own = found.filter("line_no >= 0"), found.filter("line_no = -2") if wide else None
+        lid = {r.rid: r.lid for r in places.collect()}
+        rid = {r.text: r.rid for r in df.select("text", F.xxhash64("doc_id", "text").alias("rid")).collect()}
+        group = {r.lid: r.grp for r in line_dedup.groups(df, places, Scratch(spark, "t"), sketches=own).collect()}
+        at = {t: group.get(lid[rid[t]], t) for t in names}
+        share[wide] = sum(at[a] == at[b] for a, b in pairs) / len(pairs)
+        assert all(whole[a] == whole[b] for a in names for b in names if at[a] == at[b])  # by edit similarity only
+    far = sum((fp[a] ^ fp[b]).bit_count() > 4 for a, b in pairs)
+    print("pairs", len(pairs), "beyond 4 bits", far, "recall", share)
+    assert far > len(pairs) / 2 and share[True] >= 0.95 > share[False]
+
+
 def test_lines_odd_rows_and_stage(spark):
     df = clashing(odd_docs(spark))
     out = line_dedup.drop_lines(df)
