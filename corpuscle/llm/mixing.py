@@ -5,6 +5,10 @@ interval of the sources' cumulative targets, which gives the slot its source. A
 its source's slots names the block of equal tokens it takes from that source's shuffled stream:
 the source's documents in hash order, repeated as often as a target may need.
 
+A source whose target is below FINE blocks would come out far from it, or with nothing, in whole
+blocks of all sources. It takes its target to the word, in blocks of its own at even slots, the
+last of them partial.
+
 Prefix sums and ranks are made in two levels (about the square root of a source's rows each), so
 no task holds a whole source, however large. Points meet sources by grid cell, an equi-join.
 
@@ -26,6 +30,8 @@ from corpuscle.runtime import Scratch, shielded
 GOLDEN = 0.6180339887498949
 #: Slots for each source on average, and the most tokens of a block.
 SLOTS, LARGEST_BLOCK = 4096, 1 << 20
+#: Blocks of its target below which a source is cut finer.
+FINE = 256
 #: Slots that are ranked together.
 CHUNK = 1 << 14
 #: Rows of (document, copies) up to which they are broadcast: some 20 MB at most.
@@ -82,6 +88,15 @@ def schedule(sources: DataFrame, n_sources: int, total: float, block: int) -> Da
     return ranked.select("sid", (F.col("before") + F.col("rank")).alias("block_no"), "slot")
 
 
+def _planned(sources: DataFrame, n_sources: int, total: float, block: int) -> DataFrame:
+    """The schedule, with the own blocks of the sources that have a limit in place of theirs."""
+    coarse = schedule(sources, n_sources, total, block).join(sources.filter("limit is null").select("sid"), "sid", "left_semi")
+    n = F.ceil(F.col("limit") / F.col("block"))
+    own = sources.filter("limit > 0").select("sid", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block_no"))
+    slot = F.floor((F.col("block_no") + 0.5) * max(1, round(total / block)) / F.col("n"))
+    return coarse.union(own.select("sid", "block_no", slot.alias("slot")))
+
+
 def positions(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """sized with its source's columns, a unique key (sid, part, nth) and the word at which the
     document begins in its source's shuffled stream."""
@@ -106,16 +121,19 @@ def mix(df: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (3, 1, 2),
     sources = scratch.write(targets(sized, weights, share, most), "sources")
     n_sources, total = sources.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     block = int(min(LARGEST_BLOCK, max(1, math.ceil(total / (SLOTS * max(1, n_sources))))))
+    fine = F.col("target") < FINE * block
+    sources = sources.withColumn("block", F.when(fine, F.greatest(F.lit(1), F.ceil(F.col("target") / FINE))).otherwise(block).cast("long"))
+    sources = sources.withColumn("limit", F.when(fine, F.ceil(F.col("target") - 1e-9)))
     docs = positions(sized, sources)
     key = ["sid", "part", "nth", "doc_id", "rid", "source", "size", "source_size", "target"]
     rounds = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1)))
     laps = docs.withColumn("lap", rounds).withColumn("begin", F.col("begin") + F.col("lap") * F.col("source_size"))
     end = F.col("begin") + F.col("size")
-    blocks = F.sequence(F.floor(F.col("begin") / block), F.floor((end - 1) / block))
+    blocks = F.sequence(F.floor(F.col("begin") / F.col("block")), F.floor((end - 1) / F.col("block")))
     pieces = laps.withColumn("end", end).withColumn("block_no", F.explode(F.when(F.col("size") > 0, blocks).otherwise(F.array(F.lit(-1).cast("long")))))
-    part = F.least("end", (F.col("block_no") + 1) * block) - F.greatest("begin", F.col("block_no") * block)
-    pieces = pieces.withColumn("words", part)
-    plan = schedule(sources, n_sources, total, block) if total > 0 else df.sparkSession.range(0).selectExpr("int(id) sid", "id block_no", "id slot")
+    part = F.least("end", (F.col("block_no") + 1) * F.col("block"), "limit") - F.greatest("begin", F.col("block_no") * F.col("block"))
+    pieces = pieces.withColumn("words", F.greatest(F.lit(0), part))
+    plan = _planned(sources, n_sources, total, block) if total > 0 else df.sparkSession.range(0).selectExpr("int(id) sid", "id block_no", "id slot")
     got = pieces.join(plan, ["sid", "block_no"], "left")
     taken = F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).cast("long")
     return got.groupBy(*key).agg(taken.alias("taken")).drop("sid", "part", "nth")

@@ -495,6 +495,18 @@ def test_mix_takes_near_targets_and_reruns_agree(spark):
         assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.01) and own[0].source_size == sum(r.size for r in own)
 
 
+@pytest.mark.parametrize("tiny", ["a", "m", "z"])
+def test_tiny_source_beside_large_ones_comes_near_its_target(spark, tiny):
+    large = spark.range(400).select("id", F.expr("repeat('w ', 20000)").alias("text"), F.expr("concat('l', id % 4)").alias("source"))
+    small = spark.range(1000, 1003).select("id", F.expr("repeat('w ', 3)").alias("text"), F.lit(tiny).alias("source"))
+    more = spark.range(2000, 2010).select("id", F.expr("repeat('w ', 70)").alias("text"), F.lit(f"{tiny}2").alias("source"))
+    df = large.union(small).union(more).select(F.col("id").alias("doc_id"), "text", F.lit("en").alias("lang"), "source", F.lit(None).cast("long").alias("n_chars"))
+    got = mixing.mix(df, Scratch(spark, "t")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 6 and all(abs(r.taken - r.target) <= max(1, 0.01 * r.target) for r in got)
+    kept = mixing.mixed(df).groupBy("source").count().collect()
+    assert {r.source for r in kept} == {r.source for r in got}
+
+
 def test_mixing_odd_rows_and_stage(spark):
     out = mixing.mix(odd_docs(spark), Scratch(spark, "t")).collect()
     assert len(out) == 11 and all(r.taken <= 2 * r.size for r in out)
