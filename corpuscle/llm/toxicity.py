@@ -1,18 +1,24 @@
 """Toxicity by the nearest labelled examples, over an exact TF-IDF cosine.
 
-Terms are words whose presence goes with the label among the learnable labelled documents: the
-log-likelihood gain of a word's own rate of label 1 over the base rate must outweigh the number of
-words it was picked from, tenfold. IDF is counted over all documents. Examples are a bounded,
-documented sample: the SAMPLE labelled documents that come first in hash order, of near copies
-among them one. They stand in an inverted index whose posting lists are cut into blocks of BLOCK
-examples with the largest weight of each block, so a search visits blocks by descending bound and
-stops when no block can reach the K-th score; its result is exact, ties going to the earlier
-example. Votes are weighted by closeness, smoothed by the base rate, and calibrated by isotonic
-regression on the examples' own leave-one-out votes.
+Terms are the words and word beginnings (PREFIXES bytes) that two or more examples hold, whatever
+their labels: the full vocabulary of the sample, words of both classes. A term's weight is its IDF
+over all documents, as a share of the largest possible one, times its relevance G / (G + HALF), G
+being the log-likelihood ratio of its presence against the label among the examples. Plain IDF
+alone ranks examples by chance matches of rare words (figures in the README); the relevance keeps
+every term and damps those that tell nothing. Weights below FLOOR count nothing.
+
+Examples are a bounded, documented sample: the SAMPLE learnable labelled documents that come first
+in hash order, of near copies among them one. They stand in an inverted index whose posting lists
+are cut into blocks of BLOCK examples with the largest weight of each block, so a search visits
+blocks by descending bound and stops when no block can reach the K-th score; its result is exact,
+ties going to the earlier example. Votes are weighted by closeness, smoothed by the base rate, and
+calibrated by isotonic regression on the examples' own leave-one-out votes.
 
 Defined results: null and empty texts, and texts without a term, get the calibrated rate of the
-examples without a term; null labels teach nothing; if labels of a doc_id disagree, toxic wins;
-without any learnable label every score is 0; equal rows get equal rows.
+examples without a term and no evidence; null labels teach nothing; if labels of a doc_id disagree,
+toxic wins; without any learnable label, or with one class only, every score is 0; equal rows get
+equal rows; long texts are counted whole, in parts; columns of the input pass through unless an
+output has the same name, which then replaces it.
 """
 
 from __future__ import annotations
@@ -28,21 +34,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.bpe import _mapped, slices
+from corpuscle.llm.bpe import _mapped, _Memo, slices
 from corpuscle.llm.hamming import forest, linked
-from corpuscle.llm.license_scan import words as word_array
 from corpuscle.llm.simhash_dedup import fingerprints
 from corpuscle.runtime import Scratch, prepare, shielded
 
-#: Labelled documents taken as examples, at most; terms, at most; examples that a term needs.
-SAMPLE, TERMS, LEAST = 20_000, 4096, 3
+#: Labelled documents taken as examples, at most; examples that a term needs, at least; G at which
+#: a term counts half; weight (of 1) below which it counts nothing; bytes of word beginnings.
+SAMPLE, LEAST, HALF, FLOOR, PREFIXES = 10_000, 2, 20.0, 0.01, (4, 5, 6)
 #: Examples of a block of the index, neighbours that vote, weight of the base rate in a vote.
-BLOCK, K, PRIOR = 256, 32, 1.0
+BLOCK, K, PRIOR = 1024, 16, 1.0
 THRESHOLD = 0.3
 #: Differing bits of a SimHash up to which two examples count as copies of one text.
 COPIES = 10
-#: Searches that a worker remembers.
-REMEMBERED = 100_000
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -55,51 +59,80 @@ def tokens(raw: bytes) -> Iterator[bytes]:
     return chain.from_iterable(part.translate(_FOLD).split() for part in slices(raw))
 
 
+def beginnings(word: bytes) -> list[bytes]:
+    """The terms that a word stands for besides itself; the mark keeps them apart from words."""
+    return [word[:k] + b"*" for k in PREFIXES if len(word) > k]
+
+
+class Vocabulary:
+    """Terms by number, and the counts of a text's terms."""
+
+    def __init__(self, terms: list[bytes]):
+        self.number = {t: k for k, t in enumerate(terms)}
+        self.memo: dict[bytes, tuple[int, ...]] = _Memo(self._terms)
+
+    def _terms(self, word: bytes) -> tuple[int, ...]:
+        return tuple(self.number[t] for t in (word, *beginnings(word)) if t in self.number)
+
+    def counts(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(terms in order, how often each occurs)."""
+        got: dict[int, int] = {}
+        for word, n in Counter(tokens(raw)).items():
+            for t in self.memo[word]:
+                got[t] = got.get(t, 0) + n
+        at = np.array(sorted(got), np.int64)
+        return at, np.array([got[t] for t in at.tolist()], np.float64)
+
+
 class Index:
-    """Examples as unit vectors in posting lists with a largest weight for each block."""
+    """Examples as unit vectors in posting lists with a largest weight for each block.
 
-    def __init__(self, idf: dict[bytes, float], examples: list[dict[bytes, int]], labels: list[int]):
-        self.idf, self.y = idf, np.array(labels, float)
-        self.term = {t: k for k, t in enumerate(idf)}
+    weight: of each term; examples: (terms in order, counts); labels: 0 or 1.
+    """
+
+    def __init__(self, weight: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int]):
+        self.weight, self.y = np.asarray(weight, float), np.array(labels, float)
         self.blocks = max(1, -(-len(examples) // BLOCK))
-        lists: list[list[tuple[int, float]]] = [[] for _ in idf]
-        self.empty = np.array([not v for v in examples], bool)
-        for e, vector in enumerate(examples):
-            for t, w in self.unit(vector).items():
-                lists[self.term[t]].append((e, w))
-        self.ids = [np.array([e for e, _ in p], np.int64) for p in lists]
-        self.weights = [np.array([w for _, w in p]) for p in lists]
-        self.cuts = [np.searchsorted(i, np.arange(self.blocks + 1) * BLOCK) for i in self.ids]
-        self.most = np.zeros((len(lists), self.blocks))
-        for t, (i, w) in enumerate(zip(self.ids, self.weights, strict=True)):
-            np.maximum.at(self.most[t], i // BLOCK, w)
+        self.empty = np.array([not len(t) for t, _ in examples], bool)
+        size = np.array([len(t) for t, _ in examples], np.int64)
+        units = [self.unit(*x) for x in examples]
+        term = np.concatenate([t for t, _ in examples]) if len(examples) else np.zeros(0, np.int64)
+        value = np.concatenate(units) if len(examples) else np.zeros(0)
+        example = np.repeat(np.arange(len(examples)), size)
+        order = np.lexsort((example, term))
+        term, self.example, self.value = term[order], example[order].astype(np.int32), value[order]
+        cell = term * self.blocks + self.example // BLOCK
+        cells = len(self.weight) * self.blocks
+        self.cuts = np.searchsorted(cell, np.arange(cells + 1)).astype(np.int32)
+        most = np.zeros(cells, np.float32)
+        np.maximum.at(most, cell, self.value.astype(np.float32))
+        self.most = most.reshape(len(self.weight), self.blocks)
         self.rate = float(self.y.mean()) if len(labels) else 0.0
         self.steps = np.array([[0.0, self.rate]])
         self.none = self.rate
 
-    def unit(self, counts: dict[bytes, int]) -> dict[bytes, float]:
-        out = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in out.values())) or 1.0
-        return {t: w / norm for t, w in out.items()}
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.weight[terms]
+        return w / (np.sqrt((w * w).sum()) or 1.0)
 
-    def nearest(self, counts: dict[bytes, int], k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine, and it; ties to the earlier example."""
-        query = [(self.term[t], w) for t, w in self.unit(counts).items()]
-        bound = sum((w * self.most[t] for t, w in query), np.zeros(self.blocks)) * (1 + 1e-12)
+        w = self.unit(terms, counts)
+        bound = (w @ self.most[terms]) * (1 + 1e-5)  # most is rounded to single precision
         best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
         for b in np.lexsort((np.arange(self.blocks), -bound)).tolist():
-            if bound[b] <= 0 or len(best_s) == k and (bound[b] < best_s[-1]):
+            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1]:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in query:
-                s, e = self.cuts[t][b], self.cuts[t][b + 1]
-                if s < e:
-                    score[self.ids[t][s:e] - b * BLOCK] += w * self.weights[t][s:e]
+            cell = terms * self.blocks + b
+            start = self.cuts[cell].astype(np.int64)
+            n = self.cuts[cell + 1] - start
+            at = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            score = np.bincount(self.example[at] - b * BLOCK, np.repeat(w, n) * self.value[at], BLOCK)
             if 0 <= skip - b * BLOCK < BLOCK:
                 score[skip - b * BLOCK] = 0
-            at = np.flatnonzero(score > (best_s[-1] * (1 - 1e-12) if len(best_s) == k else 0))
-            if len(at):
-                s, e = np.r_[best_s, np.round(score[at], 12)], np.r_[best_e, at + b * BLOCK]
+            some = np.flatnonzero(score > (best_s[-1] * (1 - 1e-9) if len(best_s) == k else 0))
+            if len(some):
+                s, e = np.r_[best_s, np.round(score[some], 12)], np.r_[best_e, some + b * BLOCK]
                 order = np.lexsort((e, -s))[:k]
                 best_s, best_e = s[order], e[order]
         return best_e, best_s
@@ -108,11 +141,11 @@ class Index:
         w = 1 / (1.02 - s)
         return float((w @ self.y[e] + PRIOR * self.rate) / (w.sum() + PRIOR))
 
-    def calibrate(self, examples: list[dict[bytes, int]]) -> None:
+    def calibrate(self, examples: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Isotonic steps from leave-one-out votes to the share of label 1."""
         if self.empty.any():
             self.none = (self.y[self.empty].sum() + self.rate) / (self.empty.sum() + 1)
-        votes = sorted((self.vote(*self.nearest(v, skip=k)), self.y[k]) for k, v in enumerate(examples) if v)
+        votes = sorted((self.vote(*self.nearest(*v, skip=k)), self.y[k]) for k, v in enumerate(examples) if not self.empty[k])
         pools: list[list[float]] = []  # [sum of labels, count, lowest vote]
         for v, y in votes:
             if pools and pools[-1][2] == v:
@@ -130,21 +163,29 @@ class Index:
         if merged:
             self.steps = np.array([[v, (y + self.rate) / (n + 1)] for y, n, v in merged])
 
-    def score(self, counts: dict[bytes, int]) -> tuple[float, list[int]]:
-        if not counts:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
+        if not len(terms):
             return self.none, []
-        e, s = self.nearest(counts)
+        e, s = self.nearest(terms, counts)
         raw = self.vote(e, s) if len(e) else self.rate
         step = self.steps[max(0, int(np.searchsorted(self.steps[:, 0], raw, side="right")) - 1), 1]
         return float(min(1.0, max(0.0, 0.95 * step + 0.05 * raw))), e[:3].tolist()
 
 
-def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "toxic", sample: int = SAMPLE, learnable: Column | None = None) -> tuple[Index, list]:
-    """An index fitted on docs (doc_id, text) and labels (doc_id, label), and the examples' doc_ids.
+def relevance(c: Column, p: Column, n: int, pos: int) -> Column:
+    """G / (G + HALF) of a term that c of n examples hold, p of the pos with label 1."""
+    part = lambda seen, due: F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0)
+    rate = pos / n
+    g = 2 * (part(p, c * rate) + part(c - p, c * (1 - rate)) + part(pos - p, (n - c) * rate) + part((n - pos) - (c - p), (n - c) * (1 - rate)))
+    return F.greatest(g, F.lit(0.0)) / (F.greatest(g, F.lit(0.0)) + HALF)
+
+
+def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "toxic", sample: int = SAMPLE, learnable: Column | None = None) -> tuple[Vocabulary, Index, list]:
+    """(terms, index, the examples' doc_ids), fitted on docs (doc_id, text) and labels (doc_id, label).
 
-    What reaches the driver is bounded by sample and TERMS, whatever the size of docs.
+    What reaches the driver is bounded by the texts of the sample, whatever the size of docs.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.filter(~held_out(F.col("doc_id")) if learnable is None else learnable)
     known = known.groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("_y"))
@@ -152,46 +193,61 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
     rows = scratch.write(rows.groupBy("doc_id", "_y").agg(F.min("text").alias("text")), "sample")
     kept = _distinct_texts([(r["doc_id"], r["fp"]) for r in fingerprints(rows).collect()])
-    kept = docs.sparkSession.createDataFrame([(i,) for i in kept], rows.select("doc_id").schema)
+    kept = spark.createDataFrame([(i,) for i in kept], rows.select("doc_id").schema)
     rows = rows.join(F.broadcast(kept), "doc_id")
-    held = rows.select("_y", F.explode(F.array_distinct(word_array(F.col("text")))).alias("t"))
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not n or not pos or pos == n:
-        return Index({}, [], []), []
-    base = pos / n
-    with_t = held.groupBy("t").agg(F.count("*").alias("c"), F.sum("_y").alias("p")).filter((F.col("c") >= LEAST) & (F.col("p") > 0))
-    rate = F.col("p") / F.col("c")
-    other = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0)
-    gain = F.when(rate > base, F.col("c") * (rate * F.log(rate / base) + other)).otherwise(0.0)
-    picked = scratch.write(with_t.select("t", gain.alias("gain")), "terms")
-    enough = math.log(10 * max(1, picked.count()))
-    terms = [r["t"].encode() for r in picked.filter(F.col("gain") >= enough).orderBy(F.desc("gain"), "t").limit(TERMS).collect()]
-    vocabulary = frozenset(terms)
+        return Vocabulary([]), Index(np.zeros(0), [], []), []
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = 0, Counter()
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column(0).cast(pa.binary()).to_pylist():
-                total += 1
-                seen.update(vocabulary.intersection(tokens(x or b"")))
-        yield pa.RecordBatch.from_arrays([pa.array([b"", *seen], pa.binary()), pa.array([total, *seen.values()], pa.int64())], names=["t", "n"])
+            for y, x in zip(b.column(0), b.column(1).cast(pa.binary())):
+                words = set(tokens(x.as_py() or b""))
+                terms = list(words.union(*map(beginnings, words)))
+                yield pa.RecordBatch.from_arrays([pa.array([y.as_py()] * len(terms), pa.int32()), pa.array(terms, pa.binary())], names=["y", "t"])
+
+    total = docs.count()
+    stats = rows.select("_y", "text").mapInArrow(held, "y int, t binary").groupBy("t").agg(F.count("*").alias("c"), F.sum("y").alias("p")).filter(F.col("c") >= LEAST)
+    stats = stats.withColumn("r", relevance(F.col("c"), F.col("p"), n, pos))
+    largest = math.log(1 + total)
+    stats = stats.filter(F.col("r") * (largest - F.log1p("c")) >= FLOOR * largest)  # no IDF can be higher
+    found = stats.select("t", "r").toArrow().sort_by("t")
+    vocabulary = Vocabulary(found.column("t").to_pylist())
+    shared = spark.sparkContext.broadcast(vocabulary)
 
-    df = {bytes(r["t"]): r["n"] for r in docs.select("text").mapInArrow(spread, "t binary, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    total = df.pop(b"", 0)
-    idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1e-6 for t in sorted(terms)}
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(shared.value.number), np.int64)
+        for b in batches:
+            for x in b.column(0).cast(pa.binary()):
+                seen[shared.value.counts(x.as_py() or b"")[0]] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["t", "n"])
+
+    df = np.zeros(len(found), np.int64)
+    got = docs.select("text").mapInArrow(spread, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df[got.column("t").to_numpy()] = got.column("n").to_numpy()
+    weight = found.column("r").to_numpy() * np.log((1 + total) / (1 + df)) / largest
+    keep = weight >= FLOOR
+    vocabulary = Vocabulary([t for t, k in zip(vocabulary.number, keep.tolist(), strict=True) if k])
+    weight = weight[keep]
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [dict(sorted(Counter(filter(vocabulary.__contains__, tokens(x or b""))).items())) for x in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(g) for g in got], pa.list_(pa.binary())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["doc_id", "y", "t", "n"])
+            made = [shared.value.counts(x.as_py() or b"") for x in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in made], pa.list_(pa.int64())), pa.array([c for _, c in made], pa.list_(pa.float64()))], names=["doc_id", "y", "t", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.select("doc_id", "_y", "text").mapInArrow(vectors, f"doc_id {kind}, y int, t array<binary>, n array<int>").collect()
-    found.sort(key=lambda r: (hash_order(r["doc_id"]), r["doc_id"], r["t"], r["n"]))
-    examples = [dict(zip(map(bytes, r["t"]), r["n"], strict=True)) for r in found]
-    index = Index(idf, examples, [r["y"] for r in found])
+    table = rows.select("doc_id", "_y", "text").mapInArrow(vectors, f"doc_id {kind}, y int, t array<long>, n array<double>").toArrow()
+    examples = [(np.asarray(t.values), np.asarray(c.values)) for t, c in zip(table.column("t"), table.column("n"), strict=True)]
+    ids, y = table.column("doc_id").to_pylist(), table.column("y").to_pylist()
+    # examples with the same leading term stand together, which keeps the bounds of blocks apart
+    lead = [int(t[np.argmax(weight[t])]) if len(t) else -1 for t, _ in examples]
+    order = sorted(range(len(ids)), key=lambda k: (lead[k], hash_order(ids[k]), ids[k]))
+    examples = [examples[k] for k in order]
+    index = Index(weight, examples, [y[k] for k in order])
     index.calibrate(examples)
-    return index, [r["doc_id"] for r in found]
+    return vocabulary, index, [ids[k] for k in order]
 
 
 def _distinct_texts(found: list[tuple]) -> list:
@@ -212,40 +268,34 @@ def hash_order(doc_id) -> int:
     return xxhash.xxh64_intdigest(str(doc_id).encode(), 3)
 
 
-def scored(df: DataFrame, index: Index, ids: list, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scored(df: DataFrame, vocabulary: Vocabulary, index: Index, ids: list, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score, predicted and evidence (doc_ids of up to three nearest examples)."""
     prepare(df.sparkSession)
-    kept = df.sparkSession.sparkContext.broadcast((index, ids))  # bounded by SAMPLE and TERMS
-    memo: dict = {}
+    kept = df.sparkSession.sparkContext.broadcast((vocabulary, index, ids))  # bounded by the texts of the sample
+    kind, arrow = (T.StringType(), pa.string()) if any(isinstance(i, str) for i in ids) else (T.LongType(), pa.int64())
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        own, names = kept.value
+        terms, own, names = kept.value
         scores, evidence = [], []
         for x in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()):
-            counts = Counter(filter(own.term.__contains__, tokens(x.as_py() or b"")))
-            key = tuple(sorted(counts.items()))
-            if key not in memo:
-                if len(memo) >= REMEMBERED:
-                    memo.clear()
-                memo[key] = own.score(counts)
-            s, e = memo[key]
+            s, e = own.score(*terms.counts(x.as_py() or b""))
             scores.append(s)
             evidence.append([names[k] for k in e])
-        return [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
+        return [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, pa.list_(arrow))]
 
-    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))]
+    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(kind))]
     return _mapped(df, added, make)
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """df without the rows predicted toxic; the examples are those of df that labels mark."""
-    index, ids = learn(df, labels, scratch or Scratch(df.sparkSession, "toxicity"))
+    learnt = learn(df, labels, scratch or Scratch(df.sparkSession, "toxicity"))
     rows, back = shielded(df, "text")
-    return scored(rows, index, ids).filter("predicted = 0").select(*back)
+    return scored(rows, *learnt).filter("predicted = 0").select(*back)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    index, ids = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "op3"))
-    out = scored(docs, index, ids)
+    learnt = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "op3"))
+    out = scored(docs, *learnt)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")

@@ -364,41 +364,124 @@ def test_toxicity_learns_only_from_learnable_rows_and_scores_the_rest(spark):
     docs, labels = toxic_corpus(spark)
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
     df, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame([*labels, (3, None), (None, 1), labels[5]], "doc_id long, toxic int")
-    index, ids = toxicity.learn(df, lab, Scratch(spark, "t"))
-    assert not any(map(held, ids)) and set(index.term) == {b"vile", b"rotten", b"foul"}
-    got = {r.doc_id: r for r in toxicity.scored(clashing(df), index, ids).select("doc_id", "score", "predicted", "evidence").collect()}
+    words, index, ids = toxicity.learn(df, lab, Scratch(spark, "t"))
+    assert not any(map(held, ids)) and {b"vile", b"rotten", b"foul"} < set(words.number)
+    got = {r.doc_id: r for r in toxicity.scored(clashing(df), words, index, ids).select("doc_id", "score", "predicted", "evidence").collect()}
     truth = dict(labels)
     assert all(got[i].predicted == truth[i] for i in truth if held(i))
     assert all(0 <= r.score <= 1 and not any(map(held, r.evidence)) for r in got.values())
     flipped = spark.createDataFrame([(i, 1 - y if held(i) else y) for i, y in labels], "doc_id long, toxic int")
-    again, more = toxicity.learn(df, flipped, Scratch(spark, "t"))
-    assert {r.doc_id: r.score for r in toxicity.scored(df, again, more).collect()} == {i: r.score for i, r in got.items()}
+    again = toxicity.learn(df, flipped, Scratch(spark, "t"))
+    assert {r.doc_id: r.score for r in toxicity.scored(df, *again).collect()} == {i: r.score for i, r in got.items()}
     kept = toxicity.drop_toxic(clashing(df), lab)
     assert kept.columns == clashing(df).columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
-def test_index_search_is_exact():
+def slow_toxicity(docs, labels, kept):
+    """Scores by the definition alone: dictionaries, all examples, no index."""
+    import math
+
+    def terms(text):
+        words = re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower().encode())
+        out = collections.Counter(words)
+        for w in words:
+            out.update(w[:k] + b"*" for k in (4, 5, 6) if len(w) > k)
+        return out
+
+    y, texts = dict(labels), {d[0]: terms(d[1]) for d in docs}
+    n, pos, big = len(kept), sum(y[i] for i in kept), math.log(1 + len(docs))
+    weight = {}
+    for t in set().union(*(texts[i] for i in kept)):
+        have = [i for i in kept if t in texts[i]]
+        c, p = len(have), sum(y[i] for i in have)
+        if c < 2:
+            continue
+        cells = [(p, c * pos / n), (c - p, c * (n - pos) / n), (pos - p, (n - c) * pos / n), (n - pos - c + p, (n - c) * (n - pos) / n)]
+        g = max(0, 2 * sum(o * math.log(o / e) for o, e in cells if o))
+        w = g / (g + 20) * math.log((1 + len(docs)) / (1 + sum(t in x for x in texts.values()))) / big
+        if w >= 0.01:
+            weight[t] = w
+
+    def unit(x):
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in x.items() if t in weight}
+        norm = math.sqrt(sum(w * w for w in v.values())) or 1
+        return {t: w / norm for t, w in v.items()}
+
+    units, rate = {i: unit(x) for i, x in texts.items()}, pos / n
+
+    def vote(i):
+        cos = [(round(sum(w * units[e].get(t, 0) for t, w in units[i].items()), 12), -k) for k, e in enumerate(kept) if e != i]
+        best = sorted((c for c in cos if c[0] > 0), reverse=True)[: toxicity.K]
+        w = [(1 / (1.02 - s), y[kept[-k]]) for s, k in best]
+        return (sum(a * b for a, b in w) + rate) / (sum(a for a, _ in w) + 1) if w else None
+
+    loo = sorted((vote(i), y[i]) for i in kept if units[i])
+    value, fit = [v for v, _ in loo], [float(t) for _, t in loo]
+    steps = []  # monotone regression: of all averages, the largest of those from below of the smallest from above
+    for k in range(len(fit)):
+        lo = max(range(k + 1), key=lambda a: (min(sum(fit[a:b]) / (b - a) for b in range(k + 1, len(fit) + 1)), -a))
+        steps.append(min(sum(fit[lo:b]) / (b - lo) for b in range(k + 1, len(fit) + 1)))
+    return {i: vote(i) for i in texts}, value, steps
+
+
+def test_toxicity_votes_and_evidence_equal_brute_force(spark):
+    docs, labels = toxic_corpus(spark, 160)
+    df, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    words, index, ids = toxicity.learn(df, lab, Scratch(spark, "t"))
+    votes, value, steps = slow_toxicity(docs, labels, ids)
+    scores = []
+    for i, text, *_ in docs:
+        x = words.counts(text.encode())
+        if len(x[0]) and i not in ids:
+            assert index.vote(*index.nearest(*x)) == pytest.approx(votes[i], abs=1e-9)
+            scores.append((votes[i], index.score(*x)[0]))
+    assert [s for _, s in sorted(scores)] == sorted(s for _, s in scores)  # calibration keeps the order
+    # the calibrated steps are the monotone regression of the leave-one-out votes, smoothed by count
+    for v, want in zip(value, steps):
+        own = index.steps[np.searchsorted(index.steps[:, 0], v + 1e-12, side="right") - 1, 1]
+        assert abs(own - want) < 0.15
+
+
+def test_index_search_is_exact_with_ties_and_skips(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
     rng = random.Random(10)
-    terms = {f"t{k}".encode(): 1 + rng.random() * 4 for k in range(30)}
-    examples = [{t: rng.randint(1, 3) for t in rng.sample(list(terms), rng.randint(0, 4))} for _ in range(1500)]
-    index = toxicity.Index(terms, examples, [rng.randint(0, 1) for _ in examples])
-    units = [index.unit(e) for e in examples]
+    weight = np.array([rng.random() for _ in range(30)])
+    vector = lambda n: (lambda t: (np.array(t, int), np.array([rng.randint(1, 3) for _ in t], float)))(sorted(rng.sample(range(30), n)))
+    examples = [vector(rng.randint(0, 4)) for _ in range(700)]
+    examples += examples[:200]  # ties
+    index = toxicity.Index(weight, examples, [rng.randint(0, 1) for _ in examples])
+    dense = np.zeros((len(examples), 30))
+    for k, x in enumerate(examples):
+        dense[k, x[0]] = index.unit(*x)
     for _ in range(100):
-        q = {t: rng.randint(1, 3) for t in rng.sample(list(terms), rng.randint(1, 4))}
-        u = index.unit(q)
-        cos = [sum(w * e.get(t, 0) for t, w in u.items()) for e in units]
-        want = sorted((c for c in cos if c > 1e-12), reverse=True)[: toxicity.K]
-        e, s = index.nearest(q)
-        assert np.allclose(s, want, atol=1e-9) and np.allclose([cos[k] for k in e], s, atol=1e-9)
+        x, skip = vector(rng.randint(1, 4)), rng.randrange(len(examples))
+        q = np.zeros(30)
+        q[x[0]] = index.unit(*x)
+        cos = np.round(dense @ q, 12)
+        cos[skip] = 0
+        want = sorted(((-c, k) for k, c in enumerate(cos.tolist()) if c > 0))[: toxicity.K]
+        e, s = index.nearest(*x, skip=skip)
+        assert np.allclose(s, [-c for c, _ in want], atol=1e-11) and [k for _, k in want] == e.tolist()
 
 
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    index, ids = toxicity.learn(odd_docs(spark), none, Scratch(spark, "t"))
-    assert [r.score for r in toxicity.scored(odd_docs(spark), index, ids).collect()] == [0.0] * 11
+    learnt = toxicity.learn(odd_docs(spark), none, Scratch(spark, "t"))
+    assert [r.score for r in toxicity.scored(odd_docs(spark), *learnt).collect()] == [0.0] * 11
     assert toxicity.drop_toxic(empty(spark), none).count() == 0
 
 
+def test_toxicity_of_odd_rows_and_text_ids(spark):
+    docs, labels = toxic_corpus(spark, 200)
+    df = spark.createDataFrame(docs, DOCS).union(odd_docs(spark))
+    learnt = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"), Scratch(spark, "t"))
+    out = toxicity.scored(clashing(df), *learnt)
+    assert out.count() == 211 and all(0 <= r.score <= 1 for r in out.select("score").collect())
+    named = spark.createDataFrame([(f"d{i}", *rest) for i, *rest in docs], DOCS.replace("doc_id long", "doc_id string"))
+    learnt = toxicity.learn(named, spark.createDataFrame([(f"d{i}", t) for i, t in labels], "doc_id string, toxic int"), Scratch(spark, "t"))
+    assert any(r.evidence for r in toxicity.scored(named, *learnt).collect())
+
+
 # --- quality ----------------------------------------------------------------------------------------
 
 
