@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, components, cotrain, exact_topk, hamming, license_scan, line_dedup, mixing, queries, robust_outliers, simhash_dedup, token_counts, toxicity
+from corpuscle.llm import bpe, components, cotrain, edit, exact_topk, hamming, license_scan, line_dedup, mixing, queries, robust_outliers, simhash_dedup, token_counts, toxicity
 from corpuscle.runtime import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -175,6 +175,7 @@ def test_every_plan_meets_all_close_pairs(n):
 
 def test_split_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(hamming, "SPLIT", 8)
+    monkeypatch.setattr(hamming, "SHARE", 1)
     rng = random.Random(5)
     x = sorted({0b1011 ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(60)})
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in x], "fp long")
@@ -227,7 +228,7 @@ def test_lines_equal_brute_force(spark):
         for k, line in enumerate(t.split("\n")):
             first.setdefault(norm(line), (d, k))
     names = list(first)
-    fp = [int(line_dedup.line_hashes(n.encode())[2][0]) for n in names]
+    fp = [int(line_dedup.line_hashes(line_dedup.lowered(n.encode()))[1][0]) for n in names]
     link = lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 4 and distance(names[i], names[j]) <= 0.2 * max(len(names[i]), len(names[j])) + 1e-9
     group, seen, want = dict(zip(names, groups_of(names, link))), set(), collections.defaultdict(list)
     assert len(set(group.values())) < len(names)
@@ -264,7 +265,7 @@ def test_wide_lines_are_found_by_edit_similarity_alone(spark):
             v[k] = rng.choice(["changed", v[k][:-1] or "x", v[k] + "s"])
             texts.append(" ".join(v))
     names = sorted(set(texts))
-    fp = {t: int(line_dedup.line_hashes(t.encode())[2][0]) for t in names}
+    fp = {t: int(line_dedup.line_hashes(line_dedup.lowered(t.encode()))[1][0]) for t in names}
     pairs = [(a, b) for a in names for b in names if a < b and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9]
     linked = set(pairs)
     whole = dict(zip(names, groups_of(names, lambda i, j: (names[j], names[i]) in linked)))
@@ -283,6 +284,61 @@ def test_wide_lines_are_found_by_edit_similarity_alone(spark):
     assert far > len(pairs) / 2 and share[True] >= 0.95 > share[False]
 
 
+def test_lines_that_only_a_weak_hash_confuses_are_told_apart():
+    """Thue-Morse lines collide under any polynomial hash modulo a power of two."""
+    for n in (1024, 2048, 4096):
+        one = "".join("ab"[k.bit_count() & 1] for k in range(n)).encode()
+        ids = line_dedup.identities(line_dedup.sketch.compact(line_dedup.lowered(one + b"\n" + one.translate(bytes.maketrans(b"ab", b"ba")) + b"\n" + one.upper())))
+        assert (ids[0] != ids[1]).all() and (ids[0] == ids[2]).all()
+
+
+def test_lines_that_share_half_an_identity_are_not_equal(spark, monkeypatch):
+    """Forced clashes of lid: lines that differ in lid2 stay, exact copies of each still go."""
+    whole = line_dedup.identities
+
+    def clashing_ids(compacted):
+        ids = whole(compacted).copy()
+        ids[:, 0] = 7
+        return ids
+
+    monkeypatch.setattr(line_dedup, "identities", clashing_ids)
+    texts = ["alpha beta gamma", "quite another line", "alpha beta gamma", "quite another line", "a third one here"]
+    df = docs_of(spark, texts)
+    rows = [(i, r.rid, 0, 7, int(whole(line_dedup.sketch.compact(line_dedup.lowered(t.encode())))[0, 1].astype(np.int64)), 0) for i, t in enumerate(texts) for r in df.filter(F.col("doc_id") == i).select(line_dedup._rid()).collect()]
+    ends = [(i, r[1], -1, 1, None, None) for i, r in enumerate(rows)]
+    fake = spark.createDataFrame(rows + ends, "doc_id long, rid long, line_no int, lid long, lid2 long, fp long")
+    monkeypatch.setattr(line_dedup, "lines", lambda df, wide=False: fake)
+    out = {r.doc_id: r.removed for r in line_dedup.duplicates(df, Scratch(spark, "t")).collect()}
+    assert out == {0: [], 1: [], 2: [0], 3: [0], 4: []}
+
+
+def test_edit_similarity_equals_brute_force(monkeypatch):
+    rng = random.Random(31)
+    xs, ys = [""], ["a"]
+    for _ in range(300):
+        x = [rng.choice("abcdé中 ") for _ in range(rng.randint(0, 150))]
+        y = list(x)
+        for _ in range(rng.randint(0, max(1, len(x) // 3))):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+        xs.append("".join(x))
+        ys.append("".join(y))
+    want = [distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9 for x, y in zip(xs, ys)]
+    assert edit.similar(xs, ys, 0.8).tolist() == want and 50 < sum(want) < 290
+    monkeypatch.setattr(edit, "LONG", 20)  # long pairs, one by one
+    monkeypatch.setattr(edit, "MASKS", 1 << 12)
+    assert edit.similar(xs, ys, 0.8).tolist() == want
+
+
+def test_long_lines_are_compared_whole(spark):
+    rng = random.Random(32)
+    words = [rng.choice(["lorem", "ipsum", "dolor", "amet"]) + str(rng.randrange(99)) for _ in range(4000)]
+    near = [*words[:2000], "changed", *words[2001:]]
+    far = [w if k % 3 else "other" + str(k) for k, w in enumerate(words)]
+    out = {r.doc_id: r.removed for r in line_dedup.duplicates(docs_of(spark, [" ".join(x) for x in (words, near, far)]), Scratch(spark, "t"), wide=True).collect()}
+    assert out == {0: [], 1: [0], 2: []}
+
+
 def test_lines_odd_rows_and_stage(spark):
     df = clashing(odd_docs(spark))
     out = line_dedup.drop_lines(df)
@@ -646,15 +702,20 @@ def test_long_texts_are_worked_on_in_parts(monkeypatch):
     rng = random.Random(15)
     text = "".join(rng.choice(["Word", "é中", " ", "  ", "\n", "!", "x" * 30, " a b c d"]) for _ in range(4000))
     whole = bpe.codec(BYTES, P.PATTERN).encode(text), token_counts.counter(WORDS).count(text.encode()), simhash_dedup.fingerprint(text), list(toxicity.tokens(text.encode()))
-    lines = [x.tolist() for x in line_dedup.line_hashes(text.encode())]
+
+    def hashed(body):
+        buf = line_dedup.lowered(body)
+        return (*line_dedup.line_hashes(buf), *line_dedup.identities(line_dedup.sketch.compact(buf)).T)
+
+    lines = [x.tolist() for x in hashed(text.encode())]
     monkeypatch.setattr(bpe, "SLICE", 50)
     assert (bpe.codec(BYTES, P.PATTERN).encode(text), token_counts.counter(WORDS).count(text.encode()), simhash_dedup.fingerprint(text), list(toxicity.tokens(text.encode()))) == whole
     monkeypatch.setattr(line_dedup, "PART", 64)
-    got = [[], [], []]
+    got = [[], [], [], []]
     for docs, offsets, body in line_dedup._parts([None, text.encode(), b""]):
-        line, lid, fp = line_dedup.line_hashes(body)
+        line, *rest = hashed(body)
         part = np.searchsorted(offsets, line, side="right") - 1
         assert (docs[part, 0] == 1).all()
-        for out, x in zip(got, (line - offsets[part] + docs[part, 1], lid, fp)):
+        for out, x in zip(got, (line - offsets[part] + docs[part, 1], *rest)):
             out += x.tolist()
     assert got == lines
