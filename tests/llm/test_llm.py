@@ -362,24 +362,39 @@ def test_topk_equals_brute_force(spark, monkeypatch, chunk):
     x = rng.normal(size=(150, 12)) * rng.lognormal(size=(150, 1))
     x[20:30] = x[5]  # ties
     data = [(i, [float(v) for v in r], "c") for i, r in enumerate(x)]
-    data += [(200, None, "c"), (220, [1.0, None] * 6, "c"), (240, [float("nan")] * 12, "c"), (260, [], "c"), (280, [float("inf")] * 12, "c"), data[3], (300, [0.5], "c")]
+    data += [(200, None, "c"), (220, [1.0, None] * 6, "c"), (240, [float("nan")] * 12, "c"), (260, [], "c"), (280, [float("inf")] * 12, "c"), data[3], data[40], (300, [0.5], "c"), (None, [1.0], "c")]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, norm string")
-    v = exact_topk.quantised(df)
-    out = exact_topk.top_k(v, v.filter(F.col("vec_id") % 20 == 0), Scratch(spark, "t"), 5)
+    out = exact_topk.top_k(exact_topk.quantised(df), F.col("vec_id") % 20 == 0, Scratch(spark, "t"), 5)
     got = sorted(map(tuple, out.select("query_id", "rank", "vec_id", "score").collect()))
-    q = {i: np.floor(64 * r).astype(int) for i, r in enumerate(x)} | {300: np.array([32] + [0] * 11)}
+    rows = [(i, np.floor(64 * r).astype(int)) for i, r in enumerate(x)] + [(i, np.floor(64 * x[i]).astype(int)) for i in (3, 40)]
+    rows += [(260, np.zeros(12, int)), (300, np.array([32] + [0] * 11))]
     want = []
-    for a in sorted(i for i in q if i % 20 == 0):
-        best = sorted((-int(q[a] @ q[b]), b) for b in q if b != a)[:5]
-        want += [(a, k + 1, b, -s) for k, (s, b) in enumerate(best)]
-    assert got == want
+    for k, (a, v) in enumerate(rows):
+        if a % 20 == 0:
+            best = sorted((-int(v @ w), b) for j, (b, w) in enumerate(rows) if j != k)[:5]
+            want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_topk_keeps_repeated_rows_as_its_sql_does(spark):
+    duckdb = pytest.importorskip("duckdb")
+    data = [(0, [1.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 0.0]), (20, []), (20, []), (40, None)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    out = exact_topk.top_k(exact_topk.quantised(df), F.col("vec_id") % 20 == 0, Scratch(spark, "t"))
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?)", data)
+    want = sorted(c.execute(f"SELECT query_id, rank, vec_id, score FROM ({exact_topk.ORACLE})").fetchall())
+    assert sorted(map(tuple, out.select("query_id", "rank", "vec_id", "score").collect())) == want
+    assert [r[2] for r in want if r[0] == 0] == [1, 1, 2, 20, 20]
 
 
 def test_topk_of_nothing(spark):
+    every = F.col("vec_id") % 20 == 0
     v = exact_topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
-    assert exact_topk.top_k(v, v, Scratch(spark, "t")).count() == 0
+    assert exact_topk.top_k(v, every, Scratch(spark, "t")).count() == 0
     one = exact_topk.quantised(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>"))
-    assert exact_topk.top_k(one, one, Scratch(spark, "t")).count() == 0
+    assert exact_topk.top_k(one, every, Scratch(spark, "t")).count() == 0
 
 
 # --- licences ---------------------------------------------------------------------------------------
