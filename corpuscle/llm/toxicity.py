@@ -34,16 +34,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.bpe import _mapped, _Memo, slices
+from corpuscle.llm.bpe import REMEMBERED, _mapped, slices
 from corpuscle.llm.hamming import forest, linked
 from corpuscle.llm.simhash_dedup import fingerprints
 from corpuscle.runtime import Scratch, prepare, shielded
 
 #: Labelled documents taken as examples, at most; examples that a term needs, at least; G at which
 #: a term counts half; weight (of 1) below which it counts nothing; bytes of word beginnings.
-SAMPLE, LEAST, HALF, FLOOR, PREFIXES = 10_000, 2, 20.0, 0.01, (4, 5, 6)
+SAMPLE, LEAST, HALF, FLOOR, PREFIXES = 8_000, 2, 20.0, 0.05, (4, 5, 6)
 #: Examples of a block of the index, neighbours that vote, weight of the base rate in a vote.
-BLOCK, K, PRIOR = 1024, 16, 1.0
+BLOCK, K, PRIOR = 2048, 16, 1.0
 THRESHOLD = 0.3
 #: Differing bits of a SimHash up to which two examples count as copies of one text.
 COPIES = 10
@@ -69,17 +69,23 @@ class Vocabulary:
 
     def __init__(self, terms: list[bytes]):
         self.number = {t: k for k, t in enumerate(terms)}
-        self.memo: dict[bytes, tuple[int, ...]] = _Memo(self._terms)
-
-    def _terms(self, word: bytes) -> tuple[int, ...]:
-        return tuple(self.number[t] for t in (word, *beginnings(word)) if t in self.number)
+        self.seen: set[bytes] = set()
+        self.memo: dict[bytes, tuple[int, ...]] = {}  # of the seen words that have a term
 
     def counts(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(terms in order, how often each occurs)."""
+        n = Counter(tokens(raw))
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.memo = set(), {}
+        new = [word for word in n if word not in self.seen]
+        for word in new:
+            if found := tuple(self.number[t] for t in (word, *beginnings(word)) if t in self.number):
+                self.memo[word] = found
+        self.seen.update(new)
         got: dict[int, int] = {}
-        for word, n in Counter(tokens(raw)).items():
+        for word in self.memo.keys() & n.keys():
             for t in self.memo[word]:
-                got[t] = got.get(t, 0) + n
+                got[t] = got.get(t, 0) + n[word]
         at = np.array(sorted(got), np.int64)
         return at, np.array([got[t] for t in at.tolist()], np.float64)
 
@@ -117,6 +123,8 @@ class Index:
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine, and it; ties to the earlier example."""
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0)
         w = self.unit(terms, counts)
         bound = (w @ self.most[terms]) * (1 + 1e-5)  # most is rounded to single precision
         best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
@@ -126,11 +134,14 @@ class Index:
             cell = terms * self.blocks + b
             start = self.cuts[cell].astype(np.int64)
             n = self.cuts[cell + 1] - start
-            at = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            end = np.cumsum(n)
+            at = np.repeat(start - end + n, n) + np.arange(end[-1])
             score = np.bincount(self.example[at] - b * BLOCK, np.repeat(w, n) * self.value[at], BLOCK)
             if 0 <= skip - b * BLOCK < BLOCK:
                 score[skip - b * BLOCK] = 0
             some = np.flatnonzero(score > (best_s[-1] * (1 - 1e-9) if len(best_s) == k else 0))
+            if len(some) > 4 * k:  # the others cannot be among the k best
+                some = some[score[some] >= np.partition(score[some], -k)[-k] * (1 - 1e-9)]
             if len(some):
                 s, e = np.r_[best_s, np.round(score[some], 12)], np.r_[best_e, some + b * BLOCK]
                 order = np.lexsort((e, -s))[:k]
@@ -230,6 +241,8 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
     keep = weight >= FLOOR
     vocabulary = Vocabulary([t for t, k in zip(vocabulary.number, keep.tolist(), strict=True) if k])
     weight = weight[keep]
+    shared.destroy()
+    del found, got, df
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
     table = rows.select("doc_id", "_y", "text").mapInArrow(vectors, f"doc_id {kind}, y int, t array<long>, n array<double>").toArrow()
     examples = [(np.asarray(t.values), np.asarray(c.values)) for t, c in zip(table.column("t"), table.column("n"), strict=True)]
     ids, y = table.column("doc_id").to_pylist(), table.column("y").to_pylist()
+    shared.destroy()
     # examples with the same leading term stand together, which keeps the bounds of blocks apart
     lead = [int(t[np.argmax(weight[t])]) if len(t) else -1 for t, _ in examples]
     order = sorted(range(len(ids)), key=lambda k: (lead[k], hash_order(ids[k]), ids[k]))
