@@ -105,10 +105,11 @@ def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.nda
     return [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64) for _ in names]
 
 
-def by_bucket(rows: DataFrame, names: list[str], each: Callable[..., list[tuple[np.ndarray, ...]]], schema: str, some: Callable[..., np.ndarray] | None = None) -> DataFrame:
+def by_bucket(rows: DataFrame, names: list[str], each: Callable[..., list[tuple[np.ndarray, ...]]], schema: str, some: Callable[..., np.ndarray] | None = None, at_once: bool = False) -> DataFrame:
     """Runs each(*columns) on the rows of every bucket with more than one; columns are in the order
     of names. some(bucket, *columns) tells beforehand, for all buckets at once, which rows count.
-    A task holds its partition's columns: slim fixed-width rows."""
+    With at_once each(bucket, *columns) gets all buckets together, in order of bucket. A task holds
+    its partition's columns: slim fixed-width rows."""
 
     def run(batches):
         bucket, *cols = _columns(batches, ["bucket", *names])
@@ -119,8 +120,8 @@ def by_bucket(rows: DataFrame, names: list[str], each: Callable[..., list[tuple[
             bucket, cols = bucket[left], [c[left] for c in cols]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         starts, ends = np.r_[0, cuts], np.r_[cuts, len(bucket)]
-        out = []
-        for s, e in zip(starts.tolist(), ends.tolist()):
+        out = each(bucket, *cols) if at_once else []
+        for s, e in zip(starts.tolist(), ends.tolist()) if not at_once else ():
             if e - s > 1:
                 out += each(*[c[s:e] for c in cols])
         if out:

@@ -2,18 +2,24 @@
 
 Each document's 64-bit fingerprint gets a row of Hamming distances to reference fingerprints
 (pivots). A pair whose distances to any pivot differ by more than the radius cannot be within it
-(triangle inequality), so such pairs are discarded and only survivors are verified.
+(triangle inequality), so such pairs are discarded by their maximum coordinate difference and only
+survivors are verified.
 
 The pivots are of two kinds. Unit pivots (one bit set) and the zero pivot give, for each bit, a
 coordinate d(x, unit) - d(x, zero) = 1 - 2 * bit. Within the radius at most RADIUS of these
 coordinates differ, so all coordinates of some block are equal: that makes the table an equi-join
-key and spares a scan of all pairs. Random pivots then discard by the maximum coordinate
-difference within a bucket. On fingerprints that are spread evenly a random pivot lets some 57% of
-pairs pass and gives no key, which is why unit pivots come first.
+key and spares a scan of all pairs (one random pivot alone lets some 57 % of pairs of evenly spread
+fingerprints pass and gives no key). All pairs of a bucket, however small, then meet the table of
+random pivots: rows stand in order of the first pivot's distance, so a row's partners lie in a
+window of it, and the others' largest difference decides who is verified.
+
+Documents of one fingerprint are one class. Classes of so many documents that there can be at most
+LARGEST of them are joined back by broadcast, so that no task gets all copies of one text.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; equal
 rows get equal results; null ids take part but are never a component's id unless all its ids are
-null.
+null; an empty table gives no row; texts of any length are read whole, in parts; for keep_one see
+there.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ from corpuscle.runtime import Scratch, prepare, shielded
 SHINGLE, SEED = 4, 42
 #: Random reference fingerprints, from a fixed seed.
 PIVOTS = np.random.default_rng(64).integers(0, 1 << 63, 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Classes joined by broadcast, at most.
+LARGEST = 10_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _AT = np.arange(8) * 256
 
@@ -64,102 +72,132 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp: the 64 bits as a signed long) of every row."""
+    """(doc_id, rid: which text, fp: the 64 bits as a signed long) of every row."""
     prepare(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
-
-    return df.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, fp long")
-
-
-def pivot_forest(fp: np.ndarray, radius: int = hamming.RADIUS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links within a bucket, as a spanning forest: pivot table, then verification."""
-    x = np.unique(fp).view(np.uint64)
-    if len(x) < 2:
-        return []
-    x = x[_maybe(x, radius)]
-    if len(x) < 2:
-        return []
+            fp = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "rid", "fp"])
+
+    return df.select(doc_id, F.xxhash64(doc_id, text).alias("rid"), text).mapInArrow(run, f"doc_id {kind}, rid long, fp long")
+
+
+class Forest:
+    """Links as a spanning forest: a link between what is joined already is left out."""
+
+    def __init__(self, n: int):
+        self.root, self.edges, self.moved = np.arange(n), [], False
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = int(root[i])
+        return i
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i) > 64 and self.moved:  # so many that all roots are brought up to date at once
+            while (up := self.root[self.root]).tobytes() != self.root.tobytes():
+                self.root = up
+            self.moved = False
+        some = self.root[i] != self.root[j]
+        for a, b in zip(i[some].tolist(), j[some].tolist()):
+            u, v = self.find(a), self.find(b)
+            if u != v:
+                self.root[max(u, v)] = min(u, v)
+                self.edges.append((a, b))
+                self.moved = True
+
+
+def pivot_links(bucket: np.ndarray, fp: np.ndarray, radius: int = hamming.RADIUS) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """(a, b) of a spanning forest of the links within buckets, and how many pairs came how far."""
+    order = np.lexsort((fp, bucket))
+    new = np.r_[True, (np.diff(bucket[order]) != 0) | (np.diff(fp[order]) != 0)] if len(order) else np.zeros(0, bool)
+    bucket, x = bucket[order][new], fp[order][new].view(np.uint64)
     table = np.bitwise_count(x[:, None] ^ PIVOTS[None, :]).astype(np.int8)
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        out = np.abs(table[others] - table[i]).max(axis=1) <= radius
-        out[out] = np.bitwise_count(x[others[out]] ^ x[i]) <= radius
-        return out
-
-    edges = hamming.forest(x, near)
-    if not edges:
-        return []
-    a, b = np.array(edges).T
-    return [(x[a].view(np.int64), x[b].view(np.int64))]
-
-
-def _maybe(x: np.ndarray, radius: int) -> np.ndarray:
-    """Which fingerprints have a partner that two pivots cannot rule out and that is verified."""
-    if len(x) <= 32:
-        return hamming.linked(x, radius)
-    first = np.bitwise_count(x ^ PIVOTS[0]).astype(np.int64)
-    order = np.argsort(first, kind="stable")
-    s, d = x[order], first[order]
-    second = np.bitwise_count(s ^ PIVOTS[1]).astype(np.int8)
-    out = np.zeros(len(x), bool)
-    stop = np.searchsorted(d, d + radius, side="right")
-    step = 128
-    for i in range(0, len(s), step):  # rows in order of the first pivot: partners lie in a window
-        rows = slice(i, min(i + step, len(s)))
-        rest = slice(i, int(stop[rows.stop - 1]))
-        a, b = np.nonzero(np.abs(second[rows][:, None] - second[rest][None, :]) <= radius)
-        ok = np.bitwise_count(s[rows][a] ^ s[rest][b]) <= radius
-        ok &= a != b
-        out[i + a[ok]] = True
-        out[i + b[ok]] = True
-    back = np.zeros(len(x), bool)
-    back[order] = out
-    return back
+    order = np.lexsort((table[:, 0], bucket))
+    bucket, x, table = bucket[order], x[order], np.ascontiguousarray(table[order].T)
+    forest, counts = Forest(len(x)), {"met": 0, "kept": 0, "linked": 0}
+    sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(bucket) != 0]), len(bucket)]) if len(bucket) else np.zeros(0, np.int64)
+    counts["pairs"] = int((sizes * (sizes - 1) // 2).sum())
+    i, lag = np.arange(len(x)), 0
+    while len(i):
+        lag += 1
+        i = i[i + lag < len(x)]
+        i = i[(bucket[i + lag] == bucket[i]) & (table[0, i + lag] - table[0, i] <= radius)]  # and no later row either
+        j = i + lag
+        far = np.zeros(len(i), np.int8)
+        for row in table[1:]:
+            np.maximum(far, np.abs(row[i] - row[j]), out=far)
+        near = np.flatnonzero(far <= radius)
+        linked = near[np.bitwise_count(x[i[near]] ^ x[j[near]]) <= radius]
+        forest.add(i[linked], j[linked])
+        for name, n in (("met", len(i)), ("kept", len(near)), ("linked", len(linked))):
+            counts[name] += n
+    a, b = (np.array(c, np.int64) for c in zip(*forest.edges)) if forest.edges else (np.zeros(0, np.int64),) * 2
+    return x[a].view(np.int64), x[b].view(np.int64), counts
+
+
+def pivot_forest(bucket: np.ndarray, fp: np.ndarray, radius: int = hamming.RADIUS) -> list[tuple[np.ndarray, np.ndarray]]:
+    a, b, _ = pivot_links(bucket, fp, radius)
+    return [(a, b)] if len(a) else []
 
 
 def classes(fps: DataFrame, scratch: Scratch, radius: int = hamming.RADIUS) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint: the smallest doc_id reachable by links."""
-    own = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    """(fp, first, n) of every distinct fingerprint: the first document (last if without an id, by
+    doc_id, by rid) that links reach from it, itself included; and its own number of documents."""
+    spark = fps.sparkSession
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
+    own = scratch.write(fps.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "classes")
     rows = hamming.buckets(own.select("fp"), own.count(), scratch, radius=radius)
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    edges = scratch.write(hamming.by_bucket(rows, ["fp"], lambda fp: pivot_forest(fp, radius), "a long, b long"), "edges")
-    prepare(fps.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    each = lambda bucket, fp: pivot_forest(bucket, fp, radius)
+    edges = scratch.write(hamming.by_bucket(rows, ["fp"], each, "a long, b long", at_once=True), "edges")
+    prepare(spark)
     comp = components(edges, scratch).withColumnRenamed("node", "fp")
     grown = comp.join(own, "fp")
-    least = grown.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = grown.join(least, "component").select("fp", "component_id")
-    return own.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    least = grown.groupBy("component").agg(F.min("first").alias("least"))
+    linked = grown.join(least, "component").select("fp", "least")
+    return own.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"), "n")
+
+
+def marked(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", radius: int = hamming.RADIUS) -> DataFrame:
+    """(doc_id, rid, fp, first) of every row."""
+    fps = scratch.write(fingerprints(df, doc_id, text), "fps")
+    known = scratch.write(classes(fps, scratch, radius), "first")
+    total = fps.count()
+    large = known.filter(F.col("n") > max(1, total // LARGEST)).select("fp", F.col("first").alias("_large"))  # at most LARGEST
+    out = fps.join(F.broadcast(large), "fp", "left")
+    rest = out.filter("_large is null").drop("_large").join(known.select("fp", "first"), "fp")
+    return out.filter("_large is not null").withColumnRenamed("_large", "first").unionByName(rest)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = hamming.RADIUS, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
-    scratch = scratch or Scratch(df.sparkSession, "simhash")
-    fps = scratch.write(fingerprints(df, doc_id, text), "fps")
-    return fps.join(classes(fps, scratch, radius), "fp").select("doc_id", "fp", "component_id")
+    out = marked(df, scratch or Scratch(df.sparkSession, "simhash"), doc_id, text, radius)
+    return out.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """df without near duplicates: of each component the document with the smallest doc_id stays.
+    """df without near duplicates: exactly one row of each component stays.
 
-    Rows that share a doc_id are one document: the one with the smallest text stays. Rows without
-    a doc_id all stay.
+    It is the row with the smallest doc_id, rows without one last; of rows that share it, the one
+    whose text comes first by hash, and of rows equal in both, the first by its other columns.
     """
     scratch = scratch or Scratch(df.sparkSession, "simhash")
-    found = scratch.write(near_duplicates(df, scratch=scratch).filter("doc_id is not null"), "found")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    found = scratch.write(marked(df, scratch).select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid"), ((F.col("first.rid") == F.col("rid")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))).alias("stays")), "found")
+    gone = found.filter(~F.col("stays")).select("_doc", "_rid").distinct()
     rows, back = shielded(df, "doc_id", "text")
-    out = rows.join(ids.filter(~F.col("stays")).select("doc_id"), "doc_id", "left_anti")
-    again = scratch.write(ids.filter(F.col("stays") & (F.col("n") > 1)).select("doc_id"), "again")
+    same = (F.xxhash64("doc_id", "text") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    out = rows.join(gone, same, "left_anti")
+    again = scratch.write(found.filter("stays").groupBy("_doc", "_rid").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
     if again.isEmpty():
         return out.select(*back)
-    one = W.partitionBy("doc_id").orderBy("text", *[c for c in rows.columns if c.startswith("__own")])
-    kept = out.join(again, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(one)).filter("_rank = 1")
-    return out.join(again, "doc_id", "left_anti").select(*back).union(kept.select(*back))
+    one = W.partitionBy("doc_id", "text").orderBy(*[c for c in rows.columns if c.startswith("__own")])
+    kept = out.join(again, same, "left_semi").withColumn("_rank", F.row_number().over(one)).filter("_rank = 1")
+    return out.join(again, same, "left_anti").select(*back).union(kept.select(*back))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
