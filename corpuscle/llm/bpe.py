@@ -5,10 +5,14 @@ vocabulary entry resolves to its id with one hash and one comparison. Tier two i
 a heap of candidate merges over a doubly linked list of bytes, so that a piece of n bytes costs
 n log n however long it is.
 
+The tables are built once, on the driver, and broadcast. Letters and digits of a Unicode version
+newer than the pattern's own stand for symbols there, so they are shown to the pattern as such.
+
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty
 string; special-token strings are ordinary text; repeated rows get equal rows; columns of the
 input other than the text pass through, unless an output has the same name, which then replaces
-it.
+it; an empty table gives no row. Texts above a megabyte are cut before a single space between two
+other characters, which no match of FAMILY crosses; under any other pattern they are matched whole.
 """
 
 from __future__ import annotations
@@ -35,7 +39,20 @@ _M64 = (1 << 64) - 1
 _NONE = 1 << 31
 #: The characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Text is cut here first; no match of a pre-token pattern of this family crosses these cuts.
+#: Fixed value: the pattern of this family of tokenizers; no match of it crosses the cuts below.
+FAMILY = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters and digits newer than Unicode 16, which are symbols to the library.
+NEWER = re.compile(
+    "[\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    "\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
+)
+#: Text under FAMILY is cut here first.
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: A space between two other characters: text can be cut before it.
 CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
@@ -136,7 +153,8 @@ class Codec:
     """One vocabulary and pattern, ready to encode texts and decode ids."""
 
     def __init__(self, ranks: dict[bytes, int], whole: PerfectHash, pattern: str):
-        self.ranks, self.whole, self.find = ranks, whole, regex.compile(pattern).findall
+        self.ranks, self.whole, self.pattern = ranks, whole, regex.compile(pattern)
+        self.find, self.cuts = self.pattern.findall, pattern == FAMILY
         self.table = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             self.table[v] = k
@@ -149,11 +167,16 @@ class Codec:
         return array("I", [one] if one >= 0 else merge_bytes(raw, self.ranks)).tobytes()
 
     def _unit(self, unit: str) -> bytes:
+        if not unit.isascii() and NEWER.search(unit):
+            shown = NEWER.sub("\u00a7", unit)  # a symbol in every version
+            return b"".join([self.pieces[unit[m.start() : m.end()]] for m in self.pattern.finditer(shown)])
         return b"".join([self.pieces[p] for p in self.find(unit)])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         text = text or ""
+        if not self.cuts:
+            return self._unit(text)
         if len(text) <= SLICE:
             return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
         out, start = [], 0
@@ -192,14 +215,29 @@ class _Memo(dict):
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
+_BUILT: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """This process's codec for a vocabulary file; built once."""
-    if (path, pattern) not in _CODECS:
+    """The codec for a vocabulary file; built once in a process."""
+    if (path, pattern) not in _BUILT:
         ranks = load_ranks(path)
-        _CODECS[path, pattern] = Codec(ranks, PerfectHash(list(ranks), list(ranks.values())), pattern)
-    return _CODECS[path, pattern]
+        _BUILT[path, pattern] = Codec(ranks, PerfectHash(list(ranks), list(ranks.values())), pattern)
+    return _BUILT[path, pattern]
+
+
+def shared(spark: SparkSession, path: str, pattern: str):
+    """A function that gives workers the codec: its tables are built here and broadcast, some 50,000
+    entries of a vocabulary."""
+    own = codec(path, pattern)
+    tables = spark.sparkContext.broadcast((own.ranks, own.whole, pattern))
+
+    def get() -> Codec:
+        if (path, pattern) not in _CODECS:
+            _CODECS[path, pattern] = Codec(*tables.value)
+        return _CODECS[path, pattern]
+
+    return get
 
 
 def _mapped(df: DataFrame, added: list[T.StructField], make) -> DataFrame:
@@ -222,13 +260,13 @@ def _mapped(df: DataFrame, added: list[T.StructField], make) -> DataFrame:
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
     """Adds n_tokens, ids (binary, little-endian unsigned 32-bit; only if keep_ids), ids_sha256 and
     decoded_sha256, the digest of the bytes that decoding the ids gives."""
-    prepare(df.sparkSession)
+    get = shared(prepare(df.sparkSession), path, pattern)
     added = [T.StructField("n_tokens", T.LongType())]
     added += [T.StructField("ids", T.BinaryType())] * keep_ids
     added += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        own = codec(path, pattern)
+        own = get()
         n, ids, a, b = [], [], [], []
         for value in batch.column(batch.schema.get_field_index(text)):
             raw = own.encode(value.as_py())
@@ -244,10 +282,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep_ids:
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text that binary ids stand for; ids that end within a character give U+FFFD there,
     null ids give null."""
-    prepare(df.sparkSession)
+    get = shared(prepare(df.sparkSession), path, pattern)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        own = codec(path, pattern)
+        own = get()
         raw = batch.column(batch.schema.get_field_index(ids)).to_pylist()
         return [pa.array([None if x is None else own.decode(x).decode("utf-8", "replace") for x in raw], pa.string())]
 

@@ -1,13 +1,15 @@
 """Token counts with a whole-token shortcut.
 
-Offline, every vocabulary string that ends a word is encoded alone; those that come out as one
-token form the proven set. A pre-token in that set counts one without a merge; only the rest is
+Offline (once, on the driver, whose result is broadcast), every vocabulary string that ends a word
+is encoded alone; those that come out as one token form the proven set. A pre-token in that set counts one without a merge; only the rest is
 merged. Text is cut at ASCII white space first, which no pre-token of this tokenizer family
 crosses, and each chunk's count is remembered.
 
 Defined results: a null text counts as empty and has no tokens; the strings of added special
 tokens count one each wherever they stand, as the library handles them by default; no
-truncation or padding; repeated rows get equal rows.
+truncation or padding; repeated rows get equal rows; an empty table gives no row; texts above a
+megabyte are counted in parts that end before a space; columns of the input pass through unless an
+output has the same name, which then replaces it.
 
 Characters that Unicode 3.2 does not assign can differ in class or case between the versions of
 Unicode that the library and Python carry, so a chunk that holds one is counted by the library.
@@ -86,7 +88,7 @@ def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 class Counter:
     """Counts the tokens of texts for a tokenizers file of the word-end BPE kind."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -101,7 +103,7 @@ class Counter:
         special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = re.compile("|".join(special)) if special else None
         self.unstable = _unstable()
-        self.whole = self.prove(model["vocab"])
+        self.whole = self.prove(model["vocab"]) if whole is None else whole
         self.chunks: dict[bytes, int] = _Memo(self._chunk)
         self.words: dict[str, int] = _Memo(self._word)
 
@@ -149,19 +151,20 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, whole: frozenset[str] | None = None) -> Counter:
+    """This process's counter for a file; proven here unless the proven set is given."""
     if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
+        _COUNTERS[path] = Counter(path, whole)
     return _COUNTERS[path]
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 2048) -> DataFrame:
     """Adds n_bytes (of the text in UTF-8), n_tokens and over_limit (n_tokens above limit)."""
-    prepare(df.sparkSession)
+    proven = prepare(df.sparkSession).sparkContext.broadcast(counter(path).whole)  # words of a vocabulary
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        own = counter(path)
+        own = counter(path, proven.value)
         raw = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
         n = [own.count(x or b"") for x in raw]
         return [pa.array([len(x or b"") for x in raw], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())]
