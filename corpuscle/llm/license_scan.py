@@ -1,19 +1,24 @@
 """License scan by a positional index of rare words, in DataFrame operations only.
 
-Templates are short word sequences with a label, some of whose words form mandatory key phrases.
-Every template word gets an IDF over all documents. The index holds, for each template, its rarest
-words, as many as it takes that no accepted place can lack them all. A document looks up its own
-words in that index; each hit at word i with template position p proposes the place i - p. A
-proposed place is scored by the IDF share of the template's words that stand at their relative
-positions, and accepted if the share is MATCH or more and every key word is there. Templates of
-the base phrases consist of key words only, so each of their places is found and none is guessed.
+Templates are word sequences of licences with a label, some of whose words form mandatory key
+phrases. Every template word gets an IDF over all documents. The index holds the rarest words of
+each template (RARE of them, or as many as key phrases have): each posting is (template, position).
+A document looks up its own words in that index; a hit at word i with template position p proposes
+the place i - p, and the postings are intersected by relative position: a place stands only if
+every one of the template's indexed words proposes it. Indexed words belong to key phrases, so none
+of them can be lacking at an accepted place. What stands is verified: every word of the key phrases
+must be at its position, and the IDF share of the template's words that are must be MATCH or more.
+The base phrases are templates of key words only, so each of their places is found and none guessed.
 
 Defined results: a null text counts as empty; a document without an accepted place has null first
-and last words, empty labels and score 0; equal rows get equal rows.
+and last words, empty labels and score 0; equal rows get equal rows; an empty table gives no row;
+texts of any length are read whole, the words of one document in one task; columns of the input
+pass through, but for the text, unless an output has the same name, which then replaces it.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,25 +27,71 @@ from pyspark.sql import functions as F
 from corpuscle.runtime import shielded
 
 MATCH = 0.8
+#: Words of a template that its postings hold.
+RARE = 3
 #: Fixed values: (label, words, key phrases); the first three are the base phrases.
 TEMPLATES = [
     ("mit", "mit license", ["mit license"]),
     ("apache", "apache license", ["apache license"]),
     ("gpl", "general public license", ["general public license"]),
     ("mit-notice", "released under the mit license", ["mit license"]),
-    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted", "free of charge"]),
+    (
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        ["permission is hereby granted", "free of charge", "sublicense"],
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ["with or without fee", "permission notice appear in all copies"],
+    ),
     ("apache-2", "licensed under the apache license version 2 0", ["apache license", "version 2"]),
+    (
+        "apache-2-header",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        ["apache license version 2 0", "except in compliance"],
+    ),
     ("gpl-notice", "this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("gpl-redistribution", "you can redistribute it and or modify it under the terms of the gnu general public license", ["redistribute it", "general public license"]),
-    ("lgpl", "gnu lesser general public license", ["lesser general public license"]),
-    ("agpl", "gnu affero general public license", ["affero general public license"]),
+    (
+        "gpl-header",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version",
+        ["redistribute it", "general public license", "free software foundation"],
+    ),
+    (
+        "lgpl",
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        ["lesser general public license", "free software foundation"],
+    ),
+    ("lgpl-name", "gnu lesser general public license", ["lesser general public license"]),
+    ("agpl-name", "gnu affero general public license", ["affero general public license"]),
+    (
+        "bsd-2",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        ["redistribution and use", "source and binary forms", "list of conditions"],
+    ),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use", "source and binary forms"]),
-    ("mpl", "subject to the terms of the mozilla public license", ["mozilla public license"]),
+    (
+        "mpl-2",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        ["source code form", "mozilla public license"],
+    ),
+    ("mpl-name", "mozilla public license", ["mozilla public license"]),
+    (
+        "boost",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        ["person or organization", "covered by this license"],
+    ),
+    (
+        "zlib",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        ["commercial applications", "redistribute it freely"],
+    ),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
     ("cc-by", "licensed under a creative commons attribution license", ["creative commons attribution"]),
+    ("cc-by-sa", "creative commons attribution sharealike", ["creative commons attribution sharealike"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
-    ("public-domain", "free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
-    ("as-is", "the software is provided as is without warranty of any kind", ["as is without warranty"]),
+    ("cc0", "creative commons cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
+    ("epl", "eclipse public license v 2 0", ["eclipse public license"]),
 ]
 BASE = 3
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -69,36 +120,32 @@ def words(text: Column) -> Column:
 
 def idf(df: DataFrame, text: str = "text") -> dict[str, int]:
     """Weight of each template word over all documents, in thousandths of ln((n + 1) / (df + 1)),
-    plus one: a row for each word of the templates is all that reaches the driver."""
+    plus one: a row for each word of the templates is all that reaches the driver, in one pass."""
     vocabulary = sorted({w for _, _, w, _ in template_rows()})
-    held = df.select(F.explode_outer(F.array_intersect(words(F.col(text)), F.array(*map(F.lit, vocabulary)))).alias("w"))
-    n = df.count()
-    share = F.lit(float(n + 1)) / (F.count("*") + 1)
-    found = held.filter("w is not null").groupBy("w").agg(F.floor(F.log(share) * 1000 + 0.5).cast("int").alias("v")).collect()
-    none = df.sparkSession.range(1).select(F.floor(F.log(F.lit(float(n + 1))) * 1000 + 0.5)).first()[0]
-    return {w: int(none) + 1 for w in vocabulary} | {r["w"]: r["v"] + 1 for r in found}
+    own = F.array_distinct(F.filter(words(F.col(text)), lambda w: w.isin(vocabulary)))
+    held = df.select(F.explode(F.array_append(own, F.lit(""))).alias("w"))  # the empty word counts documents
+    found = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    n = found.get("", 0)
+    return {w: math.floor(math.log(float(n + 1) / (found.get(w, 0) + 1)) * 1000 + 0.5) + 1 for w in vocabulary}
 
 
-def rare_index(weight: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """Postings (template, position) of each template's rarest words: enough of them to weigh more
-    than a place may lack; one is enough where every word is mandatory."""
+def rare_index(weight: dict[str, int]) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
+    """Postings (template, position) of each template's rarest key words, and how many of them a
+    place of each template needs: all. A word that stands twice has two postings."""
     out: dict[str, list[tuple[int, int]]] = {}
+    need = []
     for t in range(len(TEMPLATES)):
-        own = sorted((r for r in template_rows() if r[0] == t), key=lambda r: (-weight[r[2]], r[1]))
-        lack, got = (1 - MATCH) * sum(weight[r[2]] for r in own), 0
-        must = [r for r in own if r[3]]
-        for _, p, w, _ in must[:1] if must else own:  # a mandatory word can never be lacking
+        must = sorted((r for r in template_rows() if r[0] == t and r[3]), key=lambda r: (-weight[r[2]], r[1]))[:RARE]
+        for _, p, w, _ in must:
             out.setdefault(w, []).append((t, p))
-            got += weight[w]
-            if got > lack:
-                break
-    return out
+        need.append(len(must))
+    return out, need
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """df's other columns with n_words, n_base, first_word, last_word, base_labels, labels, score."""
     weight = idf(df, text)
-    index = rare_index(weight)
+    index, need = rare_index(weight)
     made = (text, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     rows, back = shielded(df, text)
     back = [b for b, c in zip(back, df.columns, strict=True) if c not in made]
@@ -115,8 +162,12 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     hits = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(*index), i)), lambda i: i.isNotNull())
     out = out.withColumn("_hits", F.when(F.arrays_overlap("_w", rare), hits).otherwise(F.array().cast("array<int>")))
     at = lambda i: F.get("_w", i)
-    places = F.flatten(F.transform("_hits", lambda i: F.transform(postings[at(i)], lambda x: F.struct(x["t"].alias("t"), (i - x["p"]).alias("o")))))
-    out = out.withColumn("_places", F.array_distinct(places))
+    proposed = F.flatten(F.transform("_hits", lambda i: F.transform(postings[at(i)], lambda x: F.struct(x["t"].alias("t"), (i - x["p"]).alias("o")))))
+    # a place that every indexed word of its template proposes stands as often in the sorted list
+    out = out.withColumn("_all", F.array_sort(proposed))
+    needs = F.array(*map(F.lit, need))
+    whole = lambda c, k: (F.get("_all", k + F.get(needs, c["t"]) - 1) == c) & F.coalesce(F.get("_all", k - 1) != c, F.lit(True))
+    out = out.withColumn("_places", F.filter("_all", lambda c, k: F.coalesce(whole(c, k), F.lit(False))))
 
     def scored(c: Column) -> Column:
         body = F.get(bodies, c["t"])

@@ -462,6 +462,15 @@ def test_license_scan_finds_every_base_place(spark):
     assert license_scan.scan(empty(spark)).count() == 0 and license_scan.scan(odd_docs(spark)).count() == 11
 
 
+def test_license_texts_with_other_words_and_without_a_key_phrase(spark):
+    bsd = next(w for label, w, _ in license_scan.TEMPLATES if label == "bsd-2")
+    w = bsd.split()
+    filler = [" ".join(random.Random(k).choices(["some", "other", "plain", "prose", "words", "met", "following", "the", "this"], k=80)) for k in range(20)]
+    texts = [bsd.upper(), " ".join([*w[:11], "changed", *w[12:]]), " ".join(["x" if k > 20 else v for k, v in enumerate(w)]), bsd.replace("source and binary", "any"), f"{filler[0]} {bsd}. {bsd}", *filler]
+    got = [r.labels for r in license_scan.scan(docs_of(spark, texts)).orderBy("doc_id").select("labels").collect()]
+    assert got == ["bsd,bsd-2", "bsd,bsd-2", "bsd", "", "bsd,bsd-2", *[""] * 20]
+
+
 # --- toxicity ---------------------------------------------------------------------------------------
 
 
