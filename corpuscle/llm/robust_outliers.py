@@ -4,17 +4,23 @@ Each document gives a vector of transformed statistics. For each (language, sour
 and scatter are minimum-covariance-determinant estimates: starting from medians and MADs,
 concentration steps take the share HALF of the group's documents that lie nearest (Mahalanobis)
 and estimate anew. The scatter is scaled to be consistent at the normal distribution by its
-median distance, reweighted once, and a document is rejected if its squared distance is above
-CUT. Groups below LEAST documents use the estimates of their language, and languages below it
-those of all documents.
+median distance, reweighted once, and a document is rejected if its squared distance is above CUT.
+
+Every group has estimates of its own, whatever its size. A group of a few documents has a scatter
+that is singular or nearly so; therefore each group's estimates are drawn towards those of its
+language as if these were PULL more documents of it, and a language's likewise towards those of all
+documents: n / (n + PULL) of the group's own, without a threshold of size.
 
 Order statistics are approximate percentiles with relative error 1 / ACCURACY, merged from partial
 summaries; everything else is grouped sums. Estimates are a row for each group and are broadcast
-only by Spark's own size check.
+only by Spark's own size check, but for the one row of all documents.
 
 Defined results: a null text has no words and fails the base rules; null language and source are
 groups of their own; equal rows get equal rows; a statistic without spread in a group counts with
-the floor of its scale.
+the floor of its scale; where no document passes the base rules no distance is known and none is
+kept; an empty table gives no row; texts of any length are counted whole, the words of one document
+in one task; columns of the input pass through, but for the text, unless an output has the same
+name, which then replaces it.
 """
 
 from __future__ import annotations
@@ -24,8 +30,9 @@ from pyspark.sql import functions as F
 
 from corpuscle.runtime import Scratch, shielded
 
-#: Share of a group that a concentration step keeps, steps, and rows a group must have.
-HALF, STEPS, LEAST = 0.75, 3, 200
+#: Share of a group that a concentration step keeps, steps, and documents that a wider group's
+#: estimates stand for.
+HALF, STEPS, PULL = 0.75, 3, 30
 #: Chi-squared of 4 degrees of freedom: median, 0.975 quantile, and the cut: far beyond any
 #: quantile of clean text, whose statistics have heavier tails than the normal distribution.
 MEDIAN, REWEIGHT, CUT = 3.357, 11.143, 60.0
@@ -123,7 +130,7 @@ def _with(df: DataFrame, est: DataFrame, key: list[str]) -> DataFrame:
 
 
 def mcd(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """Location m0.., whitening l00.. of each key, from rows with the statistics."""
+    """Location m0.. and scatter c00.. of each key, from rows with the statistics."""
     p = len(STATS)
     middle = rows.groupBy(*key).agg(*[F.percentile_approx(x, 0.5, ACCURACY).alias(f"m{k}") for k, x in enumerate(STATS)])
     middle = scratch.write(middle, f"{name}-middle")
@@ -141,10 +148,20 @@ def mcd(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFra
         # written: of a known size, a row a group, so rows need not be dealt out by group to meet it
         limit = scratch.write(near.groupBy(*key).agg(limit.alias("limit")), f"{name}-{step}-limit")
         inside = _with(near.select(*key, *STATS, "d"), limit, key).filter(F.col("d") <= level)
-        est = scratch.write(_factor(_moments(inside, key)).select(keep), f"{name}-{step}")
+        moments = _moments(inside, key)
+        est = scratch.write(_factor(moments).select(keep) if step <= STEPS else moments, f"{name}-{step}")
     return est
 
 
+def _blended(own: DataFrame, wide: DataFrame, sizes: DataFrame, key: list[str], wide_key: list[str]) -> DataFrame:
+    """own's estimates drawn towards wide's by their sizes (key, n)."""
+    numbers = [c for c in own.columns if c not in key]
+    side = wide.select(*wide_key, F.struct(*numbers).alias("_wide"))
+    both = _with(own.join(sizes, key), side, wide_key)
+    part = F.col("n") / (F.col("n") + PULL)
+    return both.select(*key, *[(part * F.col(c) + (1 - part) * F.col(f"_wide.{c}")).alias(c) for c in numbers])
+
+
 def judged(df: DataFrame, scratch: Scratch, text: str = "text", cut: float = CUT) -> DataFrame:
     """df's other columns with the counts, base_failed, distance (squared) and kept."""
     made = (text, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
@@ -152,23 +169,20 @@ def judged(df: DataFrame, scratch: Scratch, text: str = "text", cut: float = CUT
     back = [b for b, c in zip(back, df.columns, strict=True) if c not in made]
     rows = counts(own.drop(*[f"__own{k}" for k, c in enumerate(df.columns) if c in made]), text)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    group = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source")]
-    rows = rows.withColumns({"base_failed": failed, "_lang": group[0], "_source": group[1]})
+    named = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source")]
+    rows = rows.withColumns({"base_failed": failed, "_lang": named[0], "_source": named[1]})
     rows = scratch.write(_vector(rows), "rows")
     fit = rows.filter("not base_failed")
     sizes = scratch.write(fit.groupBy("_lang", "_source").agg(F.count("*").alias("n")), "sizes")
     langs = sizes.groupBy("_lang").agg(F.sum("n").alias("n"))
-    own = mcd(fit.join(sizes.filter(F.col("n") >= LEAST).select("_lang", "_source"), ["_lang", "_source"], "left_semi"), ["_lang", "_source"], scratch, "own")
-    wide = mcd(fit, ["_lang"], scratch, "lang").join(langs.filter(F.col("n") >= LEAST).select("_lang"), "_lang", "left_semi")
+    group = ["_lang", "_source"]
     every = mcd(fit, [], scratch, "all")
-    # the estimates that hold for each group, the narrowest first
-    numbers = [c for c in every.columns]
-    named = lambda est, tag: est.select(*[c for c in est.columns if c not in numbers], F.struct(*numbers).alias(tag))
-    groups = rows.select("_lang", "_source").distinct().join(named(own, "a"), ["_lang", "_source"], "left").join(named(wide, "b"), "_lang", "left")
-    groups = groups.join(F.broadcast(named(every, "c")), how="left")
-    est = scratch.write(groups.select("_lang", "_source", F.coalesce("a", "b", "c").alias("e")).select("_lang", "_source", "e.*"), "estimates")
-    out = rows.join(est, ["_lang", "_source"]).withColumn("distance", _distance())
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
+    wide = scratch.write(_blended(mcd(fit, ["_lang"], scratch, "lang"), every, langs, ["_lang"], []), "wide")
+    own = _blended(mcd(fit, group, scratch, "own"), wide, sizes, group, ["_lang"])
+    # groups without a document that passes the base rules need no estimates
+    est = scratch.write(_factor(own).select(*group, *[f"m{k}" for k in range(len(STATS))], *[f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]), "estimates")
+    out = rows.join(est, group, "left").withColumn("distance", _distance())
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(False))
     return out.select(*back, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
 
 
