@@ -18,7 +18,7 @@ P = pytest.importorskip("public_tokenizers")
 BYTES, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names the operators use themselves.
-CLASHES = ["fp", "rid", "_rid", "size", "score", "n_words", "bucket", "component_id", "_copy", "_gone", "__own0", "taken", "predicted", "ids", "lid", "_w", "kept", "made"]
+CLASHES = ["fp", "rid", "_rid", "size", "score", "n_words", "bucket", "component_id", "_copy", "_gone", "__own0", "taken", "predicted", "ids", "lid", "_w", "kept", "made", "y", "url", "content", "metadata", "free", "_doc", "first", "u", "m0", "_lang"]
 
 
 def odd_docs(spark):
@@ -632,6 +632,38 @@ def test_cotraining_separates_and_keeps_clean(spark):
     assert {r.score for r in cotrain.score(odd_docs(spark), none, pages, Scratch(spark, "t")).collect()} == {0.5}
 
 
+def test_each_round_offers_what_brute_force_finds(spark, monkeypatch):
+    monkeypatch.setattr(cotrain, "EXCHANGE", 7)
+    rng = random.Random(19)
+    docs, labels = [], []
+    for i in range(400):
+        good = rng.random() < 0.7
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(30)]
+        docs.append((i, " ".join(words) if good else "###".join(words).upper(), "en", rng.choice("abc" if good else "cde"), 100))
+        labels.append((i, int(good)))
+    df, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels[:200], "doc_id long, quality int")
+    pages = spark.createDataFrame([(f"http://{'x' if dict(labels)[i] else 'casino'}.org/en/{i}",) for i in range(0, 400, 2)], "url string")
+    rows = Scratch(spark, "t").write(cotrain.features(df, lab, pages, "quality"), "f").repartition(5)
+    every = rows.withColumn("spread", F.xxhash64(F.lit(6), "doc_id")).collect()
+    known = [r for r in every if r.y is not None]
+    assert len(known) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200)) and sum(r.free for r in every) == 200
+    views = [cotrain.content_view([r.made for r in known]), cotrain.metadata_view(*([r[c] for r in known] for c in cotrain.META))]
+    assert views[0].shape[1] + views[1].shape[1] == len(set(range(views[0].shape[1]))) + 1 + cotrain.NAMES + cotrain.URL  # no feature in both
+    pair = cotrain.Pair(views, np.array([r.y for r in known]))
+    pair.fit()
+    taken = [{every[0].doc_id, every[1].doc_id}, set()]
+    got = collections.defaultdict(list)
+    for r in sorted(cotrain.offers(rows, pair.models, taken).collect(), key=lambda r: r["rank"]):
+        got[r.view, r.label].append(r.doc_id)
+    free = sorted((r for r in every if r.free), key=lambda r: r.spread)
+    odds = [pair.models[0].log_odds(cotrain.content_view([r.made for r in free])), pair.models[1].log_odds(cotrain.metadata_view(*([r[c] for r in free] for c in cotrain.META)))]
+    for view in (0, 1):
+        for label in (0, 1):
+            want = [r.doc_id for r, o in zip(free, odds[1 - view]) if r.doc_id not in taken[view] and (o if label else -o) >= np.log(0.95 / 0.05)]
+            assert got[view, label] == want[:7]
+    assert sum(map(len, got.values())) > 14
+
+
 # --- robust outliers --------------------------------------------------------------------------------
 
 
@@ -661,15 +693,71 @@ def test_outliers_counts_and_verdicts(spark):
     assert robust_outliers.judged(odd_docs(spark), Scratch(spark, "t")).count() == 11
 
 
-def test_mcd_ignores_a_minority(spark):
+def slow_mcd(x):
+    """Location and scatter by the definition, in numpy."""
+    floor = np.array(robust_outliers.FLOOR)
+    low = lambda v, q: np.sort(v, axis=0)[int(np.ceil(q * len(v))) - 1]
+
+    def distance(m, c):
+        g = np.zeros((4, 4))
+        for j in range(4):
+            g[j, j] = np.sqrt(max(c[j, j] - (g[j, :j] ** 2).sum(), (floor[j] / 3) ** 2))
+            for i in range(j + 1, 4):
+                g[i, j] = (c[i, j] - g[i, :j] @ g[j, :j]) / g[j, j]
+        return (np.linalg.solve(g, (x - m).T) ** 2).sum(axis=0)
+
+    def moments(rows):
+        c = np.cov(rows.T, bias=True)
+        c[np.diag_indices(4)] = np.maximum(np.diag(c), floor**2)
+        return rows.mean(axis=0), c
+
+    m = low(x, 0.5)
+    c = np.diag(np.maximum(1.4826 * low(np.abs(x - m), 0.5), floor) ** 2)
+    for _ in range(3):
+        d = distance(m, c)
+        m, c = moments(x[d <= low(d, 0.75)])
+    d = distance(m, c)
+    return (*moments(x[d <= 11.143 * max(1, low(d, 0.5) / 3.357)]), distance)
+
+
+def test_mcd_ignores_a_minority_and_equals_an_independent_one(spark):
     rng = np.random.default_rng(13)
     x = np.r_[rng.normal(size=(800, 4)), rng.normal(size=(150, 4)) + 12]
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "x0 double, x1 double, x2 double, x3 double")
     est = robust_outliers.mcd(df, [], Scratch(spark, "t"), "m").first()
-    assert max(abs(est[f"m{k}"]) for k in range(4)) < 0.2
-    white = np.array([[est[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
-    d = ((white @ (x - [est[f"m{k}"] for k in range(4)]).T) ** 2).sum(axis=0)
-    assert np.median(d[:800]) < 6 and d[800:].min() > robust_outliers.CUT
+    m, c = np.array([est[f"m{k}"] for k in range(4)]), np.array([[est[f"c{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)])
+    want = slow_mcd(x)
+    assert np.allclose(m, want[0], atol=0.02) and np.allclose(c, want[1], atol=0.05)  # percentiles are approximate
+    d = want[2](m, c)
+    assert abs(m).max() < 0.2 and np.median(d[:800]) < 6 and d[800:].min() > robust_outliers.CUT
+
+
+def test_verdicts_equal_an_independent_estimate(spark):
+    rng = random.Random(14)
+    word = lambda: rng.choice(["ab", "cde", "fghi", "jklmno"]) + str(rng.randrange(50))
+    rows = []
+    for i in range(240):
+        text = " ".join(word() for _ in range(rng.randint(25, 150)))
+        text = "%%% ".join(text.split()) if i % 40 == 7 else "q" * 900 + " " + text if i % 40 == 9 else text
+        rows.append((i, text, "en" if i % 3 else "de", f"s{i % 5 if i % 11 else 9}", None))
+    out = {r.doc_id: r for r in robust_outliers.judged(spark.createDataFrame(rows, DOCS), Scratch(spark, "t")).collect()}
+    x = {}
+    for i, text, *_ in rows:
+        n, chars, symbols, dup, repeat = slow_counts(text)
+        if n >= 20 and 100 * repeat <= 30 * n:
+            x[i] = [np.log1p(n), np.log1p(chars / n), np.log1p(10 * symbols / n), np.sqrt(min(1, repeat / n)) + 0.1 * np.log1p(dup)]
+    of = {i: (lang, source) for i, _, lang, source, _ in rows}
+    pick = lambda f: np.array([x[i] for i in sorted(x) if f(of[i])])
+    blend = lambda a, b, n: [n / (n + 30) * u + 30 / (n + 30) * v for u, v in zip(a, b)]
+    for lang, source in set(of.values()):
+        every, wide, own = pick(lambda g: True), pick(lambda g: g[0] == lang), pick(lambda g: g == (lang, source))  # noqa: B023
+        wider = blend(slow_mcd(wide)[:2], slow_mcd(every)[:2], len(wide))
+        m, c = blend(slow_mcd(own)[:2], wider, len(own))
+        mine = [i for i in sorted(x) if of[i] == (lang, source)]
+        for i, v in zip(mine, own):
+            d = float((v - m) @ np.linalg.solve(c, v - m))
+            assert out[i].distance == pytest.approx(d, rel=1e-6) and out[i].kept == (d <= robust_outliers.CUT)
+    assert 0 < sum(not r.kept for r in out.values()) < 30
 
 
 # --- mixing -----------------------------------------------------------------------------------------
