@@ -66,6 +66,20 @@ def canonical_key(doi: Column, arxiv_id: Column, pmid: Column, work_id: Column,
     return F.coalesce(*keys, F.lit(""))
 
 
+def legacy_key(doi: Column, source: Column, own_id: Column) -> Column:
+    """The key of an older seen-state: a DOI without its resolver prefixes, one of each kind in
+    turn, else the source and its id."""
+    bare = F.lower(text(doi))
+    for prefix in ("https://doi.org/", "http://doi.org/", "doi:"):
+        bare = F.when(bare.startswith(prefix), F.substr(bare, F.lit(len(prefix) + 1))).otherwise(bare)
+    return F.when(bare != "", F.concat(F.lit("doi:"), bare)).otherwise(F.concat_ws(":", F.coalesce(source, F.lit("")), F.coalesce(own_id.cast("string"), F.lit(""))))
+
+
+def dedup_key(canonical: Column, doi: Column, source: Column, own_id: Column) -> Column:
+    """The canonical key, or the legacy one where there is none."""
+    return F.coalesce(F.nullif(canonical, F.lit("")), legacy_key(doi, source, own_id))
+
+
 def identity_key(doi: Column, arxiv_id: Column) -> Column:
     """the public identity, of raw values."""
     return F.when(text(doi) != "", F.concat(F.lit("doi:"), text(doi))).when(text(arxiv_id) != "", F.concat(F.lit("arxiv:"), text(arxiv_id))).otherwise("")

@@ -24,37 +24,47 @@ def whole_word(term: str) -> str:
     return rf"(^|[^\p{{L}}\p{{N}}_]){re.escape(term.lower())}($|[^\p{{L}}\p{{N}}_])".replace("\\ ", " ").replace("\\-", "-")
 
 
-def contains(body: Column, term: str) -> Column:
-    return body.rlike(whole_word(term))
+def word_set(low: Column) -> Column:
+    """The different words of a lower-case text, split where whole_word sees an edge."""
+    return F.array_distinct(F.split(low, r"[^\p{L}\p{N}_]+"))
+
+
+def contains(body: Column, term: str, words: Column | None = None) -> Column:
+    """a term as a whole word or phrase. With the text's word_set a plain word needs no pattern,
+    and other terms are looked for as they are before their edges are."""
+    low = term.lower()
+    if words is not None and re.fullmatch("[a-z0-9_]+", low):
+        return F.array_contains(words, low)
+    return body.contains(low) & body.rlike(whole_word(term))
 
 
 def body(title: Column, abstract: Column) -> Column:
     return F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(abstract, F.lit(""))))
 
 
-def any_of(low: Column, terms: list[str]) -> Column:
+def any_of(low: Column, terms: list[str], words: Column | None = None) -> Column:
     out = F.lit(False)
     for t in terms:
-        out = out | contains(low, t)
+        out = out | contains(low, t, words)
     return out
 
 
-def is_excluded(low: Column, excluded: list[str], anchors: list[str] | None = None) -> Column:
+def is_excluded(low: Column, excluded: list[str], anchors: list[str] | None = None, words: Column | None = None) -> Column:
     """an excluded term is there and no anchor is."""
-    return any_of(low, excluded) & ~any_of(low, ANCHORS if anchors is None else anchors)
+    return any_of(low, excluded, words) & ~any_of(low, ANCHORS if anchors is None else anchors, words)
 
 
-def score_direction(low: Column, keywords: list[str], pairs: list[list[str]]) -> tuple[Column, Column]:
+def score_direction(low: Column, keywords: list[str], pairs: list[list[str]], words: Column | None = None) -> tuple[Column, Column]:
     """points and the matches, keywords first, in order of configuration."""
     points, found = F.lit(0.0), []
     for k in keywords:
-        hit = contains(low, k)
+        hit = contains(low, k, words)
         points = points + F.when(hit, KEYWORD_POINTS).otherwise(0.0)
         found.append(F.when(hit, F.lit(k)))
     for pair in pairs:
         hit = F.lit(True)
         for t in pair:
-            hit = hit & contains(low, t)
+            hit = hit & contains(low, t, words)
         points = points + F.when(hit, PAIR_POINTS).otherwise(0.0)
         found.append(F.when(hit, F.lit(" + ".join(pair))))
     return points, F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
@@ -63,13 +73,13 @@ def score_direction(low: Column, keywords: list[str], pairs: list[list[str]]) ->
 def route(df: DataFrame, directions: dict[str, dict], excluded: list[str], min_score: float = MIN_SCORE) -> DataFrame:
     """Adds directions (best first, ties in order of configuration), direction,
     direction_name, routing_matches and routing_reason."""
-    out = df.withColumn("_low", body(F.col("title"), F.col("abstract")))
+    out = df.withColumn("_low", body(F.col("title"), F.col("abstract"))).withColumn("_words", word_set(F.col("_low")))
     scored = []
     for k, (key, cfg) in enumerate(directions.items()):
-        points, found = score_direction(F.col("_low"), cfg.get("strong_keywords", []), cfg.get("must_pair_with", []))
+        points, found = score_direction(F.col("_low"), cfg.get("strong_keywords", []), cfg.get("must_pair_with", []), F.col("_words"))
         name = F.lit(cfg.get("display_name", key))
         scored.append(F.struct((-points).alias("order"), F.lit(k).alias("k"), F.lit(key).alias("key"), name.alias("name"), found.alias("found")))
-    out = out.withColumn("_out", is_excluded(F.col("_low"), excluded))
+    out = out.withColumn("_out", is_excluded(F.col("_low"), excluded, words=F.col("_words")))
     ranked = F.array_sort(F.filter(F.array(*scored), lambda s: s["order"] <= -min_score))
     out = out.withColumn("_s", F.when(~F.col("_out"), ranked).otherwise(F.slice(ranked, 1, 0)))
     return out.withColumns(
@@ -80,7 +90,7 @@ def route(df: DataFrame, directions: dict[str, dict], excluded: list[str], min_s
             "routing_matches": F.map_from_entries(F.transform("_s", lambda s: F.struct(s["key"], s["found"]))),
             "routing_reason": F.when(F.col("_out"), "excluded by hard rule"),
         }
-    ).drop("_low", "_out", "_s")
+    ).drop("_low", "_words", "_out", "_s")
 
 
 def crossover_boost(df: DataFrame, directions: str = "directions", priority: str = "priority", boosted: str = "priority_boosted") -> DataFrame:

@@ -23,15 +23,17 @@ BODY_MARKERS = ["introduction", "method", "result", "conclusion", "discussion",
 BULLETS = "•→■○►"
 
 
+#: The scalars of a JSON text; names of members are told by their colon.
+_SCALAR = r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false'
+
+
 def flatten(v: Column) -> Column:
-    """all text in a variant (text, object, list or null), joined by one space. Three levels
-    cover the shapes that occur; strings below that are left out."""
-    whole = F.try_variant_get(v, "$", "string")
-    kind = F.schema_of_variant(v)
-    as_list = F.try_variant_get(v, "$", "array<string>")
-    as_map = F.map_values(F.try_variant_get(v, "$", "map<string,string>"))
-    one = lambda a: F.array_join(F.filter(a, lambda x: F.btrim(x, F.lit(SPACE)) != ""), " ")
-    return F.coalesce(F.when(kind.startswith("ARRAY"), one(as_list)).when(kind.startswith("OBJECT"), one(as_map)).otherwise(text(whole)), F.lit(""))
+    """all text in a variant (text, object, list or null, nested to any depth), joined by one
+    space; empty texts are left out, numbers are written, an object's members come in order of names."""
+    found = F.filter(F.regexp_extract_all(F.to_json(v), F.lit(_SCALAR), 0), lambda x: ~x.endswith(":"))
+    inside = lambda x: F.try_variant_get(F.try_parse_json(x), "$", "string")
+    texts = F.transform(found, lambda x: F.when(x.startswith('"'), inside(x)).when(x.isin("true", "false"), F.initcap(x)).otherwise(x))
+    return F.coalesce(F.array_join(F.filter(texts, lambda x: x != ""), " "), F.lit(""))
 
 
 def truncate(c: Column, n: int) -> Column:

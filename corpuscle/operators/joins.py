@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.functions.rights import safe_visual
+
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, defaults: dict[str, object]) -> DataFrame:
     """Columns of a dimension, with a default where it has no row or a null."""
@@ -94,3 +96,33 @@ def config_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) ->
 def digest_diff(current: DataFrame, seen: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(new, cleared) keys."""
     return current.join(seen, key, "left_anti"), seen.join(current, key, "left_anti")
+
+
+def attach_visuals(papers: DataFrame, registry: DataFrame, key: str = "key") -> DataFrame:
+    """Papers with a column visual: the record that the registry (key, visual) holds under the
+    public identity, after canonicalisation and only if it may be shown. Papers without a key get none."""
+    side = registry.select(F.col(key).alias("_k"), F.when(safe_visual(F.col("visual")), F.col("visual")).alias("visual"))
+    side = side.filter("visual is not null and _k <> ''").groupBy("_k").agg(F.first("visual").alias("visual"))
+    return papers.join(side, F.col(key) == F.col("_k"), "left").drop("_k")
+
+
+def marked_records(marks: DataFrame, manifest: DataFrame, records: DataFrame, most: int = 25) -> DataFrame:
+    """Marks (idkey, anchor, date) with the page of their record, or null. The manifest (date,
+    anchor, page, page_count: a row for each anchor) names the pages of the anchor and of its numbered
+    forms; if it names none, the day's first `most` pages are looked through."""
+    valid = marks.withColumn("_m", F.monotonically_increasing_id()).filter(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"))
+    base = F.regexp_extract("anchor", r"^(.*?)(?:--.*)?$", 1)
+    m = manifest.select(F.col("date").alias("_date"), F.explode(F.array_distinct(F.array("anchor", base))).alias("_a"), F.col("anchor").alias("_whole"), "page")
+    named = valid.join(m, (F.col("date") == F.col("_date")) & (F.col("anchor") == F.col("_a"))).select("idkey", "anchor", "date", "page")
+    days = manifest.groupBy(F.col("date").alias("_date")).agg(F.max("page_count").alias("pages"))
+    lost = valid.select("idkey", "anchor", "date").distinct().join(named, ["idkey", "anchor", "date"], "left_anti").join(days, F.col("date") == F.col("_date")).filter("pages > 0")
+    scanned = lost.select("idkey", "anchor", "date", F.explode(F.sequence(F.lit(1), F.least("pages", F.lit(most)).cast("int"))).alias("page"))
+    found = named.unionByName(scanned).join(records.select(F.col("identity_key").alias("idkey"), "date", "page"), ["idkey", "date", "page"]).groupBy("idkey", "anchor", "date").agg(F.min("page").alias("page"))
+    return marks.join(found, ["idkey", "anchor", "date"], "left")
+
+
+def query_terms(config: DataFrame, columns: list[str]) -> DataFrame:
+    """(source, terms): the different terms that any direction asks of each source, sorted."""
+    each = F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("terms")) for c in columns])
+    terms = config.select(F.inline(each)).select("source", F.explode("terms").alias("term")).filter("term is not null")
+    return terms.groupBy("source").agg(F.array_sort(F.collect_set("term")).alias("terms"))

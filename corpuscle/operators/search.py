@@ -92,3 +92,28 @@ def reading_list(marks: DataFrame, tab: str, tag: str | None = None, query: str
 def tag_usage(marks: DataFrame) -> DataFrame:
     """Tags by use."""
     return marks.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag")
+
+
+#: Texts of a paper, of its lists and of its score, as an export names them.
+PAPER_TEXTS = ["doi", "arxiv_id", "title", "url", "source", "date", "date_precision", "venue", "abstract", "first_author_affiliation", "direction", "direction_name", "scorer_version"]
+SCORE_TEXTS = ["priority", "relevance_level", "read_action", "validation_kind", "relevance_to_user", "why_not_core"]
+EXPORT = [
+    "doi", "arxiv_id", "title", "url", "source", "date", "date_precision", "year", "venue", "abstract", "authors", "first_author_affiliation", "corresponding_authors", "direction", "direction_name",
+    "priority", "relevance_level", "read_action", "validation_kind", "relevance_to_user", "why_not_core", "flags", "tags", "key_terms", "summary_zh", "summary_en", "scorer_version",
+    "radar_source_date", "radar_export_date", "radar_export_version",
+]
+
+
+def export_record(df: DataFrame, source_date: Column, export_date: Column, version: str) -> DataFrame:
+    """papers (with the struct llm, which may be null) as the 30 flat columns of an export; a
+    missing text is empty, a missing list or map has no member, a missing year stays null."""
+    kinds = {f.name: f.dataType for f in df.schema.fields} | {f"llm.{f.name}": f.dataType for f in df.schema["llm"].dataType.fields}
+
+    def whole(name: str, empty: Column) -> Column:
+        return F.coalesce(F.col(name), empty.cast(kinds[name])) if name in kinds else empty
+
+    made = {c: whole(c, F.lit("")) for c in PAPER_TEXTS} | {c: whole(f"llm.{c}", F.lit("")) for c in SCORE_TEXTS}
+    made |= {c: whole(c, F.array()) for c in ("authors", "corresponding_authors")} | {c: whole(f"llm.{c}", F.array()) for c in ("tags", "key_terms")}
+    made |= {c: whole(f"llm.{c}", F.create_map()) for c in ("flags", "summary_zh", "summary_en")}
+    made |= {"year": F.col("year"), "radar_source_date": source_date, "radar_export_date": export_date, "radar_export_version": F.lit(version)}
+    return df.select(*[made[c].alias(c) for c in EXPORT])

@@ -123,3 +123,20 @@ def work_at(df: DataFrame, journal: str, order: list[Column], position: int) ->
     if not 1 <= position <= 10_000:
         return df.limit(0)
     return first_of(df, [journal], order, position, "_n").filter(F.col("_n") == position).drop("_n")
+
+
+def weekly_list(df: DataFrame, week: str) -> DataFrame:
+    """What was read or checked in a week: High first, in any case, then by source date."""
+    late = (F.lower("priority") != "high").cast("int")
+    return df.filter((F.col("week") == week) & F.col("status").isin("read", "checked")).orderBy(late, "source_date", "id")
+
+
+def ranked_by_day(df: DataFrame, date: str, order: list[Column], rank: str = "rank") -> DataFrame:
+    """Rank over all rows, newest day first, then in the order given. Only the days' counts share
+    a task; each day's rows are ranked by themselves."""
+    day = F.coalesce(F.col(date).cast("string"), F.lit(""))
+    counts = df.groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select("_day", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = df.withColumn("_day", day).withColumn("_nth", F.row_number().over(W.partitionBy("_day").orderBy(*order)))
+    return own.join(counts, "_day").withColumn(rank, (F.col("_before") + F.col("_nth")).cast("int")).drop("_day", "_nth", "_before")

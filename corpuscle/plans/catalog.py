@@ -132,11 +132,11 @@ def marks_merge(spark, d):
 
 
 @query("""
-WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 12 AND ts < TIMESTAMP '2024-01-16'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 12 AND ts >= TIMESTAMP '2024-01-16')
+WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 100 AND ts < TIMESTAMP '2024-01-16'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 100 AND ts >= TIMESTAMP '2024-01-16')
 SELECT user_id, 'new' AS change FROM b WHERE user_id NOT IN (SELECT user_id FROM a) UNION ALL SELECT user_id, 'cleared' FROM a WHERE user_id NOT IN (SELECT user_id FROM b)""")
 def digest_diff(spark, d):
     """Larger buyers of the second half of the month against the first."""
-    rows, cut = table(spark, d, "events").filter("event_type = 'purchase' and value > 12"), F.lit("2024-01-16").cast("timestamp_ntz")
+    rows, cut = table(spark, d, "events").filter("event_type = 'purchase' and value > 100"), F.lit("2024-01-16").cast("timestamp_ntz")
     new, cleared = joins.digest_diff(rows.filter(F.col("ts") >= cut).select("user_id").distinct(), rows.filter(F.col("ts") < cut).select("user_id").distinct(), "user_id")
     return new.withColumn("change", F.lit("new")).unionByName(cleared.withColumn("change", F.lit("cleared")))
 
@@ -151,13 +151,13 @@ def source_union(spark, d):
 
 
 @query("""
-WITH k AS (SELECT DISTINCT p_name AS key FROM part), old AS (SELECT key, row_number() OVER (ORDER BY key DESC) AS seq FROM k WHERE key < 'm'),
+WITH k AS (SELECT DISTINCT p_name AS key FROM part), old AS (SELECT p_name AS key, min(p_partkey) AS seq FROM part WHERE p_name < 'm' GROUP BY p_name),
 new AS (SELECT key, (SELECT max(seq) FROM old) + row_number() OVER (ORDER BY key) AS seq FROM k WHERE key >= 'm'),
 u AS (SELECT * FROM old UNION ALL SELECT * FROM new) SELECT key, seq::BIGINT AS seq FROM u ORDER BY seq DESC LIMIT 60""")
 def bounded_state(spark, d):
-    """Part names as keys: those below m have been seen before."""
+    """Part names as keys: those below m have been seen before, in order of part."""
     keys = table(spark, d, "part").select(F.col("p_name").alias("key")).distinct()
-    old = keys.filter("key < 'm'").withColumn("seq", F.row_number().over(windows.W.orderBy(F.desc("key"))))
+    old = table(spark, d, "part").filter("p_name < 'm'").groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("seq"))
     return dedup.bounded_state(old, keys, 60)
 
 
@@ -173,7 +173,7 @@ KEPT = ["the", "les"]
 
 
 def _has(term: str) -> str:
-    return f"regexp_matches(b, '{routing.whole_word(term)}')"
+    return f"list_contains(ws, '{term}')"
 
 
 def _points(cfg: dict) -> str:
@@ -182,11 +182,11 @@ def _points(cfg: dict) -> str:
     return " + ".join(parts)
 
 
-_OUT = f"({' OR '.join(map(_has, EXCLUDED))}) AND NOT ({' OR '.join(map(_has, routing.ANCHORS))})"
+_OUT = f"({' OR '.join(map(_has, EXCLUDED))}) AND NOT ({' OR '.join(map(_has, [a for a in routing.ANCHORS if ' ' not in a]))} OR regexp_matches(b, '(^|[^\\p{{L}}\\p{{N}}_])hip implant($|[^\\p{{L}}\\p{{N}}_])'))"
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, lower(concat('', ' ', coalesce(text, ''))) AS b FROM documents),
+WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS b, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents),
 s AS (SELECT doc_id, {_OUT} AS out, {', '.join(f'{_points(c)} AS {k}' for k, c in DIRECTIONS.items())} FROM t)
 SELECT doc_id, CASE WHEN out OR greatest({', '.join(DIRECTIONS)}) < 2 THEN '' {' '.join(f"WHEN {k} = greatest({', '.join(DIRECTIONS)}) THEN '{k}'" for k in DIRECTIONS)} END AS direction,
   CASE WHEN out THEN 0 ELSE {' + '.join(f'({k} >= 2)::INTEGER' for k in DIRECTIONS)} END AS n_directions, out AS excluded FROM s""")
@@ -198,7 +198,7 @@ def route_documents(spark, d):
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS b FROM documents)
+WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS b, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents)
 SELECT doc_id, ({' OR '.join(map(_has, EXCLUDED))}) AND NOT ({' OR '.join(map(_has, KEPT))}) AS excluded FROM t""")
 def hard_exclusion(spark, d):
     """excluded words without an anchor."""
@@ -429,26 +429,26 @@ def export_candidates(spark, d):
     rows = _orders(spark, d).withColumn("key", F.concat_ws(":", "c_nationkey", "direction"))
     rows = rows.withColumn("priority", F.when(F.col("priority") == "1-URGENT", "High").when(F.col("priority") == "2-HIGH", "Medium").otherwise("Low"))
     last = dedup.latest_wins(rows.filter(routing.min_priority(F.col("priority"), "Medium")), "key", "bucket_date", "o_orderkey")
-    rank = F.row_number().over(windows.W.orderBy(*windows.export_order("bucket_date", "priority", "direction", "o_orderkey")))
-    return last.select("o_orderkey", "bucket_date", "direction", rank.alias("rank"))
+    ranked = windows.ranked_by_day(last, "bucket_date", windows.export_order("bucket_date", "priority", "direction", "o_orderkey")[1:])
+    return ranked.select("o_orderkey", "bucket_date", "direction", "rank")
 
 
 # --- joins and search -----------------------------------------------------------------------------
 
 
 @query("""
-WITH x AS (SELECT item_id, lower(substr(text, 1, 12)) AS k, CASE item_id % 3 WHEN 0 THEN 'must_read' WHEN 1 THEN 'useful' ELSE 'peripheral' END AS tier FROM benchmark),
-c AS (SELECT lower(substr(text, 1, 12)) AS k, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+WITH x AS (SELECT item_id, lower(text) AS k, CASE item_id % 3 WHEN 0 THEN 'must_read' WHEN 1 THEN 'useful' ELSE 'peripheral' END AS tier FROM benchmark),
+c AS (SELECT lower(line) AS k, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1),
 j AS (SELECT x.*, c.doc_id, CASE c.doc_id % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' WHEN 3 THEN 'Exclude' END AS p FROM x LEFT JOIN c USING (k))
 SELECT item_id, doc_id, CASE WHEN doc_id IS NULL THEN 'missing_' || tier WHEN tier = 'must_read' THEN CASE WHEN p IN ('High', 'Medium') THEN 'correct_must_read' ELSE 'under_scored' END
   WHEN tier = 'useful' THEN CASE WHEN p IN ('Medium', 'Low') THEN 'correct_useful' WHEN p = 'Exclude' THEN 'under_scored' ELSE 'over_scored' END
   ELSE CASE WHEN p IN ('Low', 'Exclude') THEN 'correct_peripheral' ELSE 'over_scored' END END AS verdict FROM j""")
 def reference_list_verdicts(spark, d):
-    """Benchmark items as listed papers, documents with equal beginnings as the corpus."""
-    k = F.lower(F.substring("text", 1, 12)).alias("k")
+    """Benchmark items as listed papers, whole lines of documents as the corpus."""
+    k = F.lower("text").alias("k")
     tier = F.element_at(F.array(*map(F.lit, ["must_read", "useful", "peripheral"])), (F.col("item_id") % 3 + 1).cast("int"))
     listed = table(spark, d, "benchmark").select("item_id", k, tier.alias("tier"))
-    found = joins.list_matches(listed, table(spark, d, "documents").select(k, "doc_id"), "k", ["doc_id"])
+    found = joins.list_matches(listed, table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("text"), "doc_id").select(k, "doc_id"), "k", ["doc_id"])
     i = F.col("doc_id") % 4
     p = F.when(i == 0, "High").when(i == 1, "Medium").when(i == 2, "Low").when(i == 3, "Exclude")
     verdict = F.when(F.col("present"), quality.present_verdict(F.col("tier"), p)).otherwise(quality.missing_verdict(F.col("tier")))
@@ -497,13 +497,11 @@ def dimension_lookup(spark, d):
 
 @query("""
 SELECT d.doc_id, round(100.0 * ((trim(coalesce(text, '')) <> '')::INTEGER + (coalesce(lang, '') <> '')::INTEGER + (quality IS NOT NULL)::INTEGER + (toxic IS NOT NULL)::INTEGER) / 4, 1) AS completeness,
-  CASE WHEN quality IS NULL THEN 'unknown' WHEN quality = 1 AND contains(lower(text), 'idiot') THEN 'clear_mismatch' WHEN quality = 0 AND contains(lower(text), 'license') AND NOT contains(lower(text), 'idiot') THEN 'clear_mismatch' WHEN quality = 1 AND FALSE THEN 'mild_mismatch' ELSE 'consistent' END AS consistency
-FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE NOT (coalesce(contains(lower(text), 'idiot'), FALSE) AND coalesce(contains(lower(text), 'license'), FALSE))""")
+  CASE WHEN quality IS NULL THEN 'unknown' WHEN quality = 1 AND contains(lower(text), 'idiot') THEN CASE WHEN contains(lower(text), 'license') THEN 'mild_mismatch' ELSE 'clear_mismatch' END WHEN quality = 0 AND contains(lower(text), 'license') AND NOT contains(lower(text), 'idiot') THEN 'clear_mismatch' ELSE 'consistent' END AS consistency
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def quality_audit(spark, d):
-    """labels as scores; texts with cues of both kinds are left out."""
+    """labels as scores."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    low = F.lower(F.coalesce("text", F.lit("")))
-    rows = rows.filter(~(low.contains("idiot") & low.contains("license")))
     fields = [quality.filled(F.col("text")), quality.filled(F.col("lang")), F.col("quality").isNotNull(), F.col("toxic").isNotNull()]
     priority = F.when(F.col("quality") == 1, "High").when(F.col("quality") == 0, "Low").otherwise("")
     return rows.select("doc_id", quality.completeness(fields).alias("completeness"), quality.consistency(priority, F.col("text"), F.lit(""), ["idiot"], ["license"]).alias("consistency"))
@@ -579,6 +577,213 @@ def inverted_index_text(spark, d):
     return index.select("item_id", readers.inverted_index_text(F.col("i")).alias("text"))
 
 
+# --- operators on made-up papers ------------------------------------------------------------------
+#
+# Customers stand for papers here: names for titles, segments for directions, nations for sources.
+
+_PAPERS = """
+SELECT c_custkey AS id, c_name AS title, c_mktsegment AS direction, 's' || (c_nationkey % 4) AS source, CASE c_custkey % 5 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' WHEN 3 THEN 'Exclude' END AS priority,
+  CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '10.1/' || (c_custkey // 2) END AS doi, strftime(DATE '2024-01-01' + INTERVAL (c_custkey % 90) DAY, '%Y-%m-%d') AS date, c_custkey % 4 AS attempts, round(c_acctbal)::BIGINT AS cites FROM customer"""
+
+
+def _papers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    names = F.when(k % 5 == 0, "High").when(k % 5 == 1, "Medium").when(k % 5 == 2, "Low").when(k % 5 == 3, "Exclude")
+    return table(spark, d, "customer").select(
+        k.alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("direction"), F.concat(F.lit("s"), F.col("c_nationkey") % 4).alias("source"), names.alias("priority"),
+        F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("10.1/"), F.floor(k / 2).cast("string"))).alias("doi"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 90).cast("int")).cast("string").alias("date"),
+        (k % 4).alias("attempts"), F.round("c_acctbal").cast("long").alias("cites"),
+    )
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT id, CASE WHEN doi <> '' THEN 'doi:' || doi ELSE source || ':' || id END AS key FROM p WHERE id % 3 <> 0 UNION ALL SELECT id, 'arxiv:' || id FROM p WHERE id % 3 = 0")
+def dedup_keys(spark, d):
+    """A canonical key for every third paper, the legacy key for others; DOIs with prefixes."""
+    p = _papers(spark, d)
+    canonical = F.when(F.col("id") % 3 == 0, F.concat(F.lit("arxiv:"), F.col("id").cast("string"))).otherwise("")
+    doi = F.when(F.col("doi") != "", F.concat(F.lit("https://doi.org/doi:"), F.upper("doi"))).otherwise("")
+    return p.select("id", identity.dedup_key(canonical, doi, F.col("source"), F.col("id")).alias("key"))
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT id, date, title, row_number() OVER (ORDER BY date DESC, title DESC, id)::INTEGER AS rank FROM p QUALIFY rank <= 40")
+def queue_order(spark, d):
+    """The first 40 of the queue, as two pages of 20."""
+    p = _papers(spark, d).withColumn("key", F.col("id"))
+    pages = [search.queue_page(p, o, 20).withColumn("page", F.lit(k)) for k, o in enumerate((0, 20))]
+    order = F.row_number().over(windows.W.partitionBy("page").orderBy(F.desc("date"), F.desc("title"), "key"))
+    return pages[0].unionByName(pages[1]).select("id", "date", "title", (F.col("page") * 20 + order).cast("int").alias("rank"))
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT id FROM (SELECT *, row_number() OVER (ORDER BY date DESC, CASE priority WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 WHEN 'Exclude' THEN 3 ELSE 99 END, id) AS n FROM p) WHERE n <= 30")
+def enrichment_queue(spark, d):
+    """Thirty attempts."""
+    return windows.enrichment_queue(_papers(spark, d).withColumns({"first_seen_at": F.col("date"), "key": F.col("id")}), 30).select("id")
+
+
+@query(f"WITH p AS ({_PAPERS}), q AS (SELECT *, CASE id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'reading' ELSE 'read' END AS status FROM p) SELECT id FROM q WHERE status IN ('pending', 'reading') AND attempts < 3 ORDER BY (status = 'reading') DESC, date DESC, CASE priority WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 WHEN 'Exclude' THEN 3 ELSE 99 END, id LIMIT 1")
+def review_next(spark, d):
+    """O06."""
+    k = F.col("id") % 3
+    return windows.review_next(_papers(spark, d).withColumn("status", F.when(k == 0, "pending").when(k == 1, "reading").otherwise("read"))).select("id")
+
+
+@query("WITH r AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS run_date, min(o_orderstatus) AS run_status FROM orders GROUP BY 1) SELECT run_date, run_status FROM r WHERE run_status IN ('O', 'P') ORDER BY run_date DESC LIMIT 7")
+def recent_runs(spark, d):
+    """Days as runs; open and partial ones are healthy."""
+    runs = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("run_date")).agg(F.min("o_orderstatus").alias("run_status"))
+    return windows.recent_runs(runs, ["O", "P"])
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT id, row_number() OVER (ORDER BY (coalesce(priority, '') <> 'High'), date, id)::INTEGER AS rank FROM p WHERE id % 6 IN (1, 2) AND source = 's1'")
+def weekly_list(spark, d):
+    """Sources as weeks; read and checked papers of one."""
+    k = F.col("id") % 6
+    rows = _papers(spark, d).select("id", F.coalesce("priority", F.lit("")).alias("priority"), F.col("date").alias("source_date"), F.col("source").alias("week"), F.when(k == 1, "read").when(k == 2, "checked").otherwise("pending").alias("status"))
+    rank = F.row_number().over(windows.W.orderBy((F.lower("priority") != "high").cast("int"), "source_date", "id"))
+    return windows.weekly_list(rows, "s1").select("id", rank.alias("rank"))
+
+
+@query(f"WITH p AS ({_PAPERS}), u AS (SELECT DISTINCT doi FROM p WHERE doi <> ''), e AS (SELECT count(*) AS n FROM p WHERE doi = '') SELECT (SELECT count(*) FROM p) AS raw, (SELECT count(*) FROM u) + n AS \"unique\", (SELECT count(*) FROM p) - (SELECT count(*) FROM u) - n AS suppressed FROM e")
+def corpus_stats(spark, d):
+    """Pairs of papers share a DOI; those without one stay."""
+    p = _papers(spark, d)
+    return aggregates.corpus_stats(p, dedup.first_wins(p, "doi", [F.col("id")]))
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT CASE id % 3 WHEN 0 THEN 'must_read' WHEN 1 THEN 'useful' ELSE 'peripheral' END AS tier, coalesce(priority, 'none') AS verdict, count(*) AS n FROM p GROUP BY ALL")
+def tier_matrix(spark, d):
+    """Priorities as verdicts."""
+    k = F.col("id") % 3
+    return aggregates.tier_matrix(_papers(spark, d).select(F.when(k == 0, "must_read").when(k == 1, "useful").otherwise("peripheral").alias("tier"), F.coalesce("priority", F.lit("none")).alias("verdict")))
+
+
+@query(f"WITH p AS ({_PAPERS}), f AS (SELECT substr(date, 1, 7) AS month, priority IS NOT NULL AND id % 4 = 0 AS silent, id % 9 = 0 AS failed FROM p) SELECT month, count(*) AS n, count(*) FILTER (WHERE silent) AS silent, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE silent OR failed) AS candidate FROM f GROUP BY 1")
+def silent_by_month(spark, d):
+    """Every fourth scored paper has an empty body, every ninth failed."""
+    p = _papers(spark, d).withColumn("body", F.when(F.col("id") % 4 == 0, " ").otherwise("said"))
+    silent = quality.is_silent(F.col("priority"), F.col("body"), F.col("body"), F.when(F.col("id") % 4 != 0, F.array(F.lit("t"))))
+    failed = F.col("id") % 9 == 0
+    return aggregates.flag_counts(p, F.substring("date", 1, 7).alias("month"), silent=silent, failed=failed, candidate=quality.is_candidate(silent, failed, False))
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part WHERE p_size > 25) GROUP BY 1")
+def tag_usage(spark, d):
+    """Words of names as tags of marks."""
+    return search.tag_usage(table(spark, d, "part").filter("p_size > 25").select(F.split("p_name", " ").alias("tags")))
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT max(date) || 'T00:00:00Z' AS generated_at FROM p")
+def corpus_cutoff(spark, d):
+    """No paper says when it was first seen, so the last bucket counts."""
+    return aggregates.corpus_cutoff(_papers(spark, d).select(F.lit("").alias("first_seen_at"), F.col("date").alias("bucket_date")))
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT direction, count(*) FILTER (WHERE source = 's0') AS s0, count(*) FILTER (WHERE source = 's1') AS s1, count(*) FILTER (WHERE source = 's2') AS s2 FROM p GROUP BY 1")
+def violation_rollup(spark, d):
+    """Segments as categories, three of four sources as severities."""
+    return aggregates.pivot_counts(_papers(spark, d).select("direction", "source"), "direction", "source", ["s0", "s1", "s2"])
+
+
+@query(f"WITH p AS ({_PAPERS}), k AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'available' WHEN id % 3 = 1 THEN 'blocked' ELSE 'error' END AS status, id % 2 = 0 AS fresh FROM p WHERE doi <> '') SELECT doi, id FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY fresh DESC, CASE status WHEN 'available' THEN 2 WHEN 'blocked' THEN 1 ELSE 0 END DESC, cites DESC) AS n FROM k WHERE fresh OR status = 'available') WHERE n = 1")
+def fresh_records(spark, d):
+    """Pairs that share a DOI as aliases of one record; citations as moments of the check."""
+    k = F.col("id") % 3
+    rows = _papers(spark, d).filter("doi <> ''").withColumns({"status": F.when(k == 0, "available").when(k == 1, "blocked").otherwise("error"), "fresh": F.col("id") % 2 == 0})
+    return dedup.fresh_record(rows, "doi", "status", "cites", "fresh").select("doi", "id")
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT direction, min(id) AS first_position, count(*) AS seeds FROM p WHERE priority = 'High' GROUP BY 1 ORDER BY 2 LIMIT 3")
+def seed_journals(spark, d):
+    """Segments as journals."""
+    return dedup.distinct_by_appearance(_papers(spark, d).filter("priority = 'High'"), "direction", "id", 3)
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT id, attempts + 1 AS attempts, CASE WHEN id % 5 = 0 THEN 'read' WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'pending' END AS status FROM p")
+def retry_budget(spark, d):
+    """Every fifth attempt succeeds."""
+    return state.after_attempt(_papers(spark, d).select("id", "attempts"), F.col("id") % 5 == 0).select("id", "attempts", "status")
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT id, list_filter(['Priority_' || priority, 'Direction_' || direction, 'Source_' || source, 't' || (id % 3), CASE WHEN id % 2 = 0 THEN 'has_code' END], lambda x: x IS NOT NULL) AS tags FROM p")
+def library_tags(spark, d):
+    """F29."""
+    flags = F.create_map(F.lit("has_code"), F.col("id") % 2 == 0, F.lit("has_data"), F.lit(False))
+    tags = F.array(F.concat(F.lit("t"), (F.col("id") % 3).cast("string")))
+    return _papers(spark, d).select("id", texts.library_tags(F.col("priority"), F.col("direction"), F.col("source"), tags, flags).alias("tags"))
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT id AS key, title, list_slice(['a', 'b', 'c', 'd', 'e', 'f'], 1, least(5, id % 7)::INTEGER) AS authors, id % 7 > 5 AS authors_truncated, id % 2 = 0 AS is_review FROM p")
+def public_cards(spark, d):
+    """up to six authors, of whom five are shown."""
+    p = _papers(spark, d).select(F.col("id").alias("key"), "title", F.slice(F.array(*map(F.lit, "abcdef")), F.lit(1), (F.col("id") % 7).cast("int")).alias("authors"), F.array().cast("array<struct<name:string>>").alias("corresponding_authors"), F.create_map(F.lit("is_review"), F.col("id") % 2 == 0).alias("flags"))
+    return search.card(p).select("key", "title", "authors", "authors_truncated", "is_review")
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT doi, '' AS arxiv_id, title, source, date, direction, CASE WHEN id % 5 < 4 THEN priority ELSE '' END AS priority, '2026-01-01' AS radar_export_date, '1' AS radar_export_version, 30 AS columns FROM p")
+def export_records(spark, d):
+    """the flat record of 30 columns, some of which are shown."""
+    p = _papers(spark, d).withColumn("llm", F.when(F.col("priority").isNotNull(), F.struct("priority"))).withColumn("year", F.lit(2024)).drop("priority")
+    out = search.export_record(p, F.col("date"), F.lit("2026-01-01"), "1")
+    return out.select("doi", "arxiv_id", "title", "source", "date", "direction", "priority", "radar_export_date", "radar_export_version", F.lit(len(out.columns)).alias("columns"))
+
+
+@query(f"WITH p AS ({_PAPERS}), r AS (SELECT DISTINCT 'doi:' || doi AS k FROM p WHERE doi <> '' AND id % 4 < 2 AND id % 5 = 0) SELECT id, k IS NOT NULL AS shown FROM p LEFT JOIN r ON 'doi:' || doi = k AND doi <> ''")
+def visual_join(spark, d):
+    """Every fifth paper has a record; those of even pairs may be shown, others are credited."""
+    p = _papers(spark, d).withColumn("key", identity.identity_key(F.col("doi"), F.lit("")))
+    text = F.when(F.col("id") % 4 < 2, "Mesh of the part").otherwise("Photo by Jane Doe")
+    fields = {"status": F.lit("available"), "provider": F.lit("pmc"), "image_url": F.lit("https://pmc-oa-opendata.s3.amazonaws.com/a/f1.jpg"), "source_url": F.lit("https://example.org/a"), "license": F.lit("CC BY 4.0"), "caption": text, "alt": F.lit(""), "source_label": F.lit(""), "media_type": F.lit("image/jpeg"), "width": F.lit(800), "height": F.lit(600)}
+    registry = p.filter("id % 5 = 0 and key <> ''").select("key", F.struct(*[v.alias(k) for k, v in fields.items()]).alias("visual"))
+    return joins.attach_visuals(p, registry).select("id", F.col("visual").isNotNull().alias("shown"))
+
+
+@query("""
+WITH m AS (SELECT c_custkey AS id, c_mktsegment AS date, c_custkey % 60 // 20 + 1 AS page, c_custkey % 10 AS r FROM customer)
+SELECT id, CASE WHEN r IN (0, 1, 2) THEN page END AS page FROM m WHERE r < 4""")
+def marked_pages(spark, d):
+    """Segments stand for days; a page is known by anchor, by numbered anchor, or found by
+    looking; marks without a record have none."""
+    c = table(spark, d, "customer")
+    day = F.concat(F.lit("2024-01-0"), F.ascii(F.substring("c_mktsegment", 1, 1)) % 9 + 1)
+    rows = c.select(F.col("c_custkey").alias("id"), F.concat(day, F.lit("")).alias("date"), F.floor(F.col("c_custkey") % 60 / 20 + 1).cast("int").alias("page"), (F.col("c_custkey") % 10).alias("r"))
+    name = F.concat(F.lit("a"), F.col("id").cast("string"))
+    manifest = rows.filter("r <> 2").select("date", F.when(F.col("r") == 1, F.concat(name, F.lit("--x"))).otherwise(name).alias("anchor"), "page", F.lit(3).alias("page_count"))
+    records = rows.filter("r <> 3").select(name.alias("identity_key"), "date", "page")
+    marks = rows.filter("r < 4").select("id", name.alias("idkey"), name.alias("anchor"), "date")
+    return joins.marked_records(marks, manifest, records).select("id", F.col("page").cast("long").alias("page"))
+
+
+@query("SELECT source, list_sort(list(DISTINCT term)) AS terms FROM (SELECT 'brand' AS source, p_brand AS term FROM part UNION ALL SELECT 'word', unnest(string_split(p_name, ' ')) FROM part) GROUP BY 1")
+def query_terms(spark, d):
+    """Part types as directions; brands and words as terms of two sources."""
+    config = table(spark, d, "part").groupBy("p_type").agg(F.collect_set("p_brand").alias("brand"), F.flatten(F.collect_set(F.split("p_name", " "))).alias("word"))
+    return joins.query_terms(config, ["brand", "word"])
+
+
+@query("""
+WITH t AS (SELECT * FROM (VALUES ('Image by Jane Doe', TRUE), ('Photo by NASA', TRUE), ('Taken from the Smith archive', TRUE), ('From Smith et al.', TRUE), ('Illustration from Shutterstock', TRUE), ('Figure by inverse Fourier transform', FALSE),
+  ('Taken from the dataset', FALSE), ('Mesh of the implant stem', FALSE), ('Reference measurements from Lee et al.', TRUE), ('Diagram made by 王明', TRUE)) v(caption, credited))
+SELECT n_nationkey, caption, credited FROM nation, t""")
+def caption_rights(spark, d):
+    """credits and scientific prose, on every nation."""
+    captions = ["Image by Jane Doe", "Photo by NASA", "Taken from the Smith archive", "From Smith et al.", "Illustration from Shutterstock", "Figure by inverse Fourier transform", "Taken from the dataset", "Mesh of the implant stem", "Reference measurements from Lee et al.", "Diagram made by 王明"]
+    rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, captions))).alias("caption"))
+    return rows.select("n_nationkey", "caption", rights.third_party_rights(F.col("caption")).alias("credited"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_orderdate::DATE <= DATE '1997-06-01' WHEN 1 THEN o_orderdate::DATE <= DATE '1997-06-01' WHEN 2 THEN FALSE WHEN 3 THEN date_trunc('month', o_orderdate)::DATE <= DATE '1997-06-01' WHEN 4 THEN TRUE ELSE FALSE END AS started FROM orders""")
+def license_starts(spark, d):
+    """order dates as starts: as parts, as a moment, both but a day apart, a month, none, junk."""
+    day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 6
+    parts = lambda *p: F.concat(F.lit('{"date-parts":[['), F.concat_ws(",", *[x.cast("string") for x in p]), F.lit("]]"))
+    moment = lambda x: F.concat(F.lit('"date-time":"'), x.cast("string"), F.lit('T00:00:00Z"}'))
+    full = parts(F.year(day), F.month(day), F.day(day))
+    start = F.when(k == 0, F.concat(full, F.lit("}"))).when(k == 1, F.concat(F.lit("{"), moment(day))).when(k == 2, F.concat(full, F.lit(","), moment(F.date_add(day, 1))))
+    start = start.when(k == 3, F.concat(parts(F.year(day), F.month(day)), F.lit("}"))).when(k == 5, '{"date-parts":[["x"]]}')
+    return table(spark, d, "orders").select("o_orderkey", rights.license_started(start, F.lit("1997-06-01 00:00:00").cast("timestamp")).alias("started"))
+
+
 # --- streaming ------------------------------------------------------------------------------------
 
 

@@ -12,17 +12,36 @@ from corpuscle.operators.aggregates import revision
 from corpuscle.operators.windows import pages
 
 
+#: Names the version that holds; the one thing that is replaced.
+POINTER = "CURRENT"
+
+
 def replace_atomically(spark: SparkSession, df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Written beside the target and renamed over it, so a reader sees the old or the new whole."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    staged, target, old = fs_path(f"{path}.tmp-{uuid.uuid4().hex[:8]}"), fs_path(path), fs_path(f"{path}.old")
-    df.write.format(fmt).save(staged.toString())
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(old, True)
-        fs.rename(target, old)
-    fs.rename(staged, target)
-    fs.delete(old, True)
+    """A new version is written whole beside the old one, then a small pointer file is renamed
+    over the old pointer in one step. A reader (see current) gets the old or the new whole at any
+    moment, and after a crash at any point; versions that no pointer names go with the next write."""
+    jvm = spark._jvm
+    hadoop, root = jvm.org.apache.hadoop.fs, jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    name = f"version-{uuid.uuid4().hex[:12]}"
+    df.write.format(fmt).save(f"{path}/{name}")
+    staged = hadoop.Path(f"{path}/.{name}.tmp")
+    out = fs.create(staged, True)
+    out.write(bytearray(name.encode()))
+    out.hsync()
+    out.close()
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(staged), fs.makeQualified(hadoop.Path(f"{path}/{POINTER}")), over)
+    for old in fs.listStatus(root):
+        if old.getPath().getName().startswith("version-") and old.getPath().getName() != name:
+            fs.delete(old.getPath(), True)
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The path of the version that holds."""
+    return f"{path}/{spark.sparkContext.wholeTextFiles(f'{path}/{POINTER}').first()[1]}"
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -45,7 +64,7 @@ def write_pages(spark: SparkSession, df: DataFrame, path: str, day: str, order:
     summary = body.groupBy(day).agg(F.max("page").alias("pages"), F.count("*").alias("rows"))
     manifest = summary.join(revision(body, day, "body"), day)
     replace_atomically(spark, manifest, f"{path}/manifest")
-    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).json(current(spark, f"{path}/manifest"))
 
 
 def write_index(df: DataFrame, path: str, by: list[str]) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +18,20 @@ def observed_within(stream: DataFrame, at: str, keys: list[str], days: int = 14)
     return stream.withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark(keys)
 
 
+#: Batches of a state above which they are merged into one.
+BATCHES = 16
+
+
 def first_seen_stream(stream: DataFrame, keys: list[str], order: list[str], state: str, checkpoint: str) -> DataFrame:
     """The first row of each key, over all that a stream delivers and however late.
 
     Each micro-batch writes its own firsts under its batch number, so a replayed batch overwrites
-    itself; the merge is a grouped minimum on read. Runs until the source is drained.
+    itself; the merge is a grouped minimum on read. Runs until the source is drained; then a state of
+    many batches is compacted to one, so that it holds a row for each key. A stream that delivers
+    nothing gives no row.
     """
     spark = stream.sparkSession
+    empty = stream.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first")).schema
 
     def merge(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():  # T10
@@ -32,7 +40,31 @@ def first_seen_stream(stream: DataFrame, keys: list[str], order: list[str], stat
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(state).groupBy(*keys).agg(F.min("first").alias("first")).select(*keys, "first.*")
+    compact(spark, keys, state)
+    held = spark.read.schema(empty).parquet(state) if _batches(spark, state) else spark.createDataFrame([], empty)
+    return held.groupBy(*keys).agg(F.min("first").alias("first")).select(*keys, "first.*")
+
+
+def _batches(spark: SparkSession, state: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(state)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(path) if f.getPath().getName().startswith("batch=")) if fs.exists(path) else []
+
+
+def compact(spark: SparkSession, keys: list[str], state: str, most: int = BATCHES) -> None:
+    """Merges the batches of a state if they are more than `most`. The merged batch appears by one
+    rename before the others go; a crash between leaves rows that the minimum on read makes harmless."""
+    names = _batches(spark, state)
+    if len(names) <= most:
+        return
+    rows = spark.read.parquet(*[f"{state}/{n}" for n in names])
+    name = f"batch=-{uuid.uuid4().int % 10**9 + 1}"
+    rows.groupBy(*keys).agg(F.min("first").alias("first")).write.parquet(f"{state}-{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(state).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.rename(path(f"{state}-{name}"), path(f"{state}/{name}"))
+    for n in names:
+        fs.delete(path(f"{state}/{n}"), True)
 
 
 def digest(current: DataFrame, seen: DataFrame, key: str) -> tuple[DataFrame, DataFrame, bool]:

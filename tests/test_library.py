@@ -369,6 +369,104 @@ def test_source_rules(spark):
     assert source_audit.catalogue(spark).count() == len(source_audit.RULES) and source_audit.rollup(got).count() == 2
 
 
+# --- rights of figures: F42 to F46 --------------------------------------------------------------------
+
+
+def test_F42_labels_by_code_parts(spark):
+    raw = ["CC BY-ND-SA 4.0", "creative commons by nc nd", "CC NC", "https://creativecommons.org/licenses/by-sa/4.0/", "cc-by", "CC SA", "GPL", "cc 0", "x" * 200, "", None]
+    want = ["CC BY-ND", "CC BY-NC-ND", "CC BY-NC", "CC BY-SA", "CC BY", "CC SA", "GPL", "CC0", "x" * 120, "", ""]
+    assert col(spark, rights.license_label, raw) == want
+
+
+def test_F43_starts_agree_and_have_come(spark):
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    cases = {
+        None: True, "{}": False, "[]": False, "junk": False, '{"other": 1}': False, '{"date-parts": [[2024, 5]]}': True, '{"date-parts": [[2024, 7]]}': False, '{"date-parts": [[2024, 13]]}': False,
+        '{"date-parts": [[2024], [2025]]}': False, '{"date-parts": [["2024"]]}': False, '{"date-parts": [[true]]}': False, '{"date-time": "2024-05-01T00:00:00Z"}': True, '{"date-time": 5}': False, '{"date-time": "soon"}': False,
+        '{"timestamp": 1714521600000}': True, '{"timestamp": "1714521600000"}': False, '{"timestamp": true}': False, '{"timestamp": 1e300}': False, '{"date-parts": [[2024, 5, 1]], "date-time": "2024-05-01T23:00:00Z"}': True,
+        '{"date-parts": [[2024, 5, 1]], "date-time": "2024-05-02T00:00:00Z"}': False, '{"date-parts": [[2024]], "timestamp": 1714521600000}': True, '{"date-time": "2024-05-01T00:00:00Z", "timestamp": 1714521600500}': True,
+        '{"date-time": "2024-05-01T00:00:00Z", "timestamp": 1714521605000}': False, '{"date-time": "2024-06-01T01:00:00+02:00"}': True, '{"date-time": "2024-06-01T01:00:00"}': False,
+    }
+    assert col(spark, lambda c: rights.license_started(c, now), list(cases)) == list(cases.values())
+    by, sa = "https://creativecommons.org/licenses/by/4.0/", "https://creativecommons.org/licenses/by-sa/4.0/"
+    rows = [([("vor", by, None)], "CC BY"), ([("VOR", by, None), ("vor", sa, None)], ""), ([("am", by, None), ("vor", by, None)], ""), ([("vor", by, '{"date-parts": [[2030]]}')], ""), ([], ""), (None, ""), ([("vor", "http" + by[5:], None)], "")]
+    df = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(rows)], "k int, v array<struct<content_version:string,url:string,start:string>>")
+    got = [r[1] for r in sorted(df.select("k", rights.single_vor_license(F.col("v"), now)).collect())]
+    assert [g or "" for g in got] == [w for _, w in rows]
+
+
+def test_F44_bylines_and_credits(spark):
+    credited = ["Image by Jane Doe", "photo by: 'nasa'", "Figure: created by 王明", "Taken from the Smith archive", "Fig. 2: From Smith et al.", "Stock photo from Getty Images", "Illustration from Shutterstock", "Courtesy of X", "Diagram made by BioRender"]
+    free = ["Figure by FFT", "Image by means of a filter", "Taken from the dataset", "Results from the model", "Mesh of the stem", "From smith et al", "Figure generated. by the model", "", None]
+    assert col(spark, rights.third_party_rights, credited + free) == [True] * len(credited) + [False] * len(free)
+    assert col(spark, rights.reviewable_caption, ["Figure 3.", "see caption", "Graphical abstract", "Stress in the stem", " ", None]) == [False, False, False, True, False, False]
+
+
+RECORD = "status string, provider string, image_url string, source_url string, license string, caption string, alt string, source_label string, media_type string, width int, height int"
+
+
+def test_F45_records_are_closed_unless_all_fits(spark):
+    base = dict(status="available", provider="pmc", image_url="https://pmc-oa-opendata.s3.amazonaws.com/a/f1.jpg", source_url="https://example.org/a", license="CC BY 4.0", caption="Mesh of the stem", alt="", source_label="", media_type="image/jpeg", width=100, height=100)
+    svg = base | dict(provider="arxiv", image_url="https://arxiv.org/html/2401.00001v2/x1.svg", source_url="https://arxiv.org/abs/2401.00001v1", media_type="image/svg+xml")
+    mdpi = base | dict(provider="mdpi", image_url="https://mdpi-res.com/d_attachment/metals/metals-14-00012/article_deploy/html/images/metals-14-00012-g001.png", source_url="https://www.mdpi.com/2075-4701/14/1/12", media_type="")
+    cases = [
+        (base, {}, True), (base, {"status": "blocked"}, False), (base, {"license": "CC BY-NC"}, False), (base, {"license": "cc0 1.0"}, True), (base, {"caption": "Figure 1"}, False), (base, {"alt": "Photo by NASA"}, False),
+        (base, {"source_label": "© X"}, False), (base, {"image_url": "http://pmc-oa-opendata.s3.amazonaws.com/a/f1.jpg"}, False), (base, {"image_url": "https://evil.org/f1.jpg"}, False), (base, {"source_url": "https://u:p@example.org/a"}, False),
+        (base, {"media_type": "image/png"}, False), (base, {"media_type": ""}, True), (base, {"width": None}, True), (base, {"provider": "arxiv", "caption": "Table 2: values"}, False), (base, {"caption": "Table 2: values"}, True),
+        (svg, {}, True), (svg, {"source_url": "https://arxiv.org/abs/2401.00002"}, False), (svg, {"media_type": ""}, False), (svg, {"width": 10, "height": 10}, False), (svg, {"image_url": "https://export.arxiv.org/html/2401.00001v2/x1.svg"}, False),
+        (svg, {"image_url": "https://arxiv.org/html/2401.00001v2/../x1.svg"}, False), (svg, {"caption": "Adopted from a source"}, False), (svg, {"image_url": "https://arxiv.org/html/2401.00001v2/x1.svg?a=1"}, False),
+        (mdpi, {}, True), (mdpi, {"provider": "pmc"}, False), (mdpi, {"source_url": "https://www.mdpi.com/2075-4701/13/1/12"}, False), (mdpi, {"source_url": "https://www.mdpi.com/2076-3417/14/1/12"}, False), (mdpi, {"height": None}, False),
+    ]
+    df = spark.createDataFrame([(k, base | change) for k, (base, change, _) in enumerate(cases)], f"k int, r struct<{RECORD.replace(' string', ':string').replace(' int', ':int')}>")
+    got = [r[1] for r in sorted(df.select("k", rights.safe_visual(F.col("r"))).collect())]
+    assert [(cases[k][1], g) for k, g in enumerate(got)] == [(c[1], c[2]) for c in cases]
+
+
+def test_F14_flatten_any_depth(spark):
+    raw = ['{"a": {"b": ["x", {"c": "y \\"z\\" w:"}]}, "d": null}', '"plain"', "[1, 2.5, true, [[[[\"deep\"]]]]]", "{}", None]
+    assert col(spark, lambda c: texts.flatten(F.parse_json(c)), raw) == ['x y "z" w:', "plain", "1 2.5 True deep", "", ""]
+
+
+def test_D02_keys_fall_back(spark):
+    rows = [("arxiv:1", "10.1/x", "s", "1", "arxiv:1"), ("", " https://doi.org/doi:10.1/X ", "s", "1", "doi:10.1/x"), (None, None, "pubmed", "7", "pubmed:7"), ("", "", None, None, ":")]
+    df = spark.createDataFrame(rows, "c string, d string, s string, i string, want string")
+    assert all(r.got == r.want for r in df.select("want", identity.dedup_key(F.col("c"), F.col("d"), F.col("s"), F.col("i")).alias("got")).collect())
+
+
+def test_F24_record_has_the_thirty_columns(spark):
+    df = spark.createDataFrame([("10.1/x", 2024, ["a"], None), (None, None, None, ("High", ["t"]))], "doi string, year int, authors array<string>, llm struct<priority:string,tags:array<string>>")
+    out = search.export_record(df, F.lit("d"), F.lit("e"), "1")
+    rows = sorted(out.collect(), key=lambda r: r.doi)
+    assert out.columns == search.EXPORT and len(set(out.columns)) == 30
+    assert rows[0].doi == "" and rows[0].priority == "High" and rows[0].tags == ["t"] and rows[0].authors == [] and rows[0].year is None
+    assert rows[1].priority == "" and rows[1].tags == [] and rows[1].flags == {}
+
+
+def test_S16_readers_see_whole_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (3, 5):
+        sinks.replace_atomically(spark, spark.range(n), path)
+        assert spark.read.json(sinks.current(spark, path)).count() == n
+    os.mkdir(tmp_path / "t" / "version-left-by-a-crash")
+    assert spark.read.json(sinks.current(spark, path)).count() == 5
+    sinks.replace_atomically(spark, spark.range(1), path)
+    assert len([f for f in os.listdir(path) if f.startswith("version-")]) == 1
+
+
+def test_T03_empty_streams_and_compaction(spark, tmp_path):
+    os.mkdir(tmp_path / "in")
+    stream = lambda: spark.readStream.schema("k string, n int").json(str(tmp_path / "in"))
+    run = lambda: {r.k: r.n for r in state.first_seen_stream(stream(), ["k"], ["n"], str(tmp_path / "state"), str(tmp_path / "check")).collect()}
+    assert run() == {}
+    want = {}
+    for n in range(4):
+        spark.createDataFrame([("a", 9 - n), (f"b{n}", n)], "k string, n int").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        want |= {"a": 9 - n, f"b{n}": n}
+        assert run() == want
+    state.compact(spark, ["k"], str(tmp_path / "state"), 2)
+    assert len([f for f in os.listdir(tmp_path / "state") if f.startswith("batch=")]) == 1 and run() == want
+
+
 # --- catalogue --------------------------------------------------------------------------------------
 
 
