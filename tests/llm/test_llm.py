@@ -850,12 +850,89 @@ def test_pipeline_stages(spark):
         assert stage(spark, nothing, SF).count() == 0
 
 
-def test_pipeline_equals_its_stages(spark):
+def pipeline_fixture(spark):
+    """A small corpus with toxic rows, alike lines, near copies, odd rows, and its labels."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shared, docs = [line(14) for _ in range(4)], []
+    for i in range(72):
+        lines = [line(rng.randint(8, 20)) for _ in range(rng.randint(1, 3))]
+        if i % 6 == 0:
+            common = shared[i % 4]
+            lines.insert(rng.randrange(len(lines) + 1), common if i % 12 else common + "s")
+        if i % 8 == 3:
+            lines[0] += " vile rotten foul"
+        docs.append((i, "\n".join(lines), "en", f"s{i % 3}", 1))
+    docs += [(200 + i, docs[i][1], "en", "s1", 1) for i in (1, 2, 5)]  # exact copies
+    docs += [(300, None, "en", None, None), (301, "", None, "s0", 0), (302, "same words here", "en", "s2", 15), (302, "same words here", "en", "s2", 15)]
+    return docs, [(i, int(i % 8 == 3)) for i in range(72)]
+
+
+def slow_pipeline(docs, labels, kept_by_toxicity):
+    """The stages after the first by definition alone: dictionaries, all pairs, whole streams."""
+    import math
+
+    tiktoken = pytest.importorskip("tiktoken")
+    docs = [d for d in docs if d[0] in kept_by_toxicity]
+    # lines: all pairs of different lines by edit similarity, the first of each group stays
+    lines = [(d, k, norm(x)) for d, (_, text, *_) in enumerate(docs) if text is not None for k, x in enumerate(text.split("\n")) if norm(x)]
+    names = sorted({x for *_, x in lines})
+    alike = lambda i, j: abs(len(names[i]) - len(names[j])) <= 0.2 * max(len(names[i]), len(names[j])) and distance(names[i], names[j]) <= 0.2 * max(len(names[i]), len(names[j])) + 1e-9
+    group = dict(zip(names, groups_of(names, alike)))
+    first, gone = {}, collections.defaultdict(set)
+    for d, k, x in sorted(lines, key=lambda r: (docs[r[0]][0], r[1])):
+        if first.setdefault(group[x], (docs[d][:2], k)) != (docs[d][:2], k):
+            gone[d].add(k)
+    docs = [(i, t if t is None or d not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]), *rest) for d, (i, t, *rest) in enumerate(docs)]
+    # near copies: one row of each component
+    fp = [slow_fingerprint(t) for _, t, *_ in docs]
+    comp, best = groups_of(fp, lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 4), {}
+    for d, c in sorted(enumerate(comp), key=lambda r: docs[r[0]][0]):
+        best.setdefault(c, d)
+    docs = [docs[d] for d in sorted(best.values())]
+    # the mix: golden-ratio slots, blocks of each source's stream in hash order
+    size = [len(re.findall(r"[^\x20\x09-\x0d]+", t or "")) for _, t, *_ in docs]
+    sources = sorted({d[3] for d in docs}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(n for n, d in zip(size, docs) if d[3] == s) for s in sources}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
+    target, left, open_ = {}, 1.5 * sum(own.values()), set(sources)
+    while open_:
+        each = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if each * weight[s] > 2 * own[s]}
+        target |= {s: 2 * own[s] for s in over} if over else {s: each * weight[s] for s in open_}
+        left -= sum(2 * own[s] for s in over)
+        open_ = open_ - over if over else set()
+    total = sum(target.values())
+    block = max(1, math.ceil(total / (mixing.SLOTS * len(sources))))
+    high = np.cumsum([target[s] for s in sources]) / total
+    points = (0.5 + np.arange(max(1, round(total / block))) * mixing.GOLDEN) % 1.0
+    blocks = np.bincount(np.minimum(np.searchsorted(high, points, side="right"), len(sources) - 1), minlength=len(sources))
+    out = []
+    for k, s in enumerate(sources):
+        limit = blocks[k] * block if target[s] >= mixing.FINE * block else math.ceil(target[s] - 1e-9)
+        stream = sorted((hashlib.md5(str(d[0]).encode()).hexdigest(), d[0], n, j) for j, (d, n) in enumerate(zip(docs, size)) if d[3] == s)
+        at = 0
+        for lap in range(2):
+            for *_, n, j in stream:
+                out += [docs[j]] if n and at < limit and lap * own[s] <= at else []
+                at += n
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(BYTES), special_tokens={})
+    ids = [(d[0], enc.encode_ordinary(d[1] or "")) for d in out]
+    return sorted((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in ids)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, SF)
-    rows = out.select("n_tokens", "ids", "ids_sha256").collect()
-    assert rows and all(len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 for r in rows)
+    docs, labels = pipeline_fixture(spark)
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256").collect()
+    toxic = {i for i, y in labels if y}  # the first stage finds just these, which its own tests hold against brute force
+    kept = corpus_pipeline.drop_toxic(spark, spark.createDataFrame(docs, DOCS), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {d[0] for d in docs} - toxic - {200 + i for i in toxic}
+    assert sorted(map(tuple, out)) == slow_pipeline(docs, labels, {d[0] for d in docs} - toxic)
 
 
 def test_long_texts_are_worked_on_in_parts(monkeypatch):
