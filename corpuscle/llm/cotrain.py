@@ -44,8 +44,8 @@ LABELLED, EXCHANGE = 6000, 500
 ROUNDS, SURE = 4, 0.95
 #: Hashed trigrams; make-up; metadata features: language and source, URL.
 TRIGRAMS, NAMES, URL = 512, 32, 18
-#: Of a log count, as a byte.
-FINE = 16
+#: Of a log count, as a byte; parts in which what is offered is ranked first.
+FINE, PARTS = 16, 64
 THRESHOLD = 0.5
 STEP = 1 << 20
 
@@ -239,8 +239,12 @@ def offers(rows: DataFrame, models: list[Linear], taken: list[set]) -> DataFrame
 
     schema = f"view int, label int, {kinds}"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    rank = F.row_number().over(W.partitionBy("view", "label").orderBy("spread", "doc_id", "made"))
-    return free.mapInArrow(run, schema).withColumn("rank", rank).filter(F.col("rank") <= EXCHANGE)
+    order = ["spread", "doc_id", "made"]
+    part = F.pmod(F.xxhash64("doc_id", "made"), F.lit(PARTS)).alias("part")  # so that no task ranks what all tasks pass on
+    first = F.row_number().over(W.partitionBy("view", "label", "part").orderBy(*order))
+    rank = F.row_number().over(W.partitionBy("view", "label").orderBy(*order))
+    some = free.mapInArrow(run, schema).select("*", part).withColumn("rank", first).filter(F.col("rank") <= EXCHANGE)
+    return some.withColumn("rank", rank).filter(F.col("rank") <= EXCHANGE).drop("part")
 
 
 def train(rows: DataFrame, scratch: Scratch) -> Pair:
