@@ -55,11 +55,11 @@ def buckets(df: DataFrame, n: int, scratch: Scratch, fp: str = "fp", radius: int
     return spread(df.withColumn("bucket", F.explode(keys)), df.columns, scratch)
 
 
-def spread(rows: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
-    """rows with the buckets above SPLIT rows cut into parts, so that each two parts share a bucket."""
+def spread(rows: DataFrame, columns: list[str], scratch: Scratch, split: int = SPLIT) -> DataFrame:
+    """rows with the buckets above split rows cut into parts, so that each two parts share a bucket."""
     some = rows.filter(F.pmod(F.xxhash64(F.lit(5), *[F.col(c) for c in columns]), F.lit(SHARE)) == 0)
     n = F.col("count") * SHARE
-    hot = some.groupBy("bucket").count().filter(n > SPLIT).select("bucket", F.ceil(n / SPLIT).alias("parts"))
+    hot = some.groupBy("bucket").count().filter(n > split).select("bucket", F.ceil(n / split).alias("parts"))
     hot = scratch.write(hot, f"hot-{uuid.uuid4().hex[:8]}")
     large = hot.count()
     if not large:
