@@ -15,8 +15,9 @@ reach are verified on their full sets. A pair at the threshold shares a key with
 A pair is verified once, in the first band that it shares, and not at all where links of the same
 bucket connect it already, or links of the FIRST bands, whose components are found beforehand:
 what they leave are buckets with several components, so large groups of copies are over by then.
-Sets are made again from the texts of those classes that share a bucket; all others' are never
-stored. Buckets above SPLIT classes are cut into parts whose pairs meet in tasks of their own.
+Sketches alone tell which classes of a bucket have a partner to verify; only these classes' sets,
+made again from their texts, are sent there. Buckets above SPLIT classes are cut into parts, the
+largest component and the rest by themselves, and only parts with pairs of two components meet.
 
 Defined results: words are lower-cased from A-Z only; a text with fewer words than a shingle is one
 shingle; null texts and texts without words have no shingle and are linked with nothing; equal rows
@@ -52,8 +53,9 @@ B, RATE, LARGEST = 1.001, 20.0, 65535
 MARGIN = 4.5
 #: Bands whose components are found before the rest; classes of a bucket above which it is cut.
 FIRST, SPLIT = 3, 128
-#: Classes joined by broadcast, at most.
-LARGE = 10_000
+#: Classes joined by broadcast, at most; classes up to which the list of wanted sets is broadcast, so that
+#: the texts need no shuffle.
+LARGE, WANTED = 10_000, 250_000
 _RNG = np.random.default_rng(1203)
 _TIMES, _PLUS = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 #: Shingles worked on at once.
@@ -143,6 +145,7 @@ def sets(docs: DataFrame, keys: DataFrame, width: int = SHINGLE) -> DataFrame:
             right = [k.as_py() == xxhash.xxh128_digest(s) for k, s in zip(b.column(1), own)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(right)), pa.array([s for s, r in zip(own, right) if r], pa.binary())], names=["node", "set"])
 
+    keys = F.broadcast(keys) if keys.count() <= WANTED else keys
     same = keys.join(docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text"), "rid")
     return same.select("node", "key", "text").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
@@ -152,31 +155,52 @@ def reach(n: np.ndarray, m: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
     return 100 * np.minimum(n, m) >= similar * np.maximum(n, m)
 
 
-def bucket_links(band: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, own: list[bytes], similar: int = SIMILAR, counts: dict | None = None) -> list[tuple[int, int]]:
+def _screened(i: int, rest: np.ndarray, band: int, n: np.ndarray, sketch: np.ndarray, similar: int) -> np.ndarray:
+    """Those of rest whose first band in common with i is this one and whose estimate is in reach."""
+    at_least = similar / 100 - MARGIN * (similar * (100 - similar) / 1e4 / REGISTERS) ** 0.5
+    a, b = sketch[i], sketch[rest]
+    equal = (a == b)[:, : BANDS * ROWS].reshape(len(rest), BANDS, ROWS).all(axis=2)
+    new = equal.argmax(axis=1) == band
+    rest, b = rest[new], b[new]
+    if not len(rest):
+        return rest
+    return rest[estimate((a > b).sum(axis=1), (a < b).sum(axis=1), n[i], n[rest]) >= at_least]
+
+
+def _partners(comp: np.ndarray, n: np.ndarray, side: np.ndarray, similar: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a bucket, by size, the larger ones that it may be linked to: of another component,
+    of the other side (unless there are none) and not too large."""
+    order = np.argsort(n, kind="stable")
+    sizes = n[order]
+    for at, i in enumerate(order.tolist()):
+        rest = order[at + 1 : np.searchsorted(sizes, n[i] * 100 // similar, side="right")]
+        rest = rest[(comp[rest] != comp[i]) & ((side[rest] < 0) | (side[rest] != side[i]))]
+        if len(rest):
+            yield i, rest
+
+
+def bucket_partners(band: int, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, side: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+    """Which rows of a bucket have a partner to verify."""
+    found = np.zeros(len(n), bool)
+    for i, rest in _partners(comp, n, side, similar):
+        near = _screened(i, rest, band, n, sketch, similar)
+        found[near] = True
+        found[i] |= len(near) > 0
+    return found
+
+
+def bucket_links(band: int, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, side: np.ndarray, own: list[bytes], similar: int = SIMILAR, counts: dict | None = None) -> list[tuple[int, int]]:
     """Links (by position) of one bucket that connect what is not connected: a spanning forest of
     those whose first shared band is this one."""
-    at_least = similar / 100 - MARGIN * (similar * (100 - similar) / 1e4 / REGISTERS) ** 0.5
     names, group = np.unique(comp, return_inverse=True)
     whole: dict[int, np.ndarray] = {}
     members = {g: [g] for g in range(len(names))}
     root = np.arange(len(names))
     links = []
     of = lambda i: whole.setdefault(i, np.frombuffer(own[i], np.uint64))
-    order = np.argsort(n, kind="stable")
-    for at, i in enumerate(order.tolist()):
-        rest = order[at + 1 :]
-        rest = rest[: np.searchsorted(n[rest], n[i] * 100 // similar, side="right")]
+    for i, rest in _partners(comp, n, side, similar):
         rest = rest[root[group[rest]] != root[group[i]]]
-        if not len(rest):
-            continue
-        a, b = sketch[i], sketch[rest]
-        equal = (a == b)[:, : BANDS * ROWS].reshape(len(rest), BANDS, ROWS).all(axis=2)
-        new = equal.argmax(axis=1) == band[i]
-        rest, b = rest[new], b[new]
-        if not len(rest):
-            continue
-        near = estimate((a > b).sum(axis=1), (a < b).sum(axis=1), n[i], n[rest]) >= at_least
-        for j in rest[near].tolist():
+        for j in _screened(i, rest, band, n, sketch, similar).tolist() if len(rest) else ():
             x, y = int(root[group[i]]), int(root[group[j]])
             if x == y:
                 continue
@@ -208,22 +232,57 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def links(rows: DataFrame, nodes: DataFrame, scratch: Scratch, similar: int = SIMILAR) -> DataFrame:
-    """(a, b) of rows (bucket, band, node, comp) by nodes (node, n, sketch, set)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spread(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """rows (bucket, band, node, comp) with buckets above SPLIT rows cut into parts, and a side: pairs of
+    two sides count, and within a bucket without sides (-1) all do. The largest component's rows do
+    not meet each other. Which buckets are large is told from one row in hamming.SHARE."""
+    some = rows.filter(F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(hamming.SHARE)) == 0).groupBy("bucket", "comp").agg((F.count("*") * hamming.SHARE).alias("k"))
+    sizes = some.groupBy("bucket").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("main")).filter(F.col("all") > SPLIT)
+    parts = lambda k: F.greatest(F.ceil(k / SPLIT), F.lit(1)).cast("int")
+    hot = scratch.write(sizes.select("bucket", F.col("main.comp").alias("main"), parts(F.col("main.k")).alias("p"), parts(F.col("all") - F.col("main.k")).alias("q")), name)
+    large = hot.count()
+    if not large:
+        return rows.withColumn("side", F.lit(-1))
+    cut = rows.join(F.broadcast(hot) if large <= hamming.BROADCAST_ROWS else hot, "bucket", "left")
+    at = lambda of: F.pmod(F.xxhash64(F.lit(6), "node"), of).cast("int")
+    meet = lambda kind, i, j, side: F.struct(F.xxhash64("bucket", F.lit(kind), i, j).alias("bucket"), side.cast("int").alias("side"))
+    upto = lambda k: F.sequence(F.lit(0), k - 1)
+    mine = at(F.col("q"))
+    with_main = F.transform(upto(F.col("p")), lambda i: meet(0, i, mine, F.lit(1)))
+    with_rest = F.transform(upto(F.col("q")), lambda j: meet(1, F.least(mine, j), F.greatest(mine, j), F.when(mine == j, -1).otherwise((mine > j).cast("int"))))
+    places = (
+        F.when(F.col("main").isNull(), F.array(F.struct("bucket", F.lit(-1).alias("side"))))
+        .when(F.col("comp") == F.col("main"), F.transform(upto(F.col("q")), lambda j: meet(0, at(F.col("p")), j, F.lit(0)))).otherwise(F.concat(with_main, with_rest))
+    )
+    return cut.select("band", "node", "comp", F.explode(places).alias("at")).select("at.bucket", "band", "node", "comp", "at.side")
+
+
+def links(rows: DataFrame, nodes: DataFrame, full: DataFrame, scratch: Scratch, name: str, similar: int = SIMILAR) -> DataFrame:
+    """(a, b) of rows (bucket, band, node, comp) by nodes (node, n, sketch) and full (node, set)."""
+
+    def columns(b: pa.RecordBatch) -> list:
+        return [int(b.column(1)[0].as_py()), *(b.column(k).to_numpy() for k in (3, 4)), np.stack([np.frombuffer(s.as_py(), np.uint16) for s in b.column(6)]), b.column(5).to_numpy()]
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _buckets(batches):
-            if len(b) < 2:
-                continue
-            band, node, comp, n = (b.column(k).to_numpy() for k in (1, 2, 3, 4))
-            sketch = np.stack([np.frombuffer(s.as_py(), np.uint16) for s in b.column(5)])
-            found = bucket_links(band, comp, n, sketch, b.column(6).to_pylist(), similar)
-            if found:
+            if len(b) > 1 and (found := bucket_partners(*columns(b), similar)).any():
+                yield b.filter(pa.array(found))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _buckets(batches):
+            if found := bucket_links(*columns(b), b.column(7).to_pylist(), similar) if len(b) > 1 else []:
                 i, j = map(list, zip(*found))
+                node = b.column(2).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
-    dealt = hamming.spread(rows, ["band", "node", "comp"], scratch, SPLIT)
-    full = dealt.join(nodes, "node").select("bucket", "band", "node", "comp", "n", "sketch", "set")
-    return full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    shape = ["bucket", "band", "node", "comp", "n", "side", "sketch"]
+    kinds = "bucket long, band int, node long, comp long, n long, side int, sketch binary"
+    near = spread(rows, scratch, f"{name}-hot").join(nodes, "node").select(*shape).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(screen, kinds)
+    near = scratch.write(near, f"{name}-screened")
+    both = near.join(full, "node").select(*shape, "set").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "a long, b long")
+    out = scratch.write(both, name)
+    scratch.drop(f"{name}-screened")
+    return out
 
 
 def _several(rows: DataFrame, column: str, scratch: Scratch, name: str) -> DataFrame:
@@ -244,16 +303,19 @@ def classes(docs: DataFrame, own: DataFrame, scratch: Scratch, width: int = SHIN
     live = scratch.write(_several(scratch.write(keyed, "keys"), "node", scratch, "met"), "live")
     scratch.drop("keys")
     wanted = scratch.write(known.select(F.col("first.row").alias("node"), F.col("first.rid").alias("rid"), "key").join(live.select("node").distinct(), "node", "left_semi"), "wanted")
-    full = scratch.write(sets(docs, wanted, width).join(nodes, "node"), "sets")
-    near = scratch.write(links(live.filter(F.col("band") < FIRST).withColumn("comp", F.col("node")), full, scratch, similar), "near")
+    full = scratch.write(sets(docs, wanted, width), "sets")
+    near = links(live.filter(F.col("band") < FIRST).withColumn("comp", F.col("node")), nodes, full, scratch, "near", similar)
     comp = scratch.write(components(near, scratch, "near-components"), "near-groups")
     rest = live.filter(F.col("band") >= FIRST).join(comp, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("comp"))
-    more = scratch.write(links(_several(scratch.write(rest, "rest"), "comp", scratch, "still"), full, scratch, similar), "more")
+    more = links(_several(scratch.write(rest, "rest"), "comp", scratch, "still"), nodes, full, scratch, "more", similar)
     for name in ("sets", "live", "rest"):
         scratch.drop(name)
-    joined = components(near.union(more), scratch).withColumnRenamed("node", "node_")
-    by_node = known.select(F.col("first.row").alias("node"), "key", "first", "n_rows").join(joined, F.col("node") == F.col("node_"), "left")
-    by_node = scratch.write(by_node.select("key", "first", "n_rows", F.coalesce("component", "node").alias("component")), "grouped")
+    # of the later links only those between components of the first matter
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b"))
+    joined = components(between, scratch).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    by_node = known.select(F.col("first.row").alias("node"), "key", "first", "n_rows").join(comp, "node", "left").withColumn("part", F.coalesce("component", "node")).join(joined, "part", "left")
+    by_node = scratch.write(by_node.select("key", "first", "n_rows", F.coalesce("whole", "part").alias("component")), "grouped")
     least = by_node.groupBy("component").agg(F.min("first").alias("least"))
     return by_node.join(scratch.write(least, "least"), "component").select("key", F.col("least").alias("first"), "n_rows")
 
