@@ -1,20 +1,22 @@
 """Collocations of two to four words by sorted suffixes.
 
 Every word occurrence gives one suffix: the words from it to the end of its piece, WIDTH at most.
-Equal suffixes of a task are summed before they are shuffled. Suffixes of one part (a language)
-that begin with the same word go to the same task, which sorts them in descending order and counts
-all their beginnings with one stack: a suffix pops what it no longer begins with, and what is
-popped is final. Afterwards each candidate is joined to the counts of the parts of its cuts.
-
-A first word that very many suffixes share is dealt out by the words that follow as well, as far
-as needed: HOT names the share of a sample beyond which a beginning is too frequent to be a key.
-There are at most HOT such beginnings of each length, whatever the input. Counts of a beginning
-shorter than its key are partial, and are summed over the tasks; all others are final where they
-are counted, and what is below LEAST goes no further. The sample decides how rows are dealt out,
-never what counts.
+Equal suffixes of a task are summed before they are shuffled, and those for one bucket travel
+together as one sorted run. Suffixes of one part (a language) that begin with the same word share a
+bucket. There the runs are merged in descending order, so that all suffixes with one beginning stand
+together, shorter ones after longer ones: one pass with a stack of open beginnings, of one word to
+WIDTH, counts them all. The pass works on whole arrays: where neighbours part is where a beginning
+is closed. Afterwards each candidate is joined to the counts of the parts of its cuts.
+
+There are SPREAD buckets for each shuffle partition, and a bucket is all that a task holds. A first
+word that more suffixes share than a bucket should hold is dealt out by the words that follow as
+well, as far as needed. Such hot beginnings are told from a sample; there are at most as many of
+each length as buckets (HOT at least). Counts of a beginning shorter than its key are partial and
+are summed over the buckets; all others are final where they are counted, and what is below LEAST
+goes no further. The sample decides how rows are dealt out, never what counts.
 
 Words keep their bytes; in a suffix each ends with a space, so that a suffix's beginnings are the
-beginnings of its bytes and descending order of bytes keeps them together.
+beginnings of its bytes and order of bytes keeps them together.
 
 Defined results: a null text is empty and gives nothing; a null part is UNKNOWN, as is that value
 itself; repeated rows count again; ties rank by the phrase's bytes; an empty table, or one without
@@ -26,8 +28,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,12 +45,14 @@ WIDTH, LEAST, TOP = 4, 30, 2000
 #: A longer phrase that has this share (per cent) of a phrase's occurrences makes it redundant.
 COVERED = 80
 #: A beginning with more than 1 / HOT of the sampled suffixes is dealt out further; one row in SHARE is sampled.
-HOT, SHARE = 512, 64
+HOT, SHARE = 512, 128
+#: Buckets for each shuffle partition.
+SPREAD = 8
 UNKNOWN = "und"
 #: Distinct suffixes that a task sums before it lets them go.
-HELD = 400_000
-#: Rows of an Arrow batch between Spark and the counting tasks: slim ones.
-ROWS = 20_000
+HELD = 500_000
+#: Bytes of a suffix that are compared as arrays; the few longer ones are compared one by one.
+WIDE = 96
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 
 
@@ -84,27 +91,42 @@ def _depth(suffix: bytes, hot: frozenset, part: str) -> int:
     return depth
 
 
-def summed(docs: DataFrame, hot: frozenset, part: str = "lang", width: int = WIDTH) -> DataFrame:
-    """(part, suffix, depth: words of its key, key, n) of a task's suffixes, equal ones summed."""
+def bucketed(part: str, counts: Counter, hot: frozenset, buckets: int) -> dict[tuple[int, int], tuple[list[bytes], list[int]]]:
+    """Suffixes and their counts by (bucket, depth: words of the key), each in order of bytes."""
+    out: dict[tuple[int, int], tuple[list[bytes], list[int]]] = {}
+    seed = xxhash.xxh64_intdigest(part.encode())
+    place = lambda key: xxhash.xxh64_intdigest(key, seed) % buckets
+    order = sorted(counts)
+    heads = [s[: s.find(b" ") + 1] for s in order]
+    cuts = [k for k, (a, b) in enumerate(zip(heads, heads[1:]), 1) if a != b]
+    for a, b in zip([0, *cuts], [*cuts, len(order)]):
+        run = order[a:b]
+        if not run:
+            continue
+        if (part, heads[a]) not in hot:
+            into = out.setdefault((place(heads[a]), 1), ([], []))
+            into[0].extend(run)
+            into[1].extend(map(counts.__getitem__, run))
+            continue
+        for s in run:
+            depth = _depth(s, hot, part)
+            into = out.setdefault((place(b" ".join(s.split(b" ", depth)[:depth])), depth), ([], []))
+            into[0].append(s)
+            into[1].append(counts[s])
+    return out
+
+
+def summed(docs: DataFrame, hot: frozenset, buckets: int, part: str = "lang", width: int = WIDTH) -> DataFrame:
+    """(bucket, part, depth, suffixes, counts): a task's suffixes, equal ones summed, in sorted runs."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        hot_words = frozenset((p, s) for p, s in hot if s.count(b" ") == 1)
 
         def out() -> Iterator[pa.RecordBatch]:
             for name, own in counts.items():
-                all_, n = list(own), list(own.values())
-                heads = [s[: s.find(b" ") + 1] for s in all_]
-                depth = [1] * len(all_)
-                for k, h in enumerate(heads):
-                    if (name, h) in hot_words:
-                        depth[k] = _depth(all_[k], hot, name)
-                        heads[k] = b" ".join(all_[k].split(b" ")[: depth[k]])
-                for a in range(0, len(all_), ROWS):
-                    some = slice(a, a + ROWS)
-                    size = len(all_[some])
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * size), pa.array(all_[some], pa.binary()), pa.array(depth[some], pa.int32()), pa.array(heads[some], pa.binary()), pa.array(n[some], pa.int64())], names=["part", "suffix", "depth", "key", "n"])
+                for (bucket, depth), (all_, n) in bucketed(name, own, hot, buckets).items():
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([name]), pa.array([depth], pa.int32()), pa.array([b"\n".join(all_)], pa.binary()), pa.array([np.array(n, np.int64).tobytes()], pa.binary())], names=["bucket", "part", "depth", "suffixes", "counts"])
             counts.clear()
 
         for b in batches:
@@ -117,10 +139,10 @@ def summed(docs: DataFrame, hot: frozenset, part: str = "lang", width: int = WID
         yield from out()
 
     read = docs.select(F.coalesce(F.col(part), F.lit(UNKNOWN)).alias("part"), "text")
-    return read.mapInArrow(run, "part string, suffix binary, depth int, key binary, n long")
+    return read.mapInArrow(run, "bucket long, part string, depth int, suffixes binary, counts binary")
 
 
-def hot_beginnings(docs: DataFrame, scratch: Scratch, part: str = "lang", width: int = WIDTH) -> frozenset:
+def hot_beginnings(docs: DataFrame, buckets: int, scratch: Scratch, part: str = "lang", width: int = WIDTH) -> frozenset:
     """(part, beginning) of too many suffixes for one task, told from a sample of the rows."""
     prepare(docs.sparkSession)
 
@@ -139,86 +161,87 @@ def hot_beginnings(docs: DataFrame, scratch: Scratch, part: str = "lang", width:
     some = docs.filter(F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(SHARE)) == 0)
     read = some.select(F.coalesce(F.col(part), F.lit(UNKNOWN)).alias("part"), "text")
     counts = scratch.write(read.mapInArrow(run, "part string, head binary, k int, n long").groupBy("part", "head", "k").agg(F.sum("n").alias("n")), "sample")
-    # of the suffixes of one length at most HOT beginnings have more than 1 / HOT of all: what is collected is bounded
     all_ = counts.filter("k = 1").agg(F.sum("n")).first()[0] or 0
-    out = frozenset((r.part, bytes(r.head)) for r in counts.filter(F.col("n") > all_ / HOT).select("part", "head").collect())
+    most = max(HOT, buckets)  # so many beginnings of each length at most have more than 1 / most of all: what is collected is bounded
+    out = frozenset((r.part, bytes(r.head)) for r in counts.filter(F.col("n") > all_ / most).select("part", "head").collect())
     scratch.drop("sample")
     return out
 
 
-class Stack:
-    """Counts all beginnings of suffixes that come in descending order, part by part."""
-
-    def __init__(self, least: int = LEAST):
-        self.least, self.part, self.last = least, None, b""
-        self.words, self.counts, self.partial = [], [], []
-        self.total, self.out = 0, []
-
-    def pop(self, keep: int) -> None:
-        while len(self.words) > keep:
-            n, partial = self.counts.pop(), self.partial.pop()
-            if self.counts:
-                self.counts[-1] += n
-            if partial or n >= self.least:
-                self.out.append((self.part, b" ".join(self.words), len(self.words), n))
-            self.words.pop()
-
-    def add(self, part: str, suffix: bytes, depth: int, n: int) -> None:
-        if part != self.part:
-            self.close()
-            self.part = part
-        words, keep = suffix.split(b" ")[:-1], 0
-        for a, b in zip(words, self.words):
-            if a != b:
-                break
-            keep += 1
-        if keep < len(self.words):
-            self.pop(keep)
-        for k in range(keep, len(words)):
-            self.words.append(words[k])
-            self.counts.append(0)
-            self.partial.append(k + 1 < depth)
-        self.counts[-1] += n
-        self.total += n
-
-    def close(self) -> None:
-        self.pop(0)
-        if self.total:
-            self.out.append((self.part, None, 0, self.total))
-            self.total = 0
+def _shared(order: list[bytes]) -> np.ndarray:
+    """Bytes that each has in common with the one before it, as far as WIDE; the first has none."""
+    rows = np.array([s[:WIDE] for s in order], f"S{WIDE}").view(np.uint8).reshape(len(order), WIDE)
+    differ = np.zeros((len(order), WIDE + 1), bool)
+    differ[1:, :WIDE] = rows[1:] != rows[:-1]
+    differ[:, WIDE] = True
+    differ[0] = True
+    out = differ.argmax(axis=1)
+    for k in np.flatnonzero(out == WIDE).tolist():
+        a, b = order[k - 1], order[k]
+        low, high = WIDE, min(len(a), len(b))
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
+        out[k] = low
+    return out
+
+
+def beginnings(found: dict[bytes, int], depth: int, least: int) -> Iterator[tuple[bytes, int, int]]:
+    """(beginning, its words, n) of suffixes with counts: those with least occurrences, and all that are
+    shorter than the key's words, whose counts are partial."""
+    order = sorted(found, reverse=True)
+    n = np.fromiter(map(found.__getitem__, order), np.int64, len(order))
+    shared = _shared(order)
+    flat = np.frombuffer(b"".join(order), np.uint8)
+    start = np.zeros(len(order), np.int64)
+    np.cumsum(np.fromiter(map(len, order), np.int64, len(order))[:-1], out=start[1:])
+    spaces = np.flatnonzero(flat == 32)
+    first = np.searchsorted(spaces, start)
+    words = np.diff(np.r_[first, len(spaces)])
+    for k in range(1, int(words.max()) + 1):
+        rows = np.flatnonzero(words >= k)
+        end = spaces[first[rows] + k - 1] + 1 - start[rows]
+        opens = np.flatnonzero(shared[rows] < end)  # neighbours part within the first k words
+        total = np.add.reduceat(n[rows], opens)
+        kept = np.arange(len(opens)) if k < depth else np.flatnonzero(total >= least)
+        for at, e, t in zip(rows[opens[kept]].tolist(), end[opens[kept]].tolist(), total[kept].tolist()):
+            yield order[at][: e - 1], k, t
 
 
 def counted(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """(part, phrase, k: its words, n) of beginnings with least occurrences at least, those whose
-    counts are partial included; and (part, null, 0, n) with the number of suffixes."""
+    counts are partial included; and (part, null, 0, n) with numbers of suffixes."""
     prepare(rows.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = Stack(least)
-
-        def out() -> pa.RecordBatch:
-            part, phrase, k, n = zip(*stack.out)
-            stack.out = []
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(phrase, pa.binary()), pa.array(k, pa.int32()), pa.array(n, pa.int64())], names=["part", "phrase", "k", "n"])
+    def out(part: str, depth: int, found: dict[bytes, int]) -> pa.RecordBatch:
+        got = [*beginnings(found, depth, least), (None, 0, sum(found.values()))]
+        phrase, k, n = zip(*got)
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(got)), pa.array(phrase, pa.binary()), pa.array(k, pa.int32()), pa.array(n, pa.int64())], names=["part", "phrase", "k", "n"])
 
-        for b in batches:
-            add = stack.add
-            for row in zip(*[c.to_pylist() for c in b.columns]):
-                add(*row)
-            if len(stack.out) >= ROWS:
-                yield out()
-        stack.close()
-        if stack.out:
-            yield out()
-
-    dealt = rows.repartition("part", "key").select("part", "suffix", "depth", "n").sortWithinPartitions(F.desc("part"), F.desc("suffix"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns[:3]], b.column(3), b.column(4)))
+        for (_, part, depth), own in groupby(all_, key=lambda row: row[:3]):
+            found: dict[bytes, int] = {}
+            for row in own:
+                here, n = row[3].as_py().split(b"\n"), np.frombuffer(row[4].as_py(), np.int64).tolist()
+                if not found:
+                    found = dict(zip(here, n))
+                    continue
+                get = found.get
+                for s, k in zip(here, n):
+                    found[s] = get(s, 0) + k
+            yield out(part, depth, found)
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "part", "depth")
     return dealt.mapInArrow(run, "part string, phrase binary, k int, n long")
 
 
 def phrase_counts(docs: DataFrame, scratch: Scratch, part: str = "lang", width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """(part, phrase, k, n) of all phrases of up to width words with least occurrences at least, and
     the number of words of each part under a null phrase."""
-    counts = scratch.write(counted(summed(docs, hot_beginnings(docs, scratch, part, width), part, width), least), "counts")
+    buckets = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_beginnings(docs, buckets, scratch, part, width)
+    counts = scratch.write(counted(summed(docs, hot, buckets, part, width), least), "counts")
     return counts.groupBy("part", "phrase", "k").agg(F.sum("n").alias("n")).filter((F.col("k") == 0) | (F.col("n") >= least))
 
 

@@ -236,6 +236,7 @@ def phrase_rows(seed=2, n=250):
 def test_collocations_equal_plain_counts(spark, monkeypatch, hot):
     """With few hot beginnings, and with so many that most first words are dealt out further."""
     monkeypatch.setattr(collocations, "HOT", hot)
+    monkeypatch.setattr(collocations, "SPREAD", 1)
     monkeypatch.setattr(collocations, "SHARE", 2)
     rows = phrase_rows()
     docs = clashing(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string"))
@@ -245,6 +246,20 @@ def test_collocations_equal_plain_counts(spark, monkeypatch, hot):
         assert sorted(map(tuple, got.select("part", "rank", "phrase", "a", "l", "r", "n", "score").collect())) == want and len(want) > 10
 
 
+def test_beginnings_of_long_words_and_partial_counts():
+    rng = random.Random(3)
+    long = ["x" * 90, "x" * 97, "x" * 200 + "y", "x" * 200 + "z", "x", "\x00", "xy"]
+    found = collections.Counter("".join(w + " " for w in rng.choices(long, k=rng.randint(1, 4))).encode() for _ in range(3000))
+    want = collections.Counter()
+    for s, n in found.items():
+        words = s.split(b" ")[:-1]
+        for k in range(1, len(words) + 1):
+            want[b" ".join(words[:k]), k] += n
+    for depth in (1, 3):
+        got = {(s, k): n for s, k, n in collocations.beginnings(dict(found), depth, 20)}
+        assert got == {k: n for k, n in want.items() if n >= 20 or k[1] < depth}
+
+
 def test_suffixes_run_on_between_parts(monkeypatch):
     rng = random.Random(1)
     text = "".join(rng.choice(["a", "bb", "ccc"]) + rng.choice([" ", "  ", " ", "\t", ". ", "\n"]) for _ in range(2000))
