@@ -86,6 +86,41 @@ def journal_sample(df: DataFrame, journal: str, key: str, date: str, known: Data
     return sized.withColumn("nth", nth).filter(F.col("nth") <= F.when(F.col("volume") <= small, many).otherwise(few))
 
 
+def walk(df: DataFrame, journal: str, key: str, date: str, known: DataFrame | None = None, have: DataFrame | None = None, few: int = 2, many: int = 5, small: int = 200, headroom: int = 10, cap: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(picks, report): a draw of each journal-month by a walk over one fixed permutation of its
+    positions (column position, from 1; at most `cap` can be reached).
+
+    A journal-month of at most `small` works has a target of `many`, else of `few`, and wants what of it
+    it does not have yet (have: journal, k). The walk looks at the first target + headroom places of
+    the permutation, passes over known works (known: key) and over a key met before, and stops once it
+    has what it wants. As the permutation depends on date and journal alone, a top-up that knows the
+    earlier picks walks on behind them. The report tells month_works, target_picks, the picks' positions
+    in order of the walk, skipped_known up to the stop, and truncated_pool.
+    """
+    volume = df.groupBy(journal).agg(F.count("*").alias("month_works"))
+    reach = F.least(F.col("month_works"), F.lit(cap))
+    sizes = volume.join(have.select(journal, F.greatest("k", F.lit(0)).alias("k")), journal, "left") if have is not None else volume.withColumn("k", F.lit(0))
+    target = F.least(F.when(F.col("month_works") <= small, many).otherwise(few), reach).cast("int")
+    sizes = sizes.select(journal, "month_works", target.alias("target_picks"), F.greatest(target - F.coalesce("k", F.lit(0)), F.lit(0)).cast("int").alias("wanted"), (F.col("month_works") > cap).alias("truncated_pool"))
+    place = W.partitionBy(journal).orderBy(hash_order(F.lit(date), F.col(journal), F.col("position")), "position")
+    steps = df.filter(F.col("position") <= cap).withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= max(few, many) + headroom)
+    steps = steps.join(sizes, journal).filter(F.col("nth") <= F.col("target_picks") + headroom)
+    own = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    again = (own != "") & (F.row_number().over(W.partitionBy(journal, key).orderBy("nth")) > 1)
+    met = F.lit(False)
+    if known is not None:
+        steps = steps.join(known.select(F.col(key).alias("_key")).distinct().withColumn("_met", F.lit(True)), (own != "") & (F.col(key) == F.col("_key")), "left").drop("_key")
+        met = F.coalesce("_met", F.lit(False))
+    steps = steps.withColumn("_skip", met | again).drop("_met")
+    steps = steps.withColumn("_before", F.coalesce(F.sum((~F.col("_skip")).cast("int")).over(W.partitionBy(journal).orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    seen = steps.filter(F.col("_before") < F.col("wanted"))  # up to the stop
+    picks = seen.filter(~F.col("_skip"))
+    place = F.when(~F.col("_skip"), F.struct("nth", "position"))
+    walked = seen.groupBy(journal).agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["position"]).alias("positions"), F.sum(F.col("_skip").cast("int")).alias("skipped_known"))
+    report = sizes.join(walked, journal, "left").select(journal, "month_works", "target_picks", F.coalesce("positions", F.array().cast("array<long>")).alias("positions"), F.coalesce("skipped_known", F.lit(0)).cast("int").alias("skipped_known"), "truncated_pool")
+    return picks.select(*df.columns, "nth"), report
+
+
 def export_order(date: str, priority: str, direction: str, tie: str) -> list[Column]:
     """Newest first, then priority, then direction."""
     return [F.coalesce(F.col(date).cast("string"), F.lit("")).desc(), priority_rank(F.col(priority)), F.coalesce(F.col(direction), F.lit("")), F.col(tie)]
@@ -125,6 +160,35 @@ def work_at(df: DataFrame, journal: str, order: list[Column], position: int) ->
     return first_of(df, [journal], order, position, "_n").filter(F.col("_n") == position).drop("_n")
 
 
+def position_index(df: DataFrame, journal: str, order: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, index) for access by position: rows are dealt by range of journal and order into parts
+    and numbered within each (_part, _at); the index holds for each journal and part the number of rows
+    before it and in it, a row for each of the two. No journal-month is sorted in one task."""
+    cut = df.repartitionByRange(parts, F.col(journal), *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    return cut, cut.groupBy(journal, "_part").agg(F.count("*").alias("n"))
+
+
+def with_positions(rows: DataFrame, index: DataFrame, journal: str, order: list[str]) -> DataFrame:
+    """Rows with their position (from 1) in the journal-month. rows must be written, so that parts
+    stay what the index counted."""
+    before = F.sum("n").over(W.partitionBy(journal).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    base = index.select(journal, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = rows.withColumn("_at", F.row_number().over(W.partitionBy(journal, "_part").orderBy(*order)))
+    return own.join(base, [journal, "_part"]).withColumn("position", F.col("_before") + F.col("_at")).drop("_at", "_before")
+
+
+def works_at(rows: DataFrame, index: DataFrame, journal: str, order: list[str], wanted: DataFrame) -> DataFrame:
+    """(journal, position) wanted, with the works there: the index tells the part, and only rows of
+    such parts are numbered. Positions that do not exist give nothing."""
+    before = F.sum("n").over(W.partitionBy(journal).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    spans = index.withColumn("_before", F.coalesce(before, F.lit(0)))
+    where = wanted.select(journal, "position").distinct().join(spans, journal).filter((F.col("position") > F.col("_before")) & (F.col("position") <= F.col("_before") + F.col("n")))
+    where = where.select(journal, "_part", "position", (F.col("position") - F.col("_before")).alias("_want"))
+    read = rows.join(where.select(journal, "_part").distinct(), [journal, "_part"], "left_semi")
+    own = read.withColumn("_at", F.row_number().over(W.partitionBy(journal, "_part").orderBy(*order)))
+    return own.join(where, [journal, "_part"]).filter(F.col("_at") == F.col("_want")).drop("_at", "_want", "_part")
+
+
 def weekly_list(df: DataFrame, week: str) -> DataFrame:
     """What was read or checked in a week: High first, in any case, then by source date."""
     late = (F.lower("priority") != "high").cast("int")

@@ -131,6 +131,40 @@ def score(df: DataFrame, call: Callable[[dict, bool], dict], tries: int = 3) ->
     return df.mapInPandas(run, RESULT)
 
 
+def score_at_once(df: DataFrame, call: Callable[[dict, bool], dict], tries: int = 3, at_once: int = 8) -> DataFrame:
+    """score() with up to `at_once` calls in flight in each task. Results come in the order of the
+    rows. Once a call is refused for its budget none begins any more: calls in flight end as they will,
+    every row after them fails without a call, and so does the rest of the task."""
+
+    def run(batches: Iterator) -> Iterator:
+        from concurrent.futures import ThreadPoolExecutor
+        from threading import Event
+
+        import pandas as pd
+
+        spent = Event()
+
+        def one(row: dict) -> tuple:
+            reason, used = "budget_exhausted", 0
+            while used < tries and not spent.is_set():
+                used += 1
+                try:
+                    return row["key"], call(row, used > 1)["priority"], False, None, used
+                except BudgetExhausted:
+                    spent.set()
+                    reason = "budget_exhausted"
+                except Exception as e:  # any scorer error is an outcome of this row
+                    reason = f"{type(e).__name__}: {e}"
+            return row["key"], None, True, reason, used
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                out = list(pool.map(one, b.to_dict("records")))
+                yield pd.DataFrame(out, columns=["key", "priority", "scorer_failed", "scorer_failed_reason", "scorer_failed_attempts"])
+
+    return df.mapInPandas(run, RESULT)
+
+
 def score_in_rounds(df: DataFrame, call: Callable[[dict, bool], dict], write: Callable[[DataFrame, int], DataFrame], rounds: int) -> DataFrame:
     """The breaker across executors: rows are scored in hash rounds, and no round starts once
     one was refused for its budget. Rows of later rounds stay unscored and out of the seen state."""
