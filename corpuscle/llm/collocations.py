@@ -52,7 +52,7 @@ UNKNOWN = "und"
 #: Distinct suffixes that a task sums before it lets them go.
 HELD = 500_000
 #: Bytes of a suffix that are compared as arrays; the few longer ones are compared one by one.
-WIDE = 96
+WIDE = 48
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 
 
@@ -60,27 +60,29 @@ def suffixes(text: str | None, width: int = WIDTH) -> Iterator[list[bytes]]:
     """The suffix of every word occurrence, in lists; each word ends with a space."""
     left: list[bytes] = []
     for part in slices((text or "").encode().lower()):
-        pieces = part.translate(_PIECES).split(b"\n")
-        last = len(pieces) - 1
-        for k, piece in enumerate(pieces):
-            words = left + piece.split() if left else piece.split()
-            # the part's last piece runs on into the next part: its last words wait for what follows
-            n, left = (len(words), []) if k < last else (max(0, len(words) - width + 1), words[max(0, len(words) - width + 1) :])
-            if n:
-                yield _tails(words, n, width)
-    if left:
-        yield _tails(left, len(left), width)
-
-
-def _tails(words: list[bytes], n: int, width: int) -> list[bytes]:
+        # a piece ends with a word of its own, so that a part is cut into words at once
+        words = left + [w for w in part.translate(_PIECES).replace(b"\n", b" \n ").split(b" ") if w]
+        # the part's last piece runs on into the next part: its last words wait for what follows
+        n = max(0, len(words) - width + 1)
+        yield from _tails(words, n, width)
+        left = words[n:]
+    yield from _tails(left, len(left), width)
+
+
+def _tails(words: list[bytes], n: int, width: int) -> Iterator[list[bytes]]:
+    """The suffixes of the first n words, those that end a piece aside."""
+    if not n:
+        return
     run = b" ".join(words) + b" "
-    ends, at = [], 0
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    starts = [0, *ends[: n - 1]]
-    ends = (ends[width - 1 :] + [at] * (width - 1))[:n] if len(ends) >= width else [at] * n
-    return [run[a:b] for a, b in zip(starts, ends)]
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    start = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(length, out=start[1:])
+    ends = np.frombuffer(run, np.uint8)[start[:-1]] == 10
+    at = np.arange(len(words))
+    stop = np.minimum.accumulate(np.where(ends, at, len(words))[::-1])[::-1]
+    mine = at[:n][~ends[:n]]
+    stop = np.minimum(mine + width, stop[mine])
+    yield [run[a:b] for a, b in zip(start[mine].tolist(), start[stop].tolist())]
 
 
 def _depth(suffix: bytes, hot: frozenset, part: str) -> int:
@@ -96,23 +98,24 @@ def bucketed(part: str, counts: Counter, hot: frozenset, buckets: int) -> dict[t
     out: dict[tuple[int, int], tuple[list[bytes], list[int]]] = {}
     seed = xxhash.xxh64_intdigest(part.encode())
     place = lambda key: xxhash.xxh64_intdigest(key, seed) % buckets
-    order = sorted(counts)
-    heads = [s[: s.find(b" ") + 1] for s in order]
-    cuts = [k for k, (a, b) in enumerate(zip(heads, heads[1:]), 1) if a != b]
-    for a, b in zip([0, *cuts], [*cuts, len(order)]):
-        run = order[a:b]
-        if not run:
+    order, cuts, head = sorted(counts), [], b"\n"
+    for k, s in enumerate(order):
+        if not s.startswith(head):
+            head = s[: s.find(b" ") + 1]
+            cuts.append(k)
+    n = list(map(counts.__getitem__, order))
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        head = order[a][: order[a].find(b" ") + 1]
+        if (part, head) not in hot:
+            into = out.setdefault((place(head), 1), ([], []))
+            into[0].extend(order[a:b])
+            into[1].extend(n[a:b])
             continue
-        if (part, heads[a]) not in hot:
-            into = out.setdefault((place(heads[a]), 1), ([], []))
-            into[0].extend(run)
-            into[1].extend(map(counts.__getitem__, run))
-            continue
-        for s in run:
-            depth = _depth(s, hot, part)
-            into = out.setdefault((place(b" ".join(s.split(b" ", depth)[:depth])), depth), ([], []))
-            into[0].append(s)
-            into[1].append(counts[s])
+        for k in range(a, b):
+            depth = _depth(order[k], hot, part)
+            into = out.setdefault((place(b" ".join(order[k].split(b" ", depth)[:depth])), depth), ([], []))
+            into[0].append(order[k])
+            into[1].append(n[k])
     return out
 
 
@@ -169,14 +172,16 @@ def hot_beginnings(docs: DataFrame, buckets: int, scratch: Scratch, part: str =
 
 
 def _shared(order: list[bytes]) -> np.ndarray:
-    """Bytes that each has in common with the one before it, as far as WIDE; the first has none."""
-    rows = np.array([s[:WIDE] for s in order], f"S{WIDE}").view(np.uint8).reshape(len(order), WIDE)
-    differ = np.zeros((len(order), WIDE + 1), bool)
-    differ[1:, :WIDE] = rows[1:] != rows[:-1]
-    differ[:, WIDE] = True
-    differ[0] = True
-    out = differ.argmax(axis=1)
-    for k in np.flatnonzero(out == WIDE).tolist():
+    """Bytes that each has in common with the one before it; the first has none."""
+    rows = np.array([s[:WIDE] for s in order], f"S{WIDE}").view(">u8").reshape(len(order), WIDE // 8)
+    differ = rows[1:] ^ rows[:-1]
+    words = (differ != 0).argmax(axis=1)
+    value = differ[np.arange(len(words)), words].astype(np.uint64)
+    out = np.zeros(len(order), np.int64)
+    out[1:] = words * 8
+    for byte in range(1, 8):  # leading bytes that are equal
+        out[1:] += value < np.uint64(1) << np.uint64(8 * byte)
+    for k in (np.flatnonzero(value == 0) + 1).tolist():
         a, b = order[k - 1], order[k]
         low, high = WIDE, min(len(a), len(b))
         while low < high:

@@ -248,7 +248,7 @@ def test_collocations_equal_plain_counts(spark, monkeypatch, hot):
 
 def test_beginnings_of_long_words_and_partial_counts():
     rng = random.Random(3)
-    long = ["x" * 90, "x" * 97, "x" * 200 + "y", "x" * 200 + "z", "x", "\x00", "xy"]
+    long = ["x" * 45, "x" * 48, "x" * 200 + "y", "x" * 200 + "z", "x", "\x00", "xy"]
     found = collections.Counter("".join(w + " " for w in rng.choices(long, k=rng.randint(1, 4))).encode() for _ in range(3000))
     want = collections.Counter()
     for s, n in found.items():
