@@ -59,31 +59,37 @@ def truncate_safely(c: Column, n: int) -> Column:
 
     One pass over the characters keeps the open delimiter, the depth of braces and the last place."""
     s = F.coalesce(c, F.lit(""))
-    chars = F.regexp_extract_all(F.substring(s, 1, n + 2), F.lit("(?s)."), 0)
-    at = lambda i: F.coalesce(F.get(chars, i - 1), F.lit(""))
     kept = lambda state, **new: F.struct(*[new.get(k, state[k]).cast(t).alias(k) for k, t in (("open", "string"), ("depth", "int"), ("last", "int"), ("skip", "int"))])
 
-    def step(state: Column, i: Column) -> Column:
-        one, two, plain, free = at(i), F.concat(at(i), at(i + 1)), at(i - 1) != "\\", state["open"] == ""
-        begins, ends = two.isin("\\(", "\\["), two.isin("\\)", "\\]")
-        closes = state["open"] == F.translate(two, ")]", "([")
-        dollars = F.when(two == "$$", 2).otherwise(1)
-        closed = (one == "$") & plain & state["open"].startswith("$") & ((state["open"] == "$") | (two == "$$"))
-        depth = state["depth"] + F.when(one == "{", 1).when((one == "}") & (state["depth"] > 0), -1).otherwise(0)
-        return (
-            F.when(state["skip"] > 0, kept(state, skip=state["skip"] - 1))
-            .when(begins & plain & free, kept(state, open=two, skip=F.lit(1)))
-            .when(ends & ~free, kept(state, open=F.when(closes, "").otherwise(state["open"]), skip=F.lit(1)))
-            .when((one == "$") & plain & free, kept(state, open=F.repeat(F.lit("$"), dollars), skip=dollars - 1))
-            .when(closed, kept(state, open=F.lit(""), skip=F.length(state["open"]) - 1))
-            .when(plain & free & one.rlike(r"(?U)\s") & (state["depth"] == 0), kept(state, last=i - 1))
-            .when(plain & free, kept(state, depth=depth)).otherwise(state)
-        )
-
     start = F.struct(F.lit("").alias("open"), F.lit(0).alias("depth"), F.lit(0).alias("last"), F.lit(0).alias("skip"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step)
     word = lambda x: x.rlike(r"[\p{L}\p{N}]")
-    cut = F.aggregate(F.array(end), F.lit(0), lambda _, e: F.when((e["open"] == "") & (e["depth"] == 0) & ~(word(at(F.lit(n))) & word(at(F.lit(n + 1)))), n).otherwise(e["last"]))
+
+    def place(chars: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(chars, i - 1), F.lit(""))
+
+        def step(state: Column, i: Column) -> Column:
+            one, two, plain, free = at(i), F.concat(at(i), at(i + 1)), at(i - 1) != "\\", state["open"] == ""
+            begins, ends = two.isin("\\(", "\\["), two.isin("\\)", "\\]")
+            closes = state["open"] == F.translate(two, ")]", "([")
+            dollars = F.when(two == "$$", 2).otherwise(1)
+            closed = (one == "$") & plain & state["open"].startswith("$") & ((state["open"] == "$") | (two == "$$"))
+            depth = state["depth"] + F.when(one == "{", 1).when((one == "}") & (state["depth"] > 0), -1).otherwise(0)
+            return (
+                F.when(state["skip"] > 0, kept(state, skip=state["skip"] - 1))
+                .when(begins & plain & free, kept(state, open=two, skip=F.lit(1)))
+                .when(ends & ~free, kept(state, open=F.when(closes, "").otherwise(state["open"]), skip=F.lit(1)))
+                .when((one == "$") & plain & free, kept(state, open=F.repeat(F.lit("$"), dollars), skip=dollars - 1))
+                .when(closed, kept(state, open=F.lit(""), skip=F.length(state["open"]) - 1))
+                .when(plain & free & one.rlike(r"(?U)\s") & (state["depth"] == 0), kept(state, last=i - 1))
+                .when(plain & free, kept(state, depth=depth)).otherwise(state)
+            )
+
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step)
+        parted = word(at(F.lit(n))) & word(at(F.lit(n + 1)))
+        return F.aggregate(F.array(end), F.lit(0), lambda _, e: F.when((e["open"] == "") & (e["depth"] == 0) & ~parted, n).otherwise(e["last"]))
+
+    # the characters are made once and handed on
+    cut = F.get(F.transform(F.array(F.regexp_extract_all(F.substring(s, 1, n + 2), F.lit("(?s)."), 0)), place), F.lit(0))
     head = F.substring(s, F.lit(1), F.when(cut > 0, cut).otherwise(n))
     return F.when(F.length(s) > n, F.regexp_replace(head, r"(?U)\s+$", "")).otherwise(s)
 

@@ -58,7 +58,7 @@ SHARDS = 16
 
 def grams(text: Column) -> Column:
     """The distinct runs of three characters of a text."""
-    return F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda k: F.substring(text, k, F.lit(3))), lambda g: F.length(g) == 3))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), 1))
 
 
 def _shard(c: Column, shards: int) -> Column:
