@@ -81,11 +81,11 @@ def month_windows(spark, d):
 
 @query(r"""
 SELECT c_custkey, regexp_replace(c_name, '[^A-Za-z0-9_-]', '-', 'g') AS anchor, 'noid:' || substr(sha1(strftime(DATE '2024-01-01', '%Y-%m-%d') || '|' || c_custkey || '|' || c_mktsegment || '|' || c_name), 1, 16) AS fallback,
-  'sha256:' || substr(sha256(c_name), 1, 16) AS content, CASE WHEN length(c_name) > 10 THEN substr(c_name, 1, 10) || '…' ELSE c_name END AS short FROM customer""")
+  'sha256:' || substr(sha256(c_name), 1, 16) AS content, CASE WHEN length(c_name) > 15 THEN substr(c_name, 1, 15) || '…' ELSE c_name END AS short FROM customer""")
 def name_facts(spark, d):
     """customers as titles."""
     key = F.col("c_custkey")
-    return table(spark, d, "customer").select("c_custkey", identity.anchor(F.col("c_name")).alias("anchor"), identity.fallback_identity(F.lit("2024-01-01"), key, F.col("c_mktsegment"), F.col("c_name")).alias("fallback"), texts.content_hash(F.col("c_name")).alias("content"), texts.truncate(F.col("c_name"), 10).alias("short"))
+    return table(spark, d, "customer").select("c_custkey", identity.anchor(F.col("c_name")).alias("anchor"), identity.fallback_identity(F.lit("2024-01-01"), key, F.col("c_mktsegment"), F.col("c_name")).alias("fallback"), texts.content_hash(F.col("c_name")).alias("content"), texts.truncate(F.col("c_name"), 15).alias("short"))
 
 
 # --- deduplication and merging --------------------------------------------------------------------
@@ -105,14 +105,14 @@ def dedup_latest_wins(spark, d):
 
 @query("""
 WITH r AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'arxiv' WHEN 'assistant' THEN 'openalex' ELSE 'pubmed' END AS source,
-  CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS abstract, CASE WHEN turn % 4 = 1 THEN 'x' ELSE '' END AS doi FROM conversations),
+  CASE WHEN (conv_id + turn) % 3 < 2 THEN '' ELSE text END AS abstract, CASE WHEN (conv_id * 7 + turn) % 4 = 1 THEN 'x' ELSE '' END AS doi FROM conversations),
 l AS (SELECT conv_id, list(struct_pack(turn := turn, source := source, abstract := abstract, doi := doi) ORDER BY turn, source, abstract, doi) AS rows FROM r GROUP BY conv_id),
 f AS (SELECT conv_id, rows[1].turn AS turn, list_reduce(rows, lambda a, x: CASE WHEN (a.abstract = '' AND x.abstract <> '') OR (a.source = 'arxiv' AND x.source IN ('openalex', 'pubmed') AND x.doi <> '') THEN x ELSE a END) AS w FROM l)
 SELECT conv_id, turn, w.turn AS winner, w.source AS source FROM f""")
 def merge_preference_fold(spark, d):
     """Turns of a conversation as copies of one paper."""
     role = F.when(F.col("role") == "user", "arxiv").when(F.col("role") == "assistant", "openalex").otherwise("pubmed")
-    rows = table(spark, d, "conversations").select("conv_id", "turn", role.alias("source"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("abstract"), F.when(F.col("turn") % 4 == 1, "x").otherwise("").alias("doi"), F.col("turn").alias("winner"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", role.alias("source"), F.when((F.col("conv_id") + F.col("turn")) % 3 < 2, "").otherwise(F.col("text")).alias("abstract"), F.when((F.col("conv_id") * 7 + F.col("turn")) % 4 == 1, "x").otherwise("").alias("doi"), F.col("turn").alias("winner"))
     return dedup.preference_fold(rows, "conv_id", "turn", ["source", "abstract", "doi", "winner"], dedup.paper_preference).select("conv_id", "turn", "winner", "source")
 
 
@@ -142,11 +142,11 @@ def digest_diff(spark, d):
 
 
 @query("""
-WITH u AS (SELECT 0 AS k, c_custkey AS id, 'n' || c_nationkey AS name FROM customer UNION ALL SELECT 1, s_suppkey, 'n' || s_nationkey FROM supplier)
+WITH u AS (SELECT 0 AS k, c_custkey AS id, 'n' || c_nationkey AS name FROM customer UNION ALL SELECT 1, s_suppkey * 37, 'n' || s_nationkey FROM supplier)
 SELECT k, id, name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM u) WHERE n = 1""")
 def source_union(spark, d):
-    """Customers, then suppliers, the first of each id."""
-    parts = [table(spark, d, t).select(F.lit(k).alias("k"), F.col(f"{p}key").alias("id"), F.concat(F.lit("n"), f"{t[0]}_nationkey").alias("name")) for k, (t, p) in enumerate((("customer", "c_cust"), ("supplier", "s_supp")))]
+    """Customers, then suppliers under ids of which many are new, the first of each id."""
+    parts = [table(spark, d, t).select(F.lit(k).alias("k"), (F.col(f"{p}key") * (36 * k + 1)).alias("id"), F.concat(F.lit("n"), f"{t[0]}_nationkey").alias("name")) for k, (t, p) in enumerate((("customer", "c_cust"), ("supplier", "s_supp")))]
     return dedup.first_wins(parts[0].unionByName(parts[1]), "id", [F.col("k")])
 
 
@@ -170,6 +170,8 @@ DIRECTIONS = {
 }
 EXCLUDED = ["idiot", "moron"]
 KEPT = ["the", "les"]
+#: What hard_exclusion leaves out and what keeps a text nevertheless.
+LEFT_OUT, ANCHORED = ["license", "idiot", "moron"], ["apache", "nicht"]
 
 
 def _has(term: str) -> str:
@@ -199,10 +201,10 @@ def route_documents(spark, d):
 
 @query(f"""
 WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS b, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents)
-SELECT doc_id, ({' OR '.join(map(_has, EXCLUDED))}) AND NOT ({' OR '.join(map(_has, KEPT))}) AS excluded FROM t""")
+SELECT doc_id, ({' OR '.join(map(_has, LEFT_OUT))}) AND NOT ({' OR '.join(map(_has, ANCHORED))}) AS excluded FROM t""")
 def hard_exclusion(spark, d):
     """excluded words without an anchor."""
-    return table(spark, d, "documents").select("doc_id", routing.is_excluded(F.lower(F.coalesce("text", F.lit(""))), EXCLUDED, KEPT).alias("excluded"))
+    return table(spark, d, "documents").select("doc_id", routing.is_excluded(F.lower(F.coalesce("text", F.lit(""))), LEFT_OUT, ANCHORED).alias("excluded"))
 
 
 @query("""
@@ -270,10 +272,11 @@ def tag_frequency(spark, d):
     return _tags(spark, d)
 
 
-@query(_TAGS + "SELECT a.year, a.direction, a.tag, a.n, coalesce(b.n, 0) AS prev, a.n - coalesce(b.n, 0) AS delta FROM c a LEFT JOIN c b ON b.year = a.year - 1 AND b.direction = a.direction AND b.tag = a.tag WHERE a.n >= 5 AND a.n >= 2 * coalesce(b.n, 0)")
+@query(_TAGS + ", g AS (SELECT year, direction, tag, n * (year - 1994) * (year - 1994) AS n FROM c) SELECT a.year, a.direction, a.tag, a.n, coalesce(b.n, 0) AS prev, a.n - coalesce(b.n, 0) AS delta FROM g a LEFT JOIN g b ON b.year = a.year - 1 AND b.direction = a.direction AND b.tag = a.tag WHERE a.n >= 5 AND a.n >= 2 * coalesce(b.n, 0)")
 def emerging_terms(spark, d):
-    """A03, J10."""
-    return aggregates.emerging(_tags(spark, d))
+    """Counts that grow with the square of the years."""
+    age = F.col("year") - 1994
+    return aggregates.emerging(_tags(spark, d).withColumn("n", F.col("n") * age * age))
 
 
 @query("""
@@ -366,10 +369,10 @@ def day_revisions(spark, d):
 # --- windows, order, samples ----------------------------------------------------------------------
 
 
-@query(f"SELECT o_orderkey, bucket_date, position::INTEGER AS position, ceil(position / 20.0)::INTEGER AS page FROM (SELECT *, row_number() OVER (PARTITION BY bucket_date ORDER BY priority, o_orderkey) AS position FROM ({_ORDERS}))")
+@query(f"SELECT o_orderkey, bucket_date, position::INTEGER AS position, ceil(position / 20.0)::INTEGER AS page FROM (SELECT o_orderkey, substr(bucket_date, 1, 7) AS bucket_date, row_number() OVER (PARTITION BY substr(bucket_date, 1, 7) ORDER BY priority, o_orderkey) AS position FROM ({_ORDERS}))")
 def day_pages(spark, d):
-    """W01, S20."""
-    return windows.pages(_orders(spark, d), ["bucket_date"], [F.col("priority"), F.col("o_orderkey")]).select("o_orderkey", "bucket_date", "position", "page")
+    """Months as days, so that a bucket has many pages."""
+    return windows.pages(_orders(spark, d).withColumn("bucket_date", F.substring("bucket_date", 1, 7)), ["bucket_date"], [F.col("priority"), F.col("o_orderkey")]).select("o_orderkey", "bucket_date", "position", "page")
 
 
 @query(f"SELECT bucket_date, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY bucket_date ORDER BY priority, o_orderkey) AS n FROM ({_ORDERS}) WHERE priority IN ('1-URGENT', '2-HIGH')) WHERE n = 1")
@@ -395,15 +398,15 @@ def top_tags_per_group(spark, d):
 
 
 @query("""
-WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), a AS (SELECT *, least(2, size) AS base, size - least(2, size) AS room FROM s),
+WITH s AS (SELECT c_nationkey AS source, count(*) AS size FROM customer GROUP BY 1), a AS (SELECT *, least(2, size) AS base, size - least(2, size) AS room FROM s),
 b AS (SELECT *, greatest(0, 150 - sum(base) OVER ()) AS "left", sum(CASE WHEN room > 0 THEN size ELSE 0 END) OVER () AS whole FROM a),
 c AS (SELECT *, least(CASE WHEN room > 0 THEN ("left" * size) // whole ELSE 0 END, room) AS fl FROM b),
 e AS (SELECT *, "left" - sum(fl) OVER () AS rest, room > fl AS o, (CASE WHEN room > 0 THEN "left" * size ELSE 0 END) - fl * whole AS rem FROM c),
 f AS (SELECT *, row_number() OVER (ORDER BY o DESC, rem DESC, source) AS nth FROM e)
 SELECT source, size, (base + fl + (o AND nth <= rest)::INTEGER)::BIGINT AS k FROM f""")
 def stratified_allocation(spark, d):
-    """150 documents over sources."""
-    return windows.allocation(table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("size")), "source", 150)
+    """150 customers over nations."""
+    return windows.allocation(table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("source")).agg(F.count("*").alias("size")), "source", 150)
 
 
 @query("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('2026-01-01|' || source || '|' || doc_id), doc_id) AS n, count(*) OVER (PARTITION BY source) AS v FROM documents) WHERE n <= CASE WHEN v <= 200 THEN 5 ELSE 2 END")
@@ -437,18 +440,21 @@ def export_candidates(spark, d):
 
 
 @query("""
-WITH x AS (SELECT item_id, lower(text) AS k, CASE item_id % 3 WHEN 0 THEN 'must_read' WHEN 1 THEN 'useful' ELSE 'peripheral' END AS tier FROM benchmark),
-c AS (SELECT lower(line) AS k, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1),
+WITH i AS (SELECT item_id, text FROM benchmark UNION ALL SELECT 1000000 + doc_id, text FROM documents),
+x AS (SELECT item_id, lower(text) AS k, CASE item_id % 3 WHEN 0 THEN 'must_read' WHEN 1 THEN 'useful' ELSE 'peripheral' END AS tier FROM i),
+c AS (SELECT lower(line) AS k, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(list_append(string_split(text, chr(10)), text)) AS line FROM documents) GROUP BY 1),
 j AS (SELECT x.*, c.doc_id, CASE c.doc_id % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' WHEN 3 THEN 'Exclude' END AS p FROM x LEFT JOIN c USING (k))
 SELECT item_id, doc_id, CASE WHEN doc_id IS NULL THEN 'missing_' || tier WHEN tier = 'must_read' THEN CASE WHEN p IN ('High', 'Medium') THEN 'correct_must_read' ELSE 'under_scored' END
   WHEN tier = 'useful' THEN CASE WHEN p IN ('Medium', 'Low') THEN 'correct_useful' WHEN p = 'Exclude' THEN 'under_scored' ELSE 'over_scored' END
   ELSE CASE WHEN p IN ('Low', 'Exclude') THEN 'correct_peripheral' ELSE 'over_scored' END END AS verdict FROM j""")
 def reference_list_verdicts(spark, d):
-    """Benchmark items as listed papers, whole lines of documents as the corpus."""
+    """Benchmark items and documents as listed papers, whole texts of documents and their whole
+    lines as the corpus."""
     k = F.lower("text").alias("k")
     tier = F.element_at(F.array(*map(F.lit, ["must_read", "useful", "peripheral"])), (F.col("item_id") % 3 + 1).cast("int"))
-    listed = table(spark, d, "benchmark").select("item_id", k, tier.alias("tier"))
-    found = joins.list_matches(listed, table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("text"), "doc_id").select(k, "doc_id"), "k", ["doc_id"])
+    own = table(spark, d, "documents").select((F.lit(1_000_000) + F.col("doc_id")).alias("item_id"), "text")
+    listed = table(spark, d, "benchmark").select("item_id", "text").unionByName(own).select("item_id", k, tier.alias("tier"))
+    found = joins.list_matches(listed, table(spark, d, "documents").select(F.explode(F.array_append(F.split("text", "\n"), F.col("text"))).alias("text"), "doc_id").select(k, "doc_id"), "k", ["doc_id"])
     i = F.col("doc_id") % 4
     p = F.when(i == 0, "High").when(i == 1, "Medium").when(i == 2, "Low").when(i == 3, "Exclude")
     verdict = F.when(F.col("present"), quality.present_verdict(F.col("tier"), p)).otherwise(quality.missing_verdict(F.col("tier")))
@@ -497,14 +503,14 @@ def dimension_lookup(spark, d):
 
 @query("""
 SELECT d.doc_id, round(100.0 * ((trim(coalesce(text, '')) <> '')::INTEGER + (coalesce(lang, '') <> '')::INTEGER + (quality IS NOT NULL)::INTEGER + (toxic IS NOT NULL)::INTEGER) / 4, 1) AS completeness,
-  CASE WHEN quality IS NULL THEN 'unknown' WHEN quality = 1 AND contains(lower(text), 'idiot') THEN CASE WHEN contains(lower(text), 'license') THEN 'mild_mismatch' ELSE 'clear_mismatch' END WHEN quality = 0 AND contains(lower(text), 'license') AND NOT contains(lower(text), 'idiot') THEN 'clear_mismatch' ELSE 'consistent' END AS consistency
+  CASE WHEN quality IS NULL THEN 'unknown' WHEN quality = 1 AND contains(lower(text), 'nicht') THEN CASE WHEN contains(lower(text), 'das') THEN 'mild_mismatch' ELSE 'clear_mismatch' END WHEN quality = 0 AND contains(lower(text), 'das') AND NOT contains(lower(text), 'nicht') THEN 'clear_mismatch' ELSE 'consistent' END AS consistency
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def quality_audit(spark, d):
     """labels as scores."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     fields = [quality.filled(F.col("text")), quality.filled(F.col("lang")), F.col("quality").isNotNull(), F.col("toxic").isNotNull()]
     priority = F.when(F.col("quality") == 1, "High").when(F.col("quality") == 0, "Low").otherwise("")
-    return rows.select("doc_id", quality.completeness(fields).alias("completeness"), quality.consistency(priority, F.col("text"), F.lit(""), ["idiot"], ["license"]).alias("consistency"))
+    return rows.select("doc_id", quality.completeness(fields).alias("completeness"), quality.consistency(priority, F.col("text"), F.lit(""), ["nicht"], ["das"]).alias("consistency"))
 
 
 @query("SELECT lang AS value, 'lang' AS \"column\", count(*) AS n, NULL::DOUBLE AS mean FROM documents GROUP BY 1 UNION ALL SELECT source, 'source', count(*), NULL FROM documents GROUP BY 1 UNION ALL SELECT NULL, 'n_chars', count(*), round(avg(n_chars), 6) FROM documents")
@@ -547,24 +553,29 @@ def cost_by_window(spark, d):
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents), l AS (SELECT doc_id, s, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM t)
+WITH t AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN ' Introduction, method, result, discussion; conclusion' ELSE '' END AS s FROM documents), l AS (SELECT doc_id, s, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM t)
 SELECT doc_id, length(s) >= 6000 AND len(ls) > 0 AND len(list_filter(ls, lambda x: substr(x, 1, 1) IN ('•', '→', '■', '○', '►'))) * 4 <= len(ls)
   AND (contains(lower(s), 'introduction')::INT + contains(lower(s), 'method')::INT + contains(lower(s), 'result')::INT + contains(lower(s), 'conclusion')::INT + contains(lower(s), 'discussion')::INT + contains(lower(s), 'experiment')::INT + contains(lower(s), 'we propose')::INT + contains(lower(s), 'we present')::INT + contains(lower(s), 'et al.')::INT) >= 5 AS article, len(ls) AS n_lines FROM l""")
 def article_likeness(spark, d):
-    """F48."""
-    s = F.coalesce("text", F.lit(""))
+    """every second document names the sections of an article."""
+    s = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, " Introduction, method, result, discussion; conclusion").otherwise(""))
     lines = F.size(F.filter(F.split(s, "\n"), lambda x: F.btrim(x) != "")).cast("long")
-    return table(spark, d, "documents").select("doc_id", texts.looks_like_article(F.col("text")).alias("article"), lines.alias("n_lines"))
+    return table(spark, d, "documents").select("doc_id", texts.looks_like_article(s).alias("article"), lines.alias("n_lines"))
 
 
 @query(r"""
-WITH l AS (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'https://creativecommons.org/licenses/by/4.0/' WHEN 1 THEN 'CC BY-NC-ND 4.0' WHEN 2 THEN 'cc0' WHEN 3 THEN 'CC_BY_SA' WHEN 4 THEN '' WHEN 5 THEN 'Elsevier user license' WHEN 6 THEN 'https://creativecommons.org/licenses/by-sa/3.0/' ELSE 'CC-BY-ND-v3.0' END AS raw FROM customer)
-SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'CC BY' WHEN 1 THEN 'CC BY-NC-ND' WHEN 2 THEN 'CC0' WHEN 3 THEN 'CC BY-SA' WHEN 4 THEN '' WHEN 5 THEN 'Elsevier user license' WHEN 6 THEN 'CC BY-SA' ELSE 'CC BY-ND' END AS label,
-  CASE c_custkey % 8 WHEN 0 THEN 'CC BY' WHEN 6 THEN 'CC BY-SA' ELSE '' END AS from_url, c_custkey % 8 IN (1, 7) AS restricted FROM l""")
+WITH k AS (SELECT c_custkey, c_custkey % 2 = 1 AS nc, c_custkey % 3 = 0 AS nd, c_custkey % 4 < 2 AS sa, c_custkey % 5 AS form FROM customer)
+SELECT c_custkey, CASE WHEN form = 4 THEN CASE WHEN sa THEN 'CC BY-SA' ELSE 'CC BY' END WHEN form = 3 THEN CASE WHEN nd THEN 'CC0' ELSE 'Licence of nation ' || c_custkey END ELSE 'CC BY' || CASE WHEN nc THEN '-NC' ELSE '' END || CASE WHEN nd THEN '-ND' WHEN sa THEN '-SA' ELSE '' END END AS label,
+  CASE WHEN form = 4 THEN CASE WHEN sa THEN 'CC BY-SA' ELSE 'CC BY' END ELSE '' END AS from_url, form IN (0, 2) AND (nc OR nd) AS restricted FROM k""")
 def license_labels(spark, d):
-    """licence names by customer key."""
-    raws = ["https://creativecommons.org/licenses/by/4.0/", "CC BY-NC-ND 4.0", "cc0", "CC_BY_SA", "", "Elsevier user license", "https://creativecommons.org/licenses/by-sa/3.0/", "CC-BY-ND-v3.0"]
-    raw = F.element_at(F.array(*map(F.lit, raws)), (F.col("c_custkey") % 8 + 1).cast("int"))
+    """licences put together from parts by customer key: three spellings, others' names, exact URLs."""
+    k = F.col("c_custkey")
+    nc, nd, sa, form = k % 2 == 1, k % 3 == 0, k % 4 < 2, k % 5
+    sep = F.element_at(F.array(F.lit("-"), F.lit("_"), F.lit(" "), F.lit("-"), F.lit("-")), (form + 1).cast("int"))
+    name = F.concat_ws("|", F.lit("CC"), F.lit("by"), F.when(nc, "NC"), F.when(nd, "nd"), F.when(sa, "SA"), F.lit("v4.0"))
+    url = F.concat(F.lit("https://creativecommons.org/licenses/"), F.when(sa, "by-sa").otherwise("by"), F.lit("/4.0/"))
+    other = F.when(nd, "CC0").otherwise(F.concat(F.lit("Licence of nation "), k.cast("string")))
+    raw = F.when(form == 4, url).when(form == 3, other).otherwise(F.replace(name, F.lit("|"), sep))
     return table(spark, d, "customer").select("c_custkey", rights.license_label(raw).alias("label"), rights.license_url(raw).alias("from_url"), rights.is_restricted(raw).alias("restricted"))
 
 
@@ -666,16 +677,21 @@ def silent_by_month(spark, d):
     return aggregates.flag_counts(p, F.substring("date", 1, 7).alias("month"), silent=silent, failed=failed, candidate=quality.is_candidate(silent, failed, False))
 
 
-@query("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part WHERE p_size > 25) GROUP BY 1")
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY 1")
 def tag_usage(spark, d):
     """Words of names as tags of marks."""
-    return search.tag_usage(table(spark, d, "part").filter("p_size > 25").select(F.split("p_name", " ").alias("tags")))
+    return search.tag_usage(table(spark, d, "part").select(F.split("p_name", " ").alias("tags")))
 
 
-@query(f"WITH p AS ({_PAPERS}) SELECT max(date) || 'T00:00:00Z' AS generated_at FROM p")
+@query(f"WITH p AS ({_PAPERS}) SELECT 'bucket' AS told_by, max(date) || 'T00:00:00Z' AS generated_at FROM p UNION ALL SELECT 'first_seen', max(date || 'T12:34:' || lpad(CAST(id % 60 AS VARCHAR), 2, '0') || 'Z') FROM p")
 def corpus_cutoff(spark, d):
-    """No paper says when it was first seen, so the last bucket counts."""
-    return aggregates.corpus_cutoff(_papers(spark, d).select(F.lit("").alias("first_seen_at"), F.col("date").alias("bucket_date")))
+    """Where no paper says when it was first seen, the last bucket counts, else the last first sight."""
+    p, out = _papers(spark, d), None
+    seen = F.concat("date", F.lit("T12:34:"), F.lpad((F.col("id") % 60).cast("string"), 2, "0"), F.lit("Z"))
+    for name, first in (("bucket", F.lit("")), ("first_seen", seen)):
+        one = aggregates.corpus_cutoff(p.select(first.alias("first_seen_at"), F.col("date").alias("bucket_date"))).select(F.lit(name).alias("told_by"), "generated_at")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"WITH p AS ({_PAPERS}) SELECT direction, count(*) FILTER (WHERE source = 's0') AS s0, count(*) FILTER (WHERE source = 's1') AS s1, count(*) FILTER (WHERE source = 's2') AS s2 FROM p GROUP BY 1")
@@ -760,15 +776,14 @@ def query_terms(spark, d):
     return joins.query_terms(config, ["brand", "word"])
 
 
-@query("""
-WITH t AS (SELECT * FROM (VALUES ('Image by Jane Doe', TRUE), ('Photo by NASA', TRUE), ('Taken from the Smith archive', TRUE), ('From Smith et al.', TRUE), ('Illustration from Shutterstock', TRUE), ('Figure by inverse Fourier transform', FALSE),
-  ('Taken from the dataset', FALSE), ('Mesh of the implant stem', FALSE), ('Reference measurements from Lee et al.', TRUE), ('Diagram made by 王明', TRUE)) v(caption, credited))
-SELECT n_nationkey, caption, credited FROM nation, t""")
+@query(r"""
+WITH t AS (SELECT doc_id, doc_id % 3 AS k, trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS s FROM documents),
+r AS (SELECT *, regexp_matches(lower(s), '©|\bcopyright(ed)?\b|all rights reserved|\bwith (kind )?permission\b|\bcourtesy( ?:| of\b)') AS told FROM t)
+SELECT doc_id, CASE WHEN k = 1 THEN told OR regexp_matches(s, '^[\p{L}\p{N}_]') ELSE told END AS credited FROM r""")
 def caption_rights(spark, d):
-    """credits and scientific prose, on every nation."""
-    captions = ["Image by Jane Doe", "Photo by NASA", "Taken from the Smith archive", "From Smith et al.", "Illustration from Shutterstock", "Figure by inverse Fourier transform", "Taken from the dataset", "Mesh of the implant stem", "Reference measurements from Lee et al.", "Diagram made by 王明"]
-    rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, captions))).alias("caption"))
-    return rows.select("n_nationkey", "caption", rights.third_party_rights(F.col("caption")).alias("credited"))
+    """documents as captions: as they are, as what a photo is by, and as what a method is by."""
+    said = F.when(F.col("doc_id") % 3 == 1, "Photo by ").when(F.col("doc_id") % 3 == 2, "Figure by using ").otherwise("")
+    return table(spark, d, "documents").select("doc_id", rights.third_party_rights(F.concat(said, F.coalesce("text", F.lit("")))).alias("credited"))
 
 
 @query("""
