@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import hamming
+from corpuscle.llm.bpe import _Memo as Memo
 from corpuscle.llm.bpe import slices
 from corpuscle.llm.components import components
 from corpuscle.runtime import Scratch, prepare, table
@@ -52,33 +53,40 @@ B, RATE, LARGEST = 1.001, 20.0, 65535
 #: Standard deviations below the threshold that an estimate may have.
 MARGIN = 4.5
 #: Bands whose components are found before the rest; classes of a bucket above which it is cut.
-FIRST, SPLIT = 3, 128
+FIRST, SPLIT = 3, 256
 #: Classes joined by broadcast, at most; classes up to which the list of wanted sets is broadcast, so that
 #: the texts need no shuffle.
 LARGE, WANTED = 10_000, 250_000
 _RNG = np.random.default_rng(1203)
 _TIMES, _PLUS = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
+#: Odd factors of a shingle's places, the last one for mixing; hashes of words met so far.
+_PLACES = _RNG.integers(0, 1 << 63, 9, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WORDS = Memo(xxhash.xxh64_intdigest)
 #: Shingles worked on at once.
-_CHUNK = 1024
+_CHUNK = 64
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    digest, parts, kept = xxhash.xxh64_intdigest, [], []
+    """Sorted 64-bit hashes of the distinct shingles: sums of the words' hashes times a factor for each
+    place, mixed. Words are hashed once and remembered."""
+    parts, kept = [], []
     for part in slices((text or "").encode().lower()):
         words = kept + part.split()  # shingles run on from one part into the next
         n = len(words) - width + 1
         kept = words[-(width - 1) :] if width > 1 else []
         if n < 1:
             continue
-        run = b" ".join(words)
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(length + 1) - 1
-        starts, ends = (ends - length)[:n].tolist(), ends[width - 1 :].tolist()
-        parts.append(np.unique(np.array([digest(run[a:b]) for a, b in zip(starts, ends)], np.uint64)))
+        word = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+        own = word[:n] * _PLACES[0]
+        for k in range(1, width):
+            own += word[k : n + k] * _PLACES[k % 8] + np.uint64(k)
+        own ^= own >> np.uint64(32)
+        own *= _PLACES[-1]
+        own ^= own >> np.uint64(29)
+        parts.append(np.unique(own))
     if parts:
         return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
-    return np.array([digest(b" ".join(kept))] if kept else [], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(b" ".join(kept))] if kept else [], np.uint64)
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
