@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.functions import dates, figures, identity, rights
+from corpuscle.functions import dates, figures, identity, media, quality, rights, routing
 from corpuscle.functions import text as texts
-from corpuscle.operators import joins, paging, windows
+from corpuscle.operators import aggregates, dedup, joins, paging, search, windows
 from corpuscle.plans.catalog import _PAPERS, _papers, query
 from corpuscle.runtime import shared_dir, table
 from corpuscle.sources import buckets, readers, sinks
@@ -94,6 +94,24 @@ def merged_buckets(spark, d):
     return out.select("bucket", "n_rows", F.coalesce(F.try_element_at("counts", F.lit("1-URGENT")), F.lit(0)).alias("urgent"))
 
 
+@query("""
+WITH m AS (SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS bucket, o_orderpriority AS p FROM orders)
+SELECT bucket, CASE WHEN month(bucket::DATE) = 1 THEN 7 ELSE count(*) END AS n_rows, count(*) AS expected_rows, count(*) FILTER (p = '1-URGENT') AS urgent FROM m WHERE month(bucket::DATE) IN (1, 2) GROUP BY bucket""")
+def repaired_counts(spark, d):
+    """Months of orders as buckets; each January's rows and each February's kinds are miscounted, found
+    and mended. What stands afterwards is right, or the query fails."""
+    rows = table(spark, d, "orders").select(F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd").alias("bucket_date"), F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderpriority").alias("priority"))
+    root = _folder(spark, "recount")
+    held = buckets.merge(spark, root, rows, "bucket_date", ["key"], ["key"], "priority")
+    month = F.substring("bucket", 6, 2)
+    wrong = held.withColumn("n_rows", F.when(month == "01", 7).otherwise(F.col("n_rows"))).withColumn("counts", F.when(month == "02", F.create_map(F.lit("none"), F.lit(1).cast("long"))).otherwise(F.col("counts")))
+    sinks.replace_atomically(spark, wrong, f"{root}/manifest")
+    found = buckets.recount(spark, root, rows.schema, "bucket_date", "priority", apply=True)
+    if not buckets.recount(spark, root, rows.schema, "bucket_date", "priority").isEmpty():
+        raise RuntimeError("counts are wrong after the repair")
+    return found.select("bucket", "n_rows", "expected_rows", F.coalesce(F.try_element_at("expected", F.lit("1-URGENT")), F.lit(0)).alias("urgent"))
+
+
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def keyed_first_seen(spark, d):
     """Events as a file stream; the first of each user and type, by keyed state."""
@@ -308,3 +326,176 @@ def author_names(spark, d):
     name = texts.author_name(F.concat(F.lit("Dr "), F.replace(F.col("c_name"), F.lit("#"), F.lit(" "))))
     day = F.date_add(F.lit("1996-01-01").cast("date"), (F.col("c_custkey") % 90).cast("int")).cast("string")
     return table(spark, d, "customer").select("c_custkey", name["first"].alias("first_name"), name["last"].alias("last_name"), dates.in_window(day, "1996-02-01", "1996-02-29").alias("inside"))
+
+
+@query("""
+WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS bucket_date, o_orderstatus AS source, CASE WHEN o_custkey % 3 > 0 THEN 'd' || o_custkey % 4 ELSE '' END AS direction, CASE WHEN o_custkey % 6 = 0 THEN 'Named' END AS name, o_orderpriority AS p FROM orders)
+SELECT bucket_date, count(*) AS total, count(*) FILTER (p <> '5-LOW') AS scored, count(*) FILTER (source = 'F') AS finished, count(*) FILTER (direction = 'd1') AS d1, count(*) FILTER (direction = '' AND name = 'Named') AS named, count(*) FILTER (p = '1-URGENT') AS urgent FROM o GROUP BY 1""")
+def bucket_blocks(spark, d):
+    """The counts block of months of orders; some have a direction, some only its name, some neither."""
+    c = F.col("o_custkey")
+    rows = table(spark, d, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("bucket_date"), F.col("o_orderstatus").alias("source"), F.when(c % 3 > 0, F.concat(F.lit("d"), (c % 4).cast("string"))).otherwise("").alias("direction"),
+        F.when(c % 6 == 0, "Named").alias("direction_name"), F.array().cast("array<string>").alias("directions"), F.col("o_orderpriority").alias("priority"), (F.col("o_orderpriority") != "5-LOW").alias("scored"),
+    )
+    n = lambda block, key: F.coalesce(F.try_element_at(block, F.lit(key)), F.lit(0))
+    out = aggregates.bucket_counts(rows)
+    return out.select("bucket_date", "total", "scored", n("by_source", "F").alias("finished"), n("by_direction", "d1").alias("d1"), n("by_direction", "Named").alias("named"), n("priority_counts", "1-URGENT").alias("urgent"))
+
+
+@query("""
+WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS b, CASE WHEN o_custkey % 3 > 0 THEN ['d' || o_custkey % 4] WHEN o_custkey % 6 = 0 THEN ['d1', 'd2'] ELSE [] END AS ds FROM orders)
+SELECT b AS bucket_date, count(*) AS total, coalesce(sum(list_contains(ds, 'd1')::INT), 0)::BIGINT AS d1, coalesce(sum(list_contains(ds, 'd2')::INT), 0)::BIGINT AS d2 FROM p GROUP BY 1""")
+def bucket_blocks_each(spark, d):
+    """Rows without a direction count once for each of their directions."""
+    c = F.col("o_custkey")
+    rows = table(spark, d, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("bucket_date"), F.col("o_orderstatus").alias("source"), F.when(c % 3 > 0, F.concat(F.lit("d"), (c % 4).cast("string"))).alias("direction"),
+        F.lit("").alias("direction_name"), F.when(c % 6 == 0, F.array(F.lit("d1"), F.lit("d2"))).alias("directions"), F.col("o_orderpriority").alias("priority"), F.lit(True).alias("scored"),
+    )
+    n = lambda key: F.coalesce(F.try_element_at("by_direction", F.lit(key)), F.lit(0))
+    return aggregates.bucket_counts(rows, by_each_direction=True).select("bucket_date", "total", n("d1").alias("d1"), n("d2").alias("d2"))
+
+
+@query("WITH b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), k AS (SELECT c_custkey, c_custkey IN (SELECT user_id FROM b) AS other FROM customer) SELECT count(*) FILTER (NOT other) AS kept, min(c_custkey) FILTER (NOT other) AS first_kept, count(*) FILTER (other) AS suppressed FROM k")
+def without_backfill(spark, d):
+    """Customers that runs other than daily ones (errors of users) have observed go, and are counted."""
+    log = table(spark, d, "events").select(F.col("user_id").alias("doi_or_arxiv_id"), F.when(F.col("event_type") == "error", "backfill").otherwise("daily").alias("run_type"))
+    kept, gone = joins.without_backfill(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), log, "key")
+    return kept.agg(F.count("*").alias("kept"), F.min("key").alias("first_kept")).join(gone)
+
+
+@query("""
+WITH o AS (SELECT c_nationkey AS venue, list(DISTINCT c_custkey % 13) AS a FROM customer WHERE c_nationkey % 4 > 0 GROUP BY 1), n AS (SELECT c_nationkey AS venue, list(DISTINCT c_custkey % 17) AS b FROM customer WHERE c_nationkey % 3 > 0 GROUP BY 1)
+SELECT n.venue, len(list_distinct(list_concat(coalesce(a, []), b))) AS n_positions, greatest(CASE WHEN a IS NOT NULL THEN 4 END, n.venue % 7)::INTEGER AS skipped_known FROM n LEFT JOIN o ON o.venue = n.venue""")
+def merged_reports(spark, d):
+    """Two reports of nations, the later one without every third: positions unite, skipped ones are not
+    counted twice."""
+    c, j = table(spark, d, "customer"), F.col("c_nationkey").alias("venue")
+    old = c.filter("c_nationkey % 4 > 0").groupBy(j).agg(F.collect_set((F.col("c_custkey") % 13).cast("int")).alias("positions")).select("venue", "positions", F.lit(4).alias("skipped_known"))
+    new = c.filter("c_nationkey % 3 > 0").groupBy(j).agg(F.collect_set((F.col("c_custkey") % 17).cast("int")).alias("positions")).select("venue", "positions", (F.col("venue") % 7).cast("int").alias("skipped_known"))
+    return joins.merge_reports(old, new, "venue").select("venue", F.size("positions").cast("long").alias("n_positions"), "skipped_known")
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_size FROM part)
+SELECT p_partkey, CASE WHEN p_size > 40 THEN NULL WHEN p_size % 2 = 0 THEN 'm/F' || p_size || '.jpg' ELSE 'm/F' || p_size || '.png' END AS path FROM r""")
+def matched_media(spark, d):
+    """parts' pictures by name, else by stem; sizes above 40 have no file."""
+    p, size = table(spark, d, "part"), F.col("p_size").cast("string")
+    refs = p.select("p_partkey", F.concat(F.lit("F"), size, F.when(F.col("p_partkey") % 3 == 0, ".jpg").when(F.col("p_partkey") % 3 == 1, ".gif").otherwise(".tif")).alias("name"))
+    files = p.filter("p_size <= 40").select("p_size").distinct().select(F.concat(F.lit("m/F"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, ".jpg").otherwise(".png")).alias("path"))
+    return joins.match_media(refs, files).select("p_partkey", "path")
+
+
+@query("""
+WITH a AS (SELECT c_nationkey AS d, list(DISTINCT c_mktsegment) AS kw FROM customer WHERE c_nationkey < 20 AND c_acctbal > 8000 GROUP BY 1), b AS (SELECT s_nationkey AS d, ['BUILDING', 'new'] AS kw FROM supplier WHERE s_nationkey > 4 GROUP BY 1)
+SELECT coalesce(a.d, b.d) AS direction, CASE WHEN a.d IS NULL THEN 'added' WHEN b.d IS NULL THEN 'removed' ELSE 'kept' END AS status, CASE WHEN a.d IS NULL OR b.d IS NULL THEN 0 ELSE len(list_filter(b.kw, lambda x: NOT list_contains(a.kw, x))) END AS n_added, CASE WHEN a.d IS NULL OR b.d IS NULL THEN 0 ELSE len(list_filter(a.kw, lambda x: NOT list_contains(b.kw, x))) END AS n_removed FROM a FULL JOIN b ON a.d = b.d""")
+def config_changes(spark, d):
+    """Nations as directions, segments as keywords, before and after; lists are compared where a
+    direction stands in both."""
+    old = table(spark, d, "customer").filter("c_nationkey < 20 and c_acctbal > 8000").groupBy(F.col("c_nationkey").alias("direction")).agg(F.collect_set("c_mktsegment").alias("kw"))
+    new = table(spark, d, "supplier").filter("s_nationkey > 4").select(F.col("s_nationkey").alias("direction")).distinct().withColumn("kw", F.array(F.lit("BUILDING"), F.lit("new")))
+    out = joins.config_diff(old, new, "direction", ["kw"])
+    n = lambda c: F.when(F.col("status") == "kept", F.size(c)).otherwise(0).cast("long")
+    return out.select("direction", "status", n("kw_added").alias("n_added"), n("kw_removed").alias("n_removed"))
+
+
+@query(f"""
+WITH p AS ({_PAPERS}), m AS (SELECT id, CASE id % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'to-read' WHEN 2 THEN '' END AS state, CASE WHEN id % 3 = 0 THEN ['mesh'] ELSE ['other'] END AS tags FROM p WHERE id % 4 < 3)
+SELECT p.id, coalesce(nullif(m.state, ''), 'none') AS shown FROM p LEFT JOIN m USING (id) WHERE coalesce(nullif(m.state, ''), 'none') IN ('read', 'none') AND p.direction = 'BUILDING' AND (m.tags IS NULL OR NOT list_contains(m.tags, 'other'))""")
+def marked_rows(spark, d):
+    """Q04, Q05: a direction's papers that are read or unmarked; two passes, one of them narrowed by a tag."""
+    p, k = _papers(spark, d).select(F.col("id").alias("key"), "direction"), F.col("key")
+    marks = p.filter("key % 4 < 3").select("key", F.when(k % 4 == 0, "read").when(k % 4 == 1, "to-read").otherwise("").alias("state"), F.when(k % 3 == 0, F.array(F.lit("mesh"))).otherwise(F.array(F.lit("other"))).alias("tags"))
+    rows = p.filter(search.facet_filter({"direction": "BUILDING"}))
+    tagged = search.with_marks(rows, marks, ["read", "none"], ["mesh"])
+    bare = search.with_marks(rows, marks, ["none"], []).filter("mark_tags is null")
+    return tagged.unionByName(bare).select(k.alias("id"), F.coalesce(F.nullif("state", F.lit("")), F.lit("none")).alias("shown"))
+
+
+@query(f"""
+WITH p AS ({_PAPERS}) SELECT id FROM p WHERE id % 3 > 0 AND contains(lower(title || ' ' || direction), 'build') AND contains(lower(title || ' ' || direction), '00') AND source = 's1'""")
+def reading_tab(spark, d):
+    """Marks of a tab with a tag whose text has every term."""
+    k = F.col("id")
+    marks = _papers(spark, d).select(k.alias("key"), "title", F.lit("").alias("note"), "direction", F.when(k % 3 > 0, "to-read").otherwise("read").alias("state"), F.array("source").alias("tags"), F.col("date").alias("at"))
+    return search.reading_list(marks, "to-read", "s1", " Build  00 ").select(F.col("key").alias("id"))
+
+
+@query(f"WITH p AS ({_PAPERS}) SELECT id, CASE WHEN id % 6 = 0 THEN 'Unscored' WHEN priority IS NULL THEN 'Low' ELSE priority END AS shown, CASE WHEN id % 6 = 0 THEN 'Unscored' ELSE priority END AS counted FROM p")
+def shown_priorities(spark, d):
+    """priorities as they are shown and as the public view counts them; every sixth paper failed."""
+    failed = F.col("id") % 6 == 0
+    return _papers(spark, d).select("id", routing.display_priority(F.col("priority"), failed).alias("shown"), routing.public_priority(F.col("priority"), failed).alias("counted"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t, role FROM conversations), w AS (SELECT *, (length(trim(t)) < 10 OR regexp_matches(t, '^\s*The'))::INT AS a, (length(role) < 10 OR role = 'assistant')::INT AS b FROM t)
+SELECT conv_id, turn, role, CASE WHEN 2 * a + b = 0 THEN 'substantive' WHEN 2 * a + b >= 3 THEN 'vague_or_empty' ELSE 'partly_vague' END AS verdict FROM w""")
+def summary_substance(spark, d):
+    """a turn twice and its role as the fields of a summary."""
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", quality.substance([F.col("text"), F.col("text"), F.col("role")], ["The"]).alias("verdict"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'fr' ELSE 'xx' END AS own, lower(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT *, contains(b, 'nicht')::INT + contains(b, 'und')::INT AS de, contains(b, 'the')::INT + contains(b, 'with')::INT AS en, contains(b, 'les')::INT + contains(b, 'dans')::INT AS fr FROM t),
+m AS (SELECT *, CASE own WHEN 'de' THEN de WHEN 'en' THEN en WHEN 'fr' THEN fr ELSE 0 END AS mine, greatest(CASE WHEN own <> 'de' THEN de ELSE -1 END, CASE WHEN own <> 'en' THEN en ELSE -1 END, CASE WHEN own <> 'fr' THEN fr ELSE -1 END) AS other FROM n)
+SELECT doc_id, CASE WHEN own = 'xx' OR (mine = 0 AND other = 0) THEN 'questionable' WHEN mine >= other THEN 'appropriate' WHEN mine = 0 THEN 'likely_misrouted' WHEN mine >= other * 0.5 THEN 'appropriate' ELSE 'questionable' END AS verdict FROM m""")
+def routing_verdicts(spark, d):
+    """made-up directions of documents against their words."""
+    k = F.col("doc_id") % 4
+    own = F.when(k == 0, "de").when(k == 1, "en").when(k == 2, "fr").otherwise("xx")
+    words = {"de": ["nicht", "und"], "en": ["the", "with"], "fr": ["les", "dans"]}
+    return table(spark, d, "documents").select("doc_id", quality.routing_verdict(own, F.col("text"), words)["verdict"].alias("verdict"))
+
+
+@query(r"""
+SELECT conv_id, turn, role, replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS html FROM conversations""")
+def escaped_turns(spark, d):
+    """turns as HTML text."""
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", texts.escape_html(F.coalesce("text", F.lit(""))).alias("html"))
+
+
+@query("SELECT doc_id, concat_ws(' ', nullif(lang, ''), nullif(source, ''), 'x', CAST(n_chars AS VARCHAR)) AS flat FROM documents")
+def flattened(spark, d):
+    """documents' fields as nested lists and objects, flattened to one text."""
+    inner = F.to_json(F.struct(F.struct("lang").alias("a"), F.array(F.struct("source")).alias("b"), F.array(F.lit(""), F.lit("x")).alias("c"), F.struct(F.struct("n_chars").alias("n")).alias("d")))
+    return table(spark, d, "documents").select("doc_id", texts.flatten(F.parse_json(inner)).alias("flat"))
+
+
+@query("SELECT event_type AS day, event_type <> 'error' AS written, CASE WHEN event_type <> 'error' THEN count(*) ELSE 0 END AS n FROM events GROUP BY 1")
+def skipped_buckets(spark, d):
+    """Each event type as a bucket; one type's fetch is empty and leaves a marker instead."""
+    rows, path, out = table(spark, d, "events").select("event_id", "event_type"), _folder(spark, "skips"), None
+    for day in sorted(r.event_type for r in rows.select("event_type").distinct().collect()):
+        own = rows.filter((F.col("event_type") == day) & F.lit(day != "error"))
+        written = sinks.write_unless_empty(spark, own, f"{path}/{day}", day)
+        held = spark.read.schema(own.schema).json(sinks.current(spark, f"{path}/{day}")) if written else own
+        one = held.agg(F.lit(day).alias("day"), F.lit(written).alias("written"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT DISTINCT c_nationkey AS key, 'venue ' || c_nationkey AS value FROM customer WHERE c_nationkey % 4 > 0")
+def resolved_batches(spark, d):
+    """Nations of customers resolved three at a time; every fourth is unknown."""
+    resolve = lambda keys: {k: f"venue {k}" for k in keys if int(k) % 4}
+    out = readers.resolve_batches(table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("venue_id")), "venue_id", resolve, 3)
+    return out.select(F.col("key").cast("int").alias("key"), "value")
+
+
+@query("SELECT 'k' || s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'available' WHEN s_suppkey % 3 = 0 THEN 'blocked' ELSE 'not_found' END AS status, CASE WHEN s_suppkey % 2 = 0 THEN 'first' WHEN s_suppkey % 3 = 0 THEN 'second' ELSE NULL END AS provider FROM supplier")
+def resolved_visuals(spark, d):
+    """suppliers' figures by the first of two providers that has one."""
+    first = lambda r: {"status": "available", "provider": "first"} if int(r["key"][1:]) % 2 == 0 else None
+    second = lambda r: {"status": "blocked", "provider": "second"} if int(r["key"][1:]) % 3 == 0 else None
+    return media.resolve_visuals(table(spark, d, "supplier").select(F.concat(F.lit("k"), "s_suppkey").alias("key")), [first, second], "key string, status string, provider string")
+
+
+@query("SELECT key, min_by(title, (run, pos)) AS title FROM (SELECT 'c' || o_custkey AS key, o_orderstatus AS run, o_orderkey AS pos, o_orderpriority AS title FROM orders) GROUP BY 1")
+def migrated_firsts(spark, d):
+    """Order statuses as run files in order of time; the first of each key wins."""
+    rows = table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("key"), F.col("o_orderstatus").alias("run"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("title"))
+    return dedup.first_wins(rows, "key", [F.col("run"), F.col("pos")], keep_empty=False).select("key", "title")

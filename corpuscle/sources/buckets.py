@@ -70,3 +70,22 @@ def merge(spark: SparkSession, root: str, new: DataFrame, bucket: str, keys: lis
     now = was.join(touched, "bucket", "left_anti").unionByName(entries)
     replace_atomically(spark, now.coalesce(1), f"{root}/manifest")  # a row a bucket
     return manifest(spark, root)
+
+
+def recount(spark: SparkSession, root: str, schema: T.StructType, bucket: str, kind: str, apply: bool = False) -> DataFrame:
+    """(bucket, n_rows, counts, expected_rows, expected) of the buckets whose derived counts differ
+    from a recount of their rows. With apply the manifest gets the recounted ones for these buckets, in
+    one step; rows, folders and all other entries stay as they are. An empty bucket counts no row."""
+    named = manifest(spark, root)
+    rows = read(spark, root, schema)
+    by_kind = rows.groupBy(F.col(bucket).alias("bucket"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("kind")).agg(F.count("*").alias("n"))
+    entries = lambda c: F.array_sort(F.map_entries(c))
+    made = by_kind.groupBy("bucket").agg(F.sum("n").alias("expected_rows"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("expected"))
+    both = named.join(made, "bucket", "left").withColumns({"expected_rows": F.coalesce("expected_rows", F.lit(0)), "expected": F.coalesce("expected", F.create_map().cast("map<string,bigint>"))})
+    wrong = both.filter((F.coalesce("n_rows", F.lit(-1)) != F.col("expected_rows")) | ~entries(F.col("counts")).eqNullSafe(entries(F.col("expected"))))
+    found = wrong.select("bucket", "n_rows", "counts", "expected_rows", "expected").collect()  # a row a bucket
+    out = spark.createDataFrame(found, "bucket string, n_rows long, counts map<string,long>, expected_rows long, expected map<string,long>")
+    if apply and found:
+        fixed = out.join(named.select("bucket", "folder"), "bucket").select("bucket", "folder", F.col("expected_rows").alias("n_rows"), F.col("expected").alias("counts"))
+        replace_atomically(spark, named.join(out.select("bucket"), "bucket", "left_anti").unionByName(fixed).coalesce(1), f"{root}/manifest")
+    return out

@@ -152,6 +152,23 @@ def test_a_merge_that_fails_leaves_the_table_as_it_was(spark, tmp_path):
     assert [r.key for r in buckets.read(spark, root, good.schema).collect()] == ["a"]
 
 
+def test_a_repair_touches_wrong_counts_only(spark, tmp_path):
+    from corpuscle.sources.sinks import replace_atomically
+
+    root = f"file://{tmp_path}/table"
+    rows = spark.createDataFrame([("2024-01-01", "a", "t", "High"), ("2024-01-01", "b", "t", None), ("2024-01-02", "a", "t", "Low"), ("2024-01-03", "a", "t", "Low")], PAPERS)
+    buckets.merge(spark, root, rows, "bucket_date", ["key"], ["title"], "priority")
+    check = lambda **kw: buckets.recount(spark, root, rows.schema, "bucket_date", "priority", **kw).collect()
+    assert check() == []
+    was = buckets.manifest(spark, root)
+    wrong = was.withColumn("counts", F.when(F.col("bucket") == "2024-01-01", F.create_map(F.lit("High"), F.lit(2).cast("long"))).otherwise(F.col("counts"))).withColumn("n_rows", F.when(F.col("bucket") == "2024-01-02", 9).otherwise(F.col("n_rows")))
+    replace_atomically(spark, wrong, f"{root}/manifest")
+    found = {r.bucket: (r.n_rows, r.counts, r.expected_rows, r.expected) for r in check()}
+    assert found == {"2024-01-01": (2, {"High": 2}, 2, {"High": 1, "": 1}), "2024-01-02": (9, {"Low": 1}, 1, {"Low": 1})}
+    assert len(check(apply=True)) == 2 and check() == []
+    assert {r.bucket: r.n_rows for r in buckets.manifest(spark, root).collect()} == {"2024-01-01": 2, "2024-01-02": 1, "2024-01-03": 1}
+
+
 # --- library sync -----------------------------------------------------------------------------------
 
 
