@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -21,12 +22,11 @@ def buckets(spark: SparkSession, path: str, start: str | None = None, end: str |
     """(bucket_date, position, paper fields) of every day file in a folder, within the
     closed range. A file is an object with papers, a bare list, or garbage, which gives no rows.
     Positions are taken once, here."""
-    files = spark.read.option("wholetext", True).text(path, pathGlobFilter="*.json")
+    paths = day_paths(spark, path, start, end) if start or end else [path]
+    if not paths:
+        return spark.createDataFrame([], "bucket_date string, position int, " + schema)
+    files = spark.read.option("wholetext", True).text(paths, pathGlobFilter="*.json")
     files = files.select(F.regexp_extract(F.input_file_name(), BUCKET, 1).alias("bucket_date"), "value").filter("bucket_date <> ''")
-    if start:
-        files = files.filter(F.col("bucket_date") >= start)
-    if end:
-        files = files.filter(F.col("bucket_date") <= end)
     rows = "array<struct<" + ", ".join(_fields(schema)) + ">>"
     lean = F.btrim("value", F.lit(" \t\r\n﻿"))
     object_ = F.from_json("value", f"struct<papers:{rows}>")["papers"]
@@ -37,6 +37,15 @@ def buckets(spark: SparkSession, path: str, start: str | None = None, end: str |
     return out.filter("p is not null").select("bucket_date", "position", "p.*")
 
 
+def day_paths(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> list[str]:
+    """The day files of a folder within the closed range, in order. Names alone tell, so files out of
+    the range are never opened; a folder holds a file a day."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = [f.getPath() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    days = sorted((m[1], p.toString()) for p in found if (m := re.search(BUCKET, p.getName())))
+    return [p for day, p in days if (not start or day >= start) and (not end or day <= end)]
+
+
 def _fields(schema: str) -> list[str]:
     return [f"{f.name}:{f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields]
 

@@ -256,6 +256,8 @@ def test_buckets_tolerate_any_file(spark, tmp_path):
     got = readers.buckets(spark, str(tmp_path)).select("bucket_date", "position", "id", "llm.priority").collect()
     assert sorted(map(tuple, got), key=str) == [("2024-01-01", 0, "1", "High"), ("2024-01-01", 1, "2", None), ("2024-01-02", 0, "1", "High")]
     assert readers.buckets(spark, str(tmp_path), start="2024-01-02").count() == 1
+    assert [f.rsplit("/")[-1] for f in readers.buckets(spark, str(tmp_path), start="2024-01-02", end="2024-01-02").inputFiles()] == ["2024-01-02.json"]
+    assert readers.buckets(spark, str(tmp_path), start="2030-01-01").count() == 0 and "llm" in readers.buckets(spark, str(tmp_path), start="2030-01-01").columns
     assert [r.bucket_date for r in readers.corrupt_buckets(spark, str(tmp_path)).collect()] == ["2024-01-03"]
     (tmp_path / "list.tsv").write_text("# c\n\n10.1/a\tmust_read\thip\n10.1/b\n")
     assert [tuple(r) for r in readers.listed_ids(spark, str(tmp_path / "list.tsv")).collect()] == [("10.1/a", "must_read", "hip"), ("10.1/b", "", "")]
