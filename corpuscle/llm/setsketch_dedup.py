@@ -58,12 +58,12 @@ FIRST, SPLIT = 3, 256
 #: the texts need no shuffle.
 LARGE, WANTED = 10_000, 250_000
 _RNG = np.random.default_rng(1203)
-_TIMES, _PLUS = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
+_TIMES, _PLUS = _RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 #: Odd factors of a shingle's places, the last one for mixing; hashes of words met so far.
 _PLACES = _RNG.integers(0, 1 << 63, 9, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS = Memo(xxhash.xxh64_intdigest)
 #: Shingles worked on at once.
-_CHUNK = 64
+_CHUNK = 256
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -90,16 +90,17 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """The sketch of a set of hashes; all zero for the empty set."""
+    """The sketch of a set of hashes; all zero for the empty set. A register's variate comes from 32 bits,
+    which for sets of many millions can only make registers more often equal."""
     if not len(hashes):
         return np.zeros(REGISTERS, np.uint16)
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(hashes), _CHUNK):
-        x = np.multiply.outer(hashes[a : a + _CHUNK], _TIMES)
+    least, high = np.full(REGISTERS, np.iinfo(np.uint32).max, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(high), _CHUNK):
+        x = np.multiply.outer(high[a : a + _CHUNK], _TIMES)
         x += _PLUS
         np.minimum(least, x.min(axis=0), out=least)
-    variate = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
-    return np.clip(np.floor(1 - np.log(np.maximum(variate, 1e-300)) / np.log(B)), 0, LARGEST).astype(np.uint16)
+    variate = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
+    return np.clip(np.floor(1 - np.log(variate) / np.log(B)), 0, LARGEST).astype(np.uint16)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
