@@ -15,8 +15,8 @@ each length as buckets (HOT at least). Counts of a beginning shorter than its ke
 are summed over the buckets; all others are final where they are counted, and what is below LEAST
 goes no further. The sample decides how rows are dealt out, never what counts.
 
-Words keep their bytes; in a suffix each ends with a space, so that a suffix's beginnings are the
-beginnings of its bytes and order of bytes keeps them together.
+A run holds numbers of its own list of words. Where runs meet, words get numbers in order of their
+bytes, so the order of numbers is the order of words, and everything is sorted and compared as arrays.
 
 Defined results: a null text is empty and gives nothing; a null part is UNKNOWN, as is that value
 itself; repeated rows count again; ties rank by the phrase's bytes; an empty table, or one without
@@ -26,7 +26,6 @@ parts of a megabyte.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -49,100 +48,134 @@ HOT, SHARE = 512, 128
 #: Buckets for each shuffle partition.
 SPREAD = 8
 UNKNOWN = "und"
-#: Distinct suffixes that a task sums before it lets them go.
-HELD = 500_000
-#: Bytes of a suffix that are compared as arrays; the few longer ones are compared one by one.
-WIDE = 48
+#: Words whose suffixes a task sums before it lets them go.
+HELD = 1_000_000
+#: Odd factors of a key's words, the last one for mixing.
+_PLACES = np.random.default_rng(13).integers(0, 1 << 63, 9, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 
 
-def suffixes(text: str | None, width: int = WIDTH) -> Iterator[list[bytes]]:
-    """The suffix of every word occurrence, in lists; each word ends with a space."""
-    left: list[bytes] = []
+class Words(dict):
+    """Numbers of words in order of their first sight, from 1; 0 is the end of a piece."""
+
+    def __init__(self):
+        self[b"\n"] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def numbered(text: str | None) -> Iterator[list[bytes]]:
+    """A text's words in parts that run on into each other, a line end after each piece."""
     for part in slices((text or "").encode().lower()):
-        # a piece ends with a word of its own, so that a part is cut into words at once
-        words = left + [w for w in part.translate(_PIECES).replace(b"\n", b" \n ").split(b" ") if w]
-        # the part's last piece runs on into the next part: its last words wait for what follows
-        n = max(0, len(words) - width + 1)
-        yield from _tails(words, n, width)
-        left = words[n:]
-    yield from _tails(left, len(left), width)
-
-
-def _tails(words: list[bytes], n: int, width: int) -> Iterator[list[bytes]]:
-    """The suffixes of the first n words, those that end a piece aside."""
-    if not n:
-        return
-    run = b" ".join(words) + b" "
-    length = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    start = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(length, out=start[1:])
-    ends = np.frombuffer(run, np.uint8)[start[:-1]] == 10
-    at = np.arange(len(words))
-    stop = np.minimum.accumulate(np.where(ends, at, len(words))[::-1])[::-1]
-    mine = at[:n][~ends[:n]]
-    stop = np.minimum(mine + width, stop[mine])
-    yield [run[a:b] for a, b in zip(start[mine].tolist(), start[stop].tolist())]
-
-
-def _depth(suffix: bytes, hot: frozenset, part: str) -> int:
-    """Words of the shortest beginning that is not hot; one more than it has if all are."""
-    at, depth = suffix.find(b" ") + 1, 1
-    while at and (part, suffix[:at]) in hot:
-        at, depth = suffix.find(b" ", at) + 1, depth + 1
-    return depth
-
-
-def bucketed(part: str, counts: Counter, hot: frozenset, buckets: int) -> dict[tuple[int, int], tuple[list[bytes], list[int]]]:
-    """Suffixes and their counts by (bucket, depth: words of the key), each in order of bytes."""
-    out: dict[tuple[int, int], tuple[list[bytes], list[int]]] = {}
-    seed = xxhash.xxh64_intdigest(part.encode())
-    place = lambda key: xxhash.xxh64_intdigest(key, seed) % buckets
-    order, cuts, head = sorted(counts), [], b"\n"
-    for k, s in enumerate(order):
-        if not s.startswith(head):
-            head = s[: s.find(b" ") + 1]
-            cuts.append(k)
-    n = list(map(counts.__getitem__, order))
-    for a, b in zip(cuts, [*cuts[1:], len(order)]):
-        head = order[a][: order[a].find(b" ") + 1]
-        if (part, head) not in hot:
-            into = out.setdefault((place(head), 1), ([], []))
-            into[0].extend(order[a:b])
-            into[1].extend(n[a:b])
-            continue
-        for k in range(a, b):
-            depth = _depth(order[k], hot, part)
-            into = out.setdefault((place(b" ".join(order[k].split(b" ", depth)[:depth])), depth), ([], []))
-            into[0].append(order[k])
-            into[1].append(n[k])
-    return out
+        yield [w for w in part.translate(_PIECES).replace(b"\n", b" \n ").split(b" ") if w]
+    yield [b"\n"]
+
+
+def suffixes(run: np.ndarray, width: int, waiting: int = 0) -> np.ndarray:
+    """(words, width) numbers: the suffix of every word of a run, with zeros after the piece's end; the
+    last words wait for what follows."""
+    out = np.zeros((len(run), width), np.int64)
+    out[:, 0] = run
+    for k in range(1, width):
+        out[:-k, k] = np.where(out[:-k, k - 1] > 0, run[k:], 0)
+    return out[: max(0, len(run) - waiting)][run[: max(0, len(run) - waiting)] > 0]
+
+
+def unique(rows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(different rows in descending order, their summed counts)."""
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
+    order = np.lexsort(rows.T[::-1])[::-1]
+    rows = rows[order]
+    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
+    return rows[new], np.diff(np.r_[new, len(rows)]) if counts is None else np.add.reduceat(counts[order], new)
+
+
+def dealt(part: str, rows: np.ndarray, words: list[bytes], hot: frozenset, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, depth: words of the key) of suffixes whose numbers are places in words. A key is the
+    shortest beginning that is not hot; the depth is one more than the suffix has words if all are."""
+    hashes = np.array([0, *map(xxhash.xxh64_intdigest, words[1:])], np.uint64)
+    place = {w: k for k, w in enumerate(words)}
+    width = rows.shape[1]
+    depth = np.ones(len(rows), np.int64)
+    known: list[list[list[int]]] = [[] for _ in range(width)]
+    for name, beginning in hot:
+        found = [place.get(w, -1) for w in beginning.split(b" ")[:-1]]
+        if name == part and min(found) > 0:
+            known[len(found) - 1].append(found)
+    code = np.zeros(len(rows), np.int64)
+    for k in range(width - 1):
+        code = code * len(words) + rows[:, k]  # at most three words of a flush, far below 2 ** 63
+        if not known[k]:
+            break
+        codes = [sum(n * len(words) ** (k - i) for i, n in enumerate(f)) for f in known[k]]
+        depth[(depth == k + 1) & np.isin(code, codes)] += 1
+    key = np.full(len(rows), xxhash.xxh64_intdigest(part.encode()), np.uint64)
+    for k in range(width):
+        key += np.where(k < depth, hashes[rows[:, k]] * _PLACES[k], np.uint64(0))
+    key ^= key >> np.uint64(32)
+    key *= _PLACES[-1]
+    return ((key >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64), depth
+
+
+def packed(rows: np.ndarray, counts: np.ndarray, words: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    """Suffixes as numbers of their own words: (words, numbers, counts)."""
+    used, own = np.unique(rows, return_inverse=True)
+    if used[0]:  # every word has a number above 0
+        used, own = np.r_[0, used], own + 1
+    return b"\n".join([words[k] for k in used[1:].tolist()]), own.reshape(-1).astype(np.uint32).tobytes(), counts.astype(np.int64).tobytes()
 
 
 def summed(docs: DataFrame, hot: frozenset, buckets: int, part: str = "lang", width: int = WIDTH) -> DataFrame:
-    """(bucket, part, depth, suffixes, counts): a task's suffixes, equal ones summed, in sorted runs."""
+    """(bucket, part, depth, words, numbers, counts): a task's suffixes, equal ones summed, in sorted runs."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for name, own in counts.items():
-                for (bucket, depth), (all_, n) in bucketed(name, own, hot, buckets).items():
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([name]), pa.array([depth], pa.int32()), pa.array([b"\n".join(all_)], pa.binary()), pa.array([np.array(n, np.int64).tobytes()], pa.binary())], names=["bucket", "part", "depth", "suffixes", "counts"])
-            counts.clear()
-
+        held: dict[str, tuple[Words, list[np.ndarray]]] = {}
+
+        def out(open_: str | None = None) -> Iterator[pa.RecordBatch]:
+            """What is held; of the part whose text goes on the last words stay."""
+            left = {}
+            for name, (numbers, runs) in held.items():
+                words = sorted(numbers)
+                words.remove(b"\n")
+                words.insert(0, b"\n")
+                rank = np.empty(len(words), np.int64)
+                rank[np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+                all_ = rank[np.concatenate(runs)]
+                waiting = width - 1 if name == open_ else 0
+                if waiting:
+                    fresh = Words()
+                    left[name] = (fresh, [np.array([fresh[words[k]] for k in all_[-waiting:].tolist()], np.int64)])
+                rows, counts = unique(suffixes(all_, width, waiting))
+                if not len(rows):
+                    continue
+                bucket, depth = dealt(name, rows, words, hot, buckets)
+                order = np.lexsort((depth, bucket))
+                at = np.flatnonzero(np.r_[True, (np.diff(bucket[order]) != 0) | (np.diff(depth[order]) != 0)])
+                for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+                    own = order[a:b]
+                    blobs = packed(rows[own], counts[own], words)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int64()), pa.array([name]), pa.array([int(depth[own[0]])], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["bucket", "part", "depth", "words", "numbers", "counts"])
+            held.clear()
+            held.update(left)
+
+        size = 0
         for b in batches:
             for name, text in zip(b.column(0).to_pylist(), b.column(1)):
-                own = counts.setdefault(name, Counter())
-                for some in suffixes(text.as_py(), width):
-                    own.update(some)
-                if sum(map(len, counts.values())) > HELD:
-                    yield from out()
+                for some in numbered(text.as_py()):
+                    words, runs = held.setdefault(name, (Words(), []))
+                    runs.append(np.fromiter(map(words.__getitem__, some), np.int64, len(some)))
+                    size += len(some)
+                    if size > HELD:
+                        yield from out(name)
+                        size = 0
         yield from out()
 
     read = docs.select(F.coalesce(F.col(part), F.lit(UNKNOWN)).alias("part"), "text")
-    return read.mapInArrow(run, "bucket long, part string, depth int, suffixes binary, counts binary")
+    return read.mapInArrow(run, "bucket long, part string, depth int, words binary, numbers binary, counts binary")
 
 
 def hot_beginnings(docs: DataFrame, buckets: int, scratch: Scratch, part: str = "lang", width: int = WIDTH) -> frozenset:
@@ -151,15 +184,18 @@ def hot_beginnings(docs: DataFrame, buckets: int, scratch: Scratch, part: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: Counter = Counter()
+            found: list[tuple] = []
+            held: dict[str, tuple[Words, list[np.ndarray]]] = {}
             for name, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for some in suffixes(text.as_py(), width):
-                    for s in some:
-                        words = s.split(b" ")[:-1]
-                        for k in range(1, min(len(words), width - 1) + 1):
-                            found[name, b"".join(w + b" " for w in words[:k]), k] += 1
-            names, heads, ks = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(heads, pa.binary()), pa.array(ks, pa.int32()), pa.array(list(found.values()), pa.int64())], names=["part", "head", "k", "n"])
+                numbers, runs = held.setdefault(name, (Words(), []))
+                runs += [np.fromiter(map(numbers.__getitem__, some), np.int64, len(some)) for some in numbered(text.as_py())]
+            for name, (numbers, runs) in held.items():
+                words, rows = list(numbers), suffixes(np.concatenate(runs), width)
+                for k in range(1, width):
+                    some, n = unique(rows[rows[:, k - 1] > 0, :k])
+                    found += [(name, b"".join(words[i] + b" " for i in one), k, c) for one, c in zip(some.tolist(), n.tolist())]
+            names, heads, ks, ns = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(heads, pa.binary()), pa.array(ks, pa.int32()), pa.array(ns, pa.int64())], names=["part", "head", "k", "n"])
 
     some = docs.filter(F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(SHARE)) == 0)
     read = some.select(F.coalesce(F.col(part), F.lit(UNKNOWN)).alias("part"), "text")
@@ -171,74 +207,48 @@ def hot_beginnings(docs: DataFrame, buckets: int, scratch: Scratch, part: str =
     return out
 
 
-def _shared(order: list[bytes]) -> np.ndarray:
-    """Bytes that each has in common with the one before it; the first has none."""
-    rows = np.array([s[:WIDE] for s in order], f"S{WIDE}").view(">u8").reshape(len(order), WIDE // 8)
-    differ = rows[1:] ^ rows[:-1]
-    words = (differ != 0).argmax(axis=1)
-    value = differ[np.arange(len(words)), words].astype(np.uint64)
-    out = np.zeros(len(order), np.int64)
-    out[1:] = words * 8
-    for byte in range(1, 8):  # leading bytes that are equal
-        out[1:] += value < np.uint64(1) << np.uint64(8 * byte)
-    for k in (np.flatnonzero(value == 0) + 1).tolist():
-        a, b = order[k - 1], order[k]
-        low, high = WIDE, min(len(a), len(b))
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
-        out[k] = low
-    return out
+def beginnings(rows: np.ndarray, counts: np.ndarray, depth: int, least: int) -> Iterator[tuple[list[int], int, int]]:
+    """(numbers of a beginning, its words, n) of different suffixes in descending order: those with least
+    occurrences, and all that are shorter than the key's words, whose counts are partial."""
+    for k in range(1, rows.shape[1] + 1):
+        some = np.flatnonzero(rows[:, k - 1] > 0)
+        if not len(some):
+            break
+        own = rows[some, :k]
+        opens = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(axis=1)])  # neighbours part here
+        total = np.add.reduceat(counts[some], opens)
+        kept = np.arange(len(opens)) if k < depth else np.flatnonzero(total >= least)
+        yield from zip(own[opens[kept]].tolist(), [k] * len(kept), total[kept].tolist())
 
 
-def beginnings(found: dict[bytes, int], depth: int, least: int) -> Iterator[tuple[bytes, int, int]]:
-    """(beginning, its words, n) of suffixes with counts: those with least occurrences, and all that are
-    shorter than the key's words, whose counts are partial."""
-    order = sorted(found, reverse=True)
-    n = np.fromiter(map(found.__getitem__, order), np.int64, len(order))
-    shared = _shared(order)
-    flat = np.frombuffer(b"".join(order), np.uint8)
-    start = np.zeros(len(order), np.int64)
-    np.cumsum(np.fromiter(map(len, order), np.int64, len(order))[:-1], out=start[1:])
-    spaces = np.flatnonzero(flat == 32)
-    first = np.searchsorted(spaces, start)
-    words = np.diff(np.r_[first, len(spaces)])
-    for k in range(1, int(words.max()) + 1):
-        rows = np.flatnonzero(words >= k)
-        end = spaces[first[rows] + k - 1] + 1 - start[rows]
-        opens = np.flatnonzero(shared[rows] < end)  # neighbours part within the first k words
-        total = np.add.reduceat(n[rows], opens)
-        kept = np.arange(len(opens)) if k < depth else np.flatnonzero(total >= least)
-        for at, e, t in zip(rows[opens[kept]].tolist(), end[opens[kept]].tolist(), total[kept].tolist()):
-            yield order[at][: e - 1], k, t
+def merged(runs: Iterator[tuple[bytes, bytes, bytes]], width: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, suffixes, counts) of a bucket's runs, words in order of bytes, suffixes descending."""
+    numbers, rows, counts = Words(), [], []
+    for words, own, n in runs:
+        place = np.array([0, *map(numbers.__getitem__, words.split(b"\n"))], np.int64)
+        rows.append(place[np.frombuffer(own, np.uint32)].reshape(-1, width))
+        counts.append(np.frombuffer(n, np.int64))
+    order = sorted(w for w in numbers if w != b"\n")
+    rank = np.zeros(len(numbers), np.int64)
+    rank[np.fromiter(map(numbers.__getitem__, order), np.int64, len(order))] = np.arange(1, len(order) + 1)
+    return [b"\n", *order], *unique(rank[np.concatenate(rows)], np.concatenate(counts))
 
 
-def counted(rows: DataFrame, least: int = LEAST) -> DataFrame:
+def counted(rows: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """(part, phrase, k: its words, n) of beginnings with least occurrences at least, those whose
     counts are partial included; and (part, null, 0, n) with numbers of suffixes."""
     prepare(rows.sparkSession)
 
-    def out(part: str, depth: int, found: dict[bytes, int]) -> pa.RecordBatch:
-        got = [*beginnings(found, depth, least), (None, 0, sum(found.values()))]
-        phrase, k, n = zip(*got)
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(got)), pa.array(phrase, pa.binary()), pa.array(k, pa.int32()), pa.array(n, pa.int64())], names=["part", "phrase", "k", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns[:3]], b.column(3), b.column(4)))
+        all_ = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns[:3]], *b.columns[3:]))
         for (_, part, depth), own in groupby(all_, key=lambda row: row[:3]):
-            found: dict[bytes, int] = {}
-            for row in own:
-                here, n = row[3].as_py().split(b"\n"), np.frombuffer(row[4].as_py(), np.int64).tolist()
-                if not found:
-                    found = dict(zip(here, n))
-                    continue
-                get = found.get
-                for s, k in zip(here, n):
-                    found[s] = get(s, 0) + k
-            yield out(part, depth, found)
+            words, found, n = merged((tuple(x.as_py() for x in row[3:]) for row in own), width)
+            got = [(b" ".join(words[i] for i in one), k, c) for one, k, c in beginnings(found, n, depth, least)]
+            phrase, k, c = zip(*got, (None, 0, int(n.sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(k)), pa.array(phrase, pa.binary()), pa.array(k, pa.int32()), pa.array(c, pa.int64())], names=["part", "phrase", "k", "n"])
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "part", "depth")
-    return dealt.mapInArrow(run, "part string, phrase binary, k int, n long")
+    sorted_ = rows.repartition("bucket").sortWithinPartitions("bucket", "part", "depth")
+    return sorted_.mapInArrow(run, "part string, phrase binary, k int, n long")
 
 
 def phrase_counts(docs: DataFrame, scratch: Scratch, part: str = "lang", width: int = WIDTH, least: int = LEAST) -> DataFrame:
@@ -246,7 +256,7 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, part: str = "lang", width:
     the number of words of each part under a null phrase."""
     buckets = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = hot_beginnings(docs, buckets, scratch, part, width)
-    counts = scratch.write(counted(summed(docs, hot, buckets, part, width), least), "counts")
+    counts = scratch.write(counted(summed(docs, hot, buckets, part, width), width, least), "counts")
     return counts.groupBy("part", "phrase", "k").agg(F.sum("n").alias("n")).filter((F.col("k") == 0) | (F.col("n") >= least))
 
 

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,27 +247,46 @@ def test_collocations_equal_plain_counts(spark, monkeypatch, hot):
         assert sorted(map(tuple, got.select("part", "rank", "phrase", "a", "l", "r", "n", "score").collect())) == want and len(want) > 10
 
 
-def test_beginnings_of_long_words_and_partial_counts():
-    rng = random.Random(3)
-    long = ["x" * 45, "x" * 48, "x" * 200 + "y", "x" * 200 + "z", "x", "\x00", "xy"]
-    found = collections.Counter("".join(w + " " for w in rng.choices(long, k=rng.randint(1, 4))).encode() for _ in range(3000))
-    want = collections.Counter()
-    for s, n in found.items():
-        words = s.split(b" ")[:-1]
-        for k in range(1, len(words) + 1):
-            want[b" ".join(words[:k]), k] += n
+def test_beginnings_and_partial_counts():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(1, 6, (4000, 4))
+    for k in (1, 2, 3):
+        rows[rng.random(4000) < 0.2, k:] = 0
+    found, n = collocations.unique(rows)
+    want = collections.Counter(tuple(r[:k]) for r in rows.tolist() for k in range(1, 5) if r[k - 1])
+    assert int(n.sum()) == 4000 and found.tolist() == sorted(found.tolist(), reverse=True)
     for depth in (1, 3):
-        got = {(s, k): n for s, k, n in collocations.beginnings(dict(found), depth, 20)}
-        assert got == {k: n for k, n in want.items() if n >= 20 or k[1] < depth}
+        assert {tuple(s): t for s, _, t in collocations.beginnings(found, n, depth, 20)} == {s: t for s, t in want.items() if t >= 20 or len(s) < depth}
 
 
-def test_suffixes_run_on_between_parts(monkeypatch):
+@pytest.mark.parametrize("held", [1_000_000, 7])
+def test_words_run_on_between_parts(spark, monkeypatch, held):
+    """Texts cut into parts of a few bytes, and runs let go in mid-text."""
     rng = random.Random(1)
     text = "".join(rng.choice(["a", "bb", "ccc"]) + rng.choice([" ", "  ", " ", "\t", ". ", "\n"]) for _ in range(2000))
-    flat = lambda: collections.Counter(s for some in collocations.suffixes(text) for s in some)
-    whole = flat()
+    whole = [w for some in collocations.numbered(text) for w in some]
     monkeypatch.setattr(bpe, "SLICE", 11)
-    assert flat() == whole and sum(whole.values()) == len(re.findall("[a-c]+", text))
+    monkeypatch.setattr(collocations, "HELD", held)
+    assert [w for some in collocations.numbered(text) for w in some] == whole and sum(w != b"\n" for w in whole) == len(re.findall("[a-c]+", text))
+
+    class Here:  # the function of each task, run here
+        def mapInArrow(self, run, schema):
+            return run
+
+    docs = type("Docs", (), {"sparkSession": spark, "select": lambda self, *c: Here()})()
+    run, text2 = collocations.summed(docs, frozenset(), 5), "bb a. " * 30
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de", "en"]), pa.array([text, text2, None])], names=["part", "text"])
+    found, want = collections.Counter(), collections.Counter()
+    for b in run(iter([batch])):
+        names = [b"", *b.column(3)[0].as_py().split(b"\n")]
+        rows, n = np.frombuffer(b.column(4)[0].as_py(), np.uint32).reshape(-1, 4), np.frombuffer(b.column(5)[0].as_py(), np.int64)
+        for r, c in zip(rows.tolist(), n.tolist()):
+            found[b.column(1)[0].as_py(), tuple(names[i] for i in r if i)] += c
+    for part, t in (("en", text), ("de", text2)):
+        for piece in re.split(r"[.\n]", t):
+            w = piece.encode().split()
+            want.update((part, tuple(w[i : i + 4])) for i in range(len(w)))
+    assert found == want
 
 
 def test_collocations_of_odd_rows_and_none(spark):
