@@ -202,7 +202,8 @@ def resolve_batches(df: DataFrame, key: str, resolve: Callable[[list[str]], dict
             keys = b[key].tolist()
             for k in range(0, len(keys), size):
                 found = resolve(keys[k : k + size])
-                yield pd.DataFrame({"key": list(found), "value": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"key": list(found), "value": list(found.values())})
 
     return df.select(key).filter(F.coalesce(F.col(key), F.lit("")) != "").distinct().mapInPandas(run, "key string, value string")
 

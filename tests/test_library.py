@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import dates, identity, media, quality, rights, routing
 from corpuscle.functions import text as texts
 from corpuscle.operators import aggregates, dedup, joins, search, source_audit, windows
-from corpuscle.plans import catalog
+from corpuscle.plans import catalog, features  # noqa: F401  (features adds its queries)
 from corpuscle.sources import readers, sinks
 from corpuscle.streaming import state
 
