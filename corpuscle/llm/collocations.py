@@ -46,7 +46,7 @@ COVERED = 80
 #: A beginning with more than 1 / HOT of the sampled suffixes is dealt out further; one row in SHARE is sampled.
 HOT, SHARE = 512, 128
 #: Buckets for each shuffle partition.
-SPREAD = 8
+SPREAD = 2
 UNKNOWN = "und"
 #: Words whose suffixes a task sums before it lets them go.
 HELD = 1_000_000
