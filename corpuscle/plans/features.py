@@ -256,8 +256,8 @@ def feed_rows(spark, d):
         "event_id", F.concat(F.lit("http://arxiv.org/abs/2401."), number, F.lit("v2")).alias("entry_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" 10.1/"), "user_id", F.lit(" "))).alias("doi"),
         F.concat("event_type", F.lit(" of\n  a mesh")).alias("title"), F.lit("x").alias("summary"), F.array().cast("array<string>").alias("authors"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published"), F.array().cast("array<string>").alias("categories"),
     )
-    out = readers.arxiv_rows(raw)
-    return out.select(F.substring("id", -7, 5).cast("long").alias("event_id"), "source", "doi", "arxiv_id", "title", "date")
+    out = readers.arxiv_rows(raw, "event_id")
+    return out.select("event_id", "source", "doi", "arxiv_id", "title", "date")
 
 
 @query("""

@@ -72,10 +72,11 @@ def listed_ids(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(cell(0).alias("doi"), cell(1).alias("tier"), cell(2).alias("topic"))
 
 
-def arxiv_rows(raw: DataFrame) -> DataFrame:
-    """Normalised rows of the preprint feed: the version stays in id, newlines become spaces."""
+def arxiv_rows(raw: DataFrame, *own: str) -> DataFrame:
+    """Normalised rows of the preprint feed: the version stays in id, newlines become spaces; columns
+    named besides pass through first."""
     flat = lambda c: text(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\n\s*", " "))
-    return raw.select(F.lit("arxiv").alias("source"), F.col("entry_id").alias("id"), text(F.col("doi")).alias("doi"), arxiv_base_id(F.col("entry_id")).alias("arxiv_id"), flat(F.col("title")).alias("title"), flat(F.col("summary")).alias("abstract"), "authors", F.substring("published", 1, 10).alias("date"), "categories")
+    return raw.select(*own, F.lit("arxiv").alias("source"), F.col("entry_id").alias("id"), text(F.col("doi")).alias("doi"), arxiv_base_id(F.col("entry_id")).alias("arxiv_id"), flat(F.col("title")).alias("title"), flat(F.col("summary")).alias("abstract"), "authors", F.substring("published", 1, 10).alias("date"), "categories")
 
 
 def inverted_index_text(index: Column) -> Column:
