@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -36,13 +38,10 @@ class _First(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "seen boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if self.seen.exists():
             return
-        least = None
-        for b in rows:
-            one = b.sort_values(self.order, kind="stable").head(1)
-            least = one if least is None else pd.concat([least, one]).sort_values(self.order, kind="stable").head(1)
+        least = min(rows, key=lambda r: tuple(r[c] for c in self.order), default=None)
         if least is not None:
             self.seen.update((True,))
             yield least
@@ -51,25 +50,47 @@ class _First(StatefulProcessor):
         pass
 
 
-def _local_first(schema: T.StructType, keys: list[str], order: list[str]):
-    """A batch's first row of each key: of a key with very many rows few reach the task of its state."""
+#: Rows that are reduced together, and firsts that a task holds before it lets them go.
+CHUNK, HELD = 1 << 16, 1 << 18
+
+
+def _local_first(keys: list[str], order: list[str]):
+    """A task's first row of each key, as far as HELD of them go: of a key with very many rows few reach
+    the task of its state."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def firsts(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in order])
+        at = t.select(keys).append_column("_at", pa.array(np.arange(len(t)))).group_by(keys, use_threads=False).aggregate([("_at", "min")])
+        return t.take(at["_at_min"]).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, new = [], 0
         for b in batches:
-            yield b.sort_values(order, kind="stable").drop_duplicates(keys)[schema.fieldNames()]
+            held.append(b)
+            new += b.num_rows
+            if new >= CHUNK:
+                held, new = firsts(held), 0
+                if sum(x.num_rows for x in held) > HELD:
+                    yield from held
+                    held = []
+        if held:
+            yield from firsts(held)
 
     return run
 
 
+def slim(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Fewer rows of df, among them the first of each key by order."""
+    return df.mapInArrow(_local_first(keys, order), df.schema)
+
+
 def first_seen(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """A stream of the first row of each key: of the micro-batch in which the key comes for the
     first time, the first by order (columns without nulls). Later rows of a key never pass, whatever
     their dates, and no row is too late. Null keys are one key; an empty micro-batch gives nothing.
     """
     store(stream.sparkSession)
-    schema = stream.schema
-    slim = stream.mapInPandas(_local_first(schema, keys, order), schema)
-    return slim.groupBy(*keys).transformWithStateInPandas(statefulProcessor=_First(order), outputStructType=schema, outputMode="Append", timeMode="None")
+    return slim(stream, keys, order).groupBy(*keys).transformWithState(statefulProcessor=_First(order), outputStructType=stream.schema, outputMode="Append", timeMode="None")
 
 
 CACHE = "key string, event string, status string, body string, checked_at timestamp, error string"
