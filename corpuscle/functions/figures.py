@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions.identity import text
 from corpuscle.functions.rights import ARXIV_WORK, MDPI_IMAGE, SVG, compact, is_restricted, license_url, reviewable_caption, third_party_rights
+from corpuscle.functions.text import bound
 
 #: Words of file names and labels of pictures that are no figure of a paper.
 DECORATIVE = ["avatar", "avatars", "banner", "banners", "cover", "covers", "favicon", "headshot", "headshots", "icon", "icons", "logo", "logos", "portrait", "portraits"]
@@ -106,7 +107,7 @@ def outer_figures(html: Column) -> Column:
 def url_path(url: Column) -> Column:
     """The decoded path of a URL or of a relative reference, in lower case."""
     path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*", "")
-    return F.lower(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path))
+    return bound(path, lambda p: F.lower(F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)))
 
 
 def base_name(url: Column) -> Column:
@@ -124,11 +125,13 @@ def url_join(base: Column, ref: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
     tail = F.regexp_extract(ref, r"([?#].*)?$", 1)
     path = F.regexp_replace(ref, r"[?#].*$", "")
-    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
-    parts = F.split(full, "/")
-    clean = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == ".", a).when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(p))))
-    closed = F.when(full.rlike(r"/\.{1,2}$"), "/").otherwise("")
-    joined = F.concat(site, F.array_join(clean, "/"), closed, tail)
+    full = bound(path, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(bound(folder, lambda f: F.when(f == "", "/").otherwise(f)), p)))
+
+    def clean(full: Column) -> Column:
+        parts = F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), lambda a, p: F.when(p == ".", a).when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(p))))
+        return F.concat(F.array_join(parts, "/"), F.when(full.rlike(r"/\.{1,2}$"), "/").otherwise(""))
+
+    joined = F.concat(site, bound(full, clean), tail)
     return F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when(ref.startswith("//"), F.concat(scheme, ref)).otherwise(joined)
 
 
@@ -138,15 +141,14 @@ def tokens(*hints: Column) -> Column:
 
 def is_decorative(*hints: Column) -> Column:
     """Branding and people, told by words."""
-    t = tokens(*hints)
-    both = lambda a, b: F.array_contains(t, a) & F.array_contains(t, b)
-    return F.arrays_overlap(t, F.array(*map(F.lit, DECORATIVE))) | both("author", "photo") | both("journal", "cover")
+    both = lambda t, a, b: F.array_contains(t, a) & F.array_contains(t, b)
+    return bound(tokens(*hints), lambda t: F.arrays_overlap(t, F.array(*map(F.lit, DECORATIVE))) | both(t, "author", "photo") | both(t, "journal", "cover"))
 
 
 def is_auxiliary(asset: Column, *hints: Column) -> Column:
     """Legends, keys and colour bars: by the file's name, or by a description that says nothing else."""
-    path = url_path(F.coalesce(asset, F.lit("")))
-    out = path.rlike(LEGAL) | F.arrays_overlap(tokens(path), F.array(*map(F.lit, AUXILIARY))) | path.rlike(COLOR_BAR) | stem(base_name(F.coalesce(asset, F.lit("")))).rlike(KEY_FILE)
+    named = lambda path: path.rlike(LEGAL) | F.arrays_overlap(tokens(path), F.array(*map(F.lit, AUXILIARY))) | path.rlike(COLOR_BAR) | stem(F.element_at(F.split(path, "/"), -1)).rlike(KEY_FILE)
+    out = bound(url_path(F.coalesce(asset, F.lit(""))), named)
     for h in hints:
         out = out | F.array_join(tokens(F.coalesce(h, F.lit(""))), " ").rlike(KEY_LABEL)
     return out
@@ -174,14 +176,17 @@ def is_strip(g: Column, others: Column) -> Column:
 
 def _on(url: Column, hosts: list[str]) -> Column:
     """The URL over https if it is of one of the hosts, else empty."""
-    host = F.lower(F.regexp_extract(url, r"^https?://(?:[^@/?#]*@)?([^:/?#]*)", 1))
-    return F.when(url.rlike("(?i)^https?://") & host.isin(hosts), F.regexp_replace(url, "(?i)^https?://", "https://")).otherwise("")
+
+    def over(u: Column) -> Column:
+        host = F.lower(F.regexp_extract(u, r"^https?://(?:[^@/?#]*@)?([^:/?#]*)", 1))
+        return F.when(u.rlike("(?i)^https?://") & host.isin(hosts), F.regexp_replace(u, "(?i)^https?://", "https://")).otherwise("")
+
+    return bound(url, over)
 
 
 def _best(graphics: Column) -> Column:
     """Of graphics that may be shown the first that is no panel, else the first."""
-    whole = F.filter(graphics, lambda g: ~g["panel"])
-    return F.get(F.when(F.size(whole) > 0, whole).otherwise(graphics), F.lit(0))
+    return bound(graphics, lambda all_: F.coalesce(F.get(F.filter(all_, lambda g: ~g["panel"]), F.lit(0)), F.get(all_, F.lit(0))))
 
 
 def _ranked(candidates: Column) -> Column:
@@ -206,11 +211,15 @@ def html_candidates(figures: Column, page_url: Column) -> Column:
             own = F.regexp_replace(F.lower(F.regexp_extract(url, rf"(?i)^https://arxiv\.org/html/({ARXIV_WORK}v[1-9]\d*)/", 1)), r"v\d+$", "")
             return F.when(fine & (own == work) & (work != ""), url).otherwise("")
 
+        def first_own(*urls: Column) -> Column:
+            plain, folder = (bound(u, of_own_work) for u in urls)
+            return bound(plain, lambda u: F.when(u != "", u).otherwise(folder))
+
         def at(g: Column) -> Column:
             if not vector:
                 return _on(url_join(page_url, g["src"]), ["arxiv.org"])
-            plain = of_own_work(url_join(page_url, g["src"]))  # else as if the page were a folder
-            return F.when(plain != "", plain).otherwise(of_own_work(url_join(F.concat(F.rtrim(page_url, F.lit("/")), F.lit("/")), g["src"])))
+            # else as if the page were a folder
+            return first_own(url_join(page_url, g["src"]), url_join(F.concat(F.rtrim(page_url, F.lit("/")), F.lit("/")), g["src"]))
 
         named = F.transform(kind, lambda g: F.struct(at(g).alias("image_url"), g["alt"].alias("alt"), g["class"].alias("class"), g["width"].alias("width"), g["height"].alias("height"), panel(g).alias("panel")))
         hints = (lambda g: []) if vector else (lambda g: [g["alt"], g["class"]])
@@ -222,10 +231,10 @@ def html_candidates(figures: Column, page_url: Column) -> Column:
         if vector:
             labels = F.transform(kind, lambda g: g["alt"])
             fine = fine & ~F.exists(labels, third_party_rights) & ~F.exists(F.concat(F.array(f["body"]), labels), lambda s: s.rlike(r"(?i)\badopted\s+from\b"))
-        best = _best(shown)
         abstract = F.lower(F.concat_ws(" ", f["class"], f["caption"])).contains("graphical abstract")
-        pick = F.struct(best["image_url"].alias("image_url"), f["caption"].alias("caption"), (f["caption"] if vector else best["alt"]).alias("alt"), F.lit(SVG if vector else "").alias("media_type"))
-        return F.when(fine & best.isNotNull(), F.struct(F.lit(vector).alias("vector"), (~abstract).alias("rank"), nth.alias("nth"), pick.alias("pick")))
+        pick = lambda best: F.struct(best["image_url"].alias("image_url"), f["caption"].alias("caption"), (f["caption"] if vector else best["alt"]).alias("alt"), F.lit(SVG if vector else "").alias("media_type"))
+        made = lambda best: F.when(best.isNotNull() & fine, F.struct(F.lit(vector).alias("vector"), (~abstract).alias("rank"), nth.alias("nth"), pick(best).alias("pick")))
+        return bound(_best(shown), made)
 
     each = F.concat(F.transform(figures, lambda f, k: offered(f, k, False)), F.transform(figures, lambda f, k: offered(f, k, True)))
     return _ranked(F.filter(each, lambda c: c.isNotNull()))
